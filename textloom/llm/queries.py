@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .chat import format_chats
 from .common import table
+from .jaccard import jaccard_components
 from .packing import pack_documents
 from .urls import judge_urls
 
@@ -20,6 +21,10 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 #: The rules of the URL query: host, path, verdict.
 URL_RULES = [
     ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"),
