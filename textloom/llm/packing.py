@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +20,9 @@ from .common import checkpointed
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Words kept per worker with their ids; beyond it the memo starts anew.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 1_500_000
+#: Text encoded at a time.
+PART_BYTES = 8 << 20
 _TWO_SPACES = re.compile(r"\s\s")
 _encoders: dict[str, Encoder] = {}
 
@@ -40,27 +44,40 @@ class Encoder:
         self.newline = self.encode(["\n"])[0]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (x.ids for x in found)]
 
-    def _learn(self, memo: dict[str, bytes], words: list[str], lead: str) -> None:
-        if len(memo) > MEMO_WORDS:
+    def _learn(self, memo: dict[str, bytes], words: set[str], lead: str) -> None:
+        if len(memo) + len(words) > MEMO_WORDS:
             memo.clear()
-        new = list({w for w in words if w not in memo})
+        new = list(words - memo.keys())
         memo.update(zip(new, self.encode([lead + w for w in new]), strict=True))
 
-    def __call__(self, text: str) -> bytes:
-        if _TWO_SPACES.search(text):
-            return self.encode([text])[0]
+    def _join(self, text: str) -> bytes:
         out = []
         for line in text.split("\n"):
             head, *rest = line.split(" ")
+            out.append(self.bare[head] + b"".join(map(self.spaced.__getitem__, rest)))
+        return self.newline.join(out)
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text. Words that are new are encoded together, as calls cost more than words."""
+        out: list[bytes | None] = [None] * len(texts)
+        later = []
+        for i, text in enumerate(texts):
+            if _TWO_SPACES.search(text):
+                out[i] = self.encode([text])[0]
+                continue
             try:
-                out.append(self.bare[head] + b"".join(map(self.spaced.__getitem__, rest)))
+                out[i] = self._join(text)
             except KeyError:
-                self._learn(self.bare, [head], "")
-                self._learn(self.spaced, rest, " ")
-                out.append(self.bare[head] + b"".join(map(self.spaced.__getitem__, rest)))
-        return self.newline.join(out)
+                later.append(i)
+        lines = [line.split(" ") for i in later for line in texts[i].split("\n")]
+        self._learn(self.bare, {x[0] for x in lines}, "")
+        self._learn(self.spaced, {w for x in lines for w in x[1:]}, " ")
+        for i in later:
+            out[i] = self._join(texts[i])
+        return out
 
 
 def encoder(path: str) -> Encoder:
@@ -156,9 +173,10 @@ def _pack_partition(
 
     packer = Packer(size, windows, min_cut, emit)
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids = encode(text.as_py() or "") + end
-            packer.put((n := len(ids) // 4, doc, 0, ids, n), cut)
+        for part in _parts(batch):
+            for doc, ids in zip(part.column(0).to_pylist(), encode.many([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                ids += end
+                packer.put((n := len(ids) // 4, doc, 0, ids, n), cut)
             if len(rows) >= 20_000:
                 yield flush()
     for _, pieces in packer.open:
@@ -167,6 +185,16 @@ def _pack_partition(
         yield flush()
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with about PART_BYTES of text, or one row where that is longer."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        n = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART_BYTES, "right")) - at, 1)
+        yield batch.slice(at, n)
+        at += n
+
+
 def _merge(pdf: pd.DataFrame, size: int, min_cut: int) -> pd.DataFrame:
     """Merges leftover windows, fullest first; a piece here is (tokens, parts) and is cut between or inside parts."""
     out: list[tuple] = []
