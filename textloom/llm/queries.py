@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from .chat import format_chats
 from .common import table
+from .decontaminate import find_leaks
 from .jaccard import jaccard_components
+from .linededup import dedup_lines
 from .packing import pack_documents
+from .quality import classify
 from .urls import judge_urls
 
 
@@ -25,6 +28,19 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_dropped")
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return classify(docs.select("doc_id", "text", "source", "lang"), labels, F.col("source"), F.col("lang")).select("doc_id", "evidence", "posterior", "keep")
+
+
 #: The rules of the URL query: host, path, verdict.
 URL_RULES = [
     ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"),
