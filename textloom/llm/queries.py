@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from .chat import format_chats
 from .common import table
 from .decontaminate import find_leaks
+from .embeddings import near_embeddings
 from .jaccard import jaccard_components
 from .linededup import dedup_lines
 from .packing import pack_documents
+from .pii import pseudonymise
 from .quality import classify
+from .secrets import scan
 from .urls import judge_urls
 
 
@@ -24,6 +27,14 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Key of the pseudonyms in the registered query; a real run passes its own secret.
+PSEUDONYM_KEY = "example key"
+
+
+def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -32,6 +43,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_dropped")
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -41,6 +56,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs.select("doc_id", "text", "source", "lang"), labels, F.col("source"), F.col("lang")).select("doc_id", "evidence", "posterior", "keep")
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 #: The rules of the URL query: host, path, verdict.
 URL_RULES = [
     ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"),
