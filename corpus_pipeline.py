@@ -1,15 +1,62 @@
-"""The corpus pipeline: stages of training-data operators, each on what the one before it kept."""
+"""The corpus pipeline: stages of training-data operators, each on what the one before it kept.
+
+Every stage but the last returns the columns of `documents`. A stage's decisions take effect: rejected
+documents go, repeated lines leave their text (a document of which nothing is left goes), of each group of
+near-duplicates the smallest doc_id stays, documents that hold benchmark items go, the rest is packed."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textloom.llm.common import checkpointed, maybe_broadcast, table
+from textloom.llm.decontaminate import find_leaks
+from textloom.llm.jaccard import jaccard_components
+from textloom.llm.linededup import dedup_lines
+from textloom.llm.packing import pack_documents
+from textloom.llm.quality import classify
+from textloom.llm.queries import vocabulary_path
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return classify(docs, table(spark, sf_dir, "labels"), F.col("source"), F.col("lang")).where("keep").select(docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = dedup_lines(docs).where("n_dropped = 0 or trim(text) <> ''")
+    size = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.withColumn("n_chars", size).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = jaccard_components(docs)
+    gone = checkpointed(found.where("doc_id <> component_id").select("doc_id").distinct())
+    once = docs.join(maybe_broadcast(gone), "doc_id", "left_anti")
+    return once.select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    leaks = checkpointed(find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
+    return docs.join(maybe_broadcast(leaks), "doc_id", "left_anti").select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs, vocabulary_path())
+
 
-STAGES = []
+STAGES = [
+    ("quality", quality),
+    ("line dedup", lines),
+    ("near duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
+#: Trained models, pivots and tokenizers are beyond SQL; tests/llm/test_pipeline.py compares with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
