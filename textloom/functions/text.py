@@ -94,7 +94,7 @@ def with_acute(form: Column, stress: Column) -> Column:
 
 def split_list(c: Column, sep: str) -> Column:
     """Alternatives or senses: split, trimmed, empty ones dropped."""
-    return F.filter(F.transform(F.split(c, sep), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, sep), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def roman_to_int(c: Column) -> Column:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus
+from . import corpus, ingest, learner, lexicon
 
-MODULES = [corpus]
+MODULES = [corpus, ingest, lexicon, learner]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
