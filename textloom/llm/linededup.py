@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,15 +36,15 @@ def segments(length: int, parts: int) -> list[tuple[int, int]]:
     return out
 
 
-def index_keys(data: bytes, length: int, max_edits: int) -> list[int]:
-    """A key for each segment of the line; `data` is the line in UTF-32."""
-    return [
-        xxhash.xxh3_64_intdigest(data[4 * at : 4 * (at + n)], length * 8 + i) for i, (at, n) in enumerate(segments(length, max_edits + 1))
-    ]
+@lru_cache(maxsize=8192)
+def index_places(length: int, max_edits: int) -> tuple[tuple[int, int, int], ...]:
+    """(start, end, seed) in UTF-32 bytes of each segment of a line of this length."""
+    return tuple((4 * at, 4 * (at + n), length * 8 + i) for i, (at, n) in enumerate(segments(length, max_edits + 1)))
 
 
-def probe_keys(data: bytes, length: int, max_edits: int) -> list[int]:
-    """Keys of the substrings that can equal a segment of a line as long or up to `max_edits` shorter.
+@lru_cache(maxsize=8192)
+def probe_places(length: int, max_edits: int) -> tuple[tuple[int, int, int], ...]:
+    """(start, end, seed) of the substrings that can equal a segment of a line as long or up to `max_edits` shorter.
 
     If some segment survives the edits, one does at a shift that both the edits left of it and those right
     of it allow; only those shifts are probed."""
@@ -53,16 +54,14 @@ def probe_keys(data: bytes, length: int, max_edits: int) -> list[int]:
         for i, (at, n) in enumerate(segments(other, max_edits + 1)):
             right = max_edits - i
             for p in range(max(at - i, at + shorter - right, 0), min(at + i, at + shorter + right, length - n) + 1):
-                out.append(xxhash.xxh3_64_intdigest(data[4 * p : 4 * (p + n)], other * 8 + i))
-    return out
+                out.append((4 * p, 4 * (p + n), other * 8 + i))
+    return tuple(out)
 
 
-def word_parity(data: str) -> int:
-    """64 parity bits over the words of a line. An edit changes, splits or joins words: at most three bits flip."""
-    bits = 0
-    for w in data.split(" "):
-        bits ^= 1 << (xxhash.xxh3_64_intdigest(w) & 63)
-    return bits
+def char_parity(data: bytes) -> int:
+    """64 parity bits over the characters of a line in UTF-32, by code point modulo 64. An edit flips two at most."""
+    odd = np.bincount(np.frombuffer(data, "<u4") & 63, minlength=64) & 1
+    return int.from_bytes(np.packbits(odd.astype(np.uint8)).tobytes())
 
 
 def within(a: str, b: str, k: int) -> bool:
@@ -127,6 +126,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _keys(batches: Iterator[pa.RecordBatch], max_edits: int) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
+    digest = xxhash.xxh3_64_intdigest
     for batch in batches:
         h1, sig, index, probe = [], [], [], []
         for text in batch.column("text"):
@@ -138,9 +138,9 @@ def _keys(batches: Iterator[pa.RecordBatch], max_edits: int) -> Iterator[pa.Reco
                 seen.add(a)
                 data = line.encode("utf-32-le", "surrogatepass")
                 h1.append(a)
-                sig.append(word_parity(line))
-                index.append(_signed(index_keys(data, len(line), max_edits)))
-                probe.append(_signed(probe_keys(data, len(line), max_edits)))
+                sig.append(char_parity(data))
+                index.append(_signed([digest(data[p:q], seed) for p, q, seed in index_places(len(line), max_edits)]))
+                probe.append(_signed([digest(data[p:q], seed) for p, q, seed in probe_places(len(line), max_edits)]))
         yield pa.RecordBatch.from_arrays(
             [pa.array(_signed(h1)), pa.array(_signed(sig)), pa.array(index, pa.list_(pa.int64())), pa.array(probe, pa.list_(pa.int64()))],
             ["h1", "sig", "index", "probe"],
@@ -181,11 +181,11 @@ def repeated_lines(docs: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
     occ = slim.mapInArrow(_occurrences, "doc_id long, key long, line_no long, h1 long, h2 long")
     first = checkpointed(occ.groupBy("h1", "h2").agg(F.min(_order(F.col("line_no"))).alias("first"), F.count("*").alias("n")))
 
-    # Candidates: a segment of one wording equals a probed substring of another, and few words differ.
-    keys = slim.select("text").mapInArrow(lambda b: _keys(b, max_edits), "h1 long, sig long, index array<long>, probe array<long>")
+    # Candidates: a segment of one wording equals a probed substring of another, and few characters differ.
+    keys = checkpointed(slim.select("text").mapInArrow(lambda b: _keys(b, max_edits), "h1 long, sig long, index array<long>, probe array<long>"))
     index = keys.select(F.explode("index").alias("k"), F.col("h1").alias("a"), F.col("sig").alias("sig_a"))
     probe = keys.select(F.explode("probe").alias("k"), F.col("h1").alias("b"), F.col("sig").alias("sig_b"))
-    few = F.bit_count(F.col("sig_a").bitwiseXOR(F.col("sig_b"))) <= 3 * max_edits
+    few = F.bit_count(F.col("sig_a").bitwiseXOR(F.col("sig_b"))) <= 2 * max_edits
     pairs = index.join(probe, "k").where((F.col("a") != F.col("b")) & few)
     pairs = checkpointed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
