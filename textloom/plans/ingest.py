@@ -28,7 +28,7 @@ def _sql(s: str) -> str:
 
 @query(f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents),
 f AS (SELECT *, trim(line) = '' AS blank, coalesce(lag(trim(line) = '') OVER w, true) AS before, coalesce(lead(trim(line) = '') OVER w, true) AS after FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY no)),
-h AS (SELECT *, NOT blank AND length(trim(line)) <= 80 AND (regexp_matches(trim(line), {_sql(P.CHAPTER_WORD)}) OR (before AND after AND (regexp_matches(trim(line), {_sql(P.NUMERAL)}) OR (regexp_matches(trim(line), {_sql(P.NUMBERED)}) AND regexp_matches(trim(line), '^(?:[0-9]|[IVXLC]{{1,6}}(?:$|[\\s.:–—-]))'))))) AS heading FROM f),
+h AS (SELECT *, NOT blank AND length(trim(line)) <= 80 AND (regexp_matches(lower(trim(line)), {_sql(P.CHAPTER_WORD)}) OR (before AND after AND (regexp_matches(trim(line), {_sql(P.NUMERAL)}) OR (regexp_matches(trim(line), {_sql(P.NUMBERED)}) AND regexp_matches(trim(line), '^(?:[0-9]|[IVXLC]{{1,6}}(?:$|[\\s.:–—-]))'))))) AS heading FROM f),
 p AS (SELECT *, coalesce(lag(heading) OVER (PARTITION BY doc_id ORDER BY no), false) AS ph FROM h),
 n AS (SELECT doc_id, no, line, blank, heading, sum(CAST(heading AS INT)) OVER w AS chapter, sum(CAST(blank OR heading OR ph AS INT)) OVER w AS para FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY no)),
 g AS (SELECT doc_id, chapter, para, string_agg(trim(line), ' ' ORDER BY no) AS text FROM n WHERE NOT blank AND NOT heading GROUP BY 1, 2, 3)

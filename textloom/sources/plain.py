@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed pattern: words that open a chapter heading.
-CHAPTER_WORD = r"(?i)^(?:глава|часть|книга|том|письмо|раздел|отдел|chapter|part|book)(?:$|[\s:.–—-])"
+CHAPTER_WORD = r"^(?:глава|часть|книга|том|письмо|раздел|отдел|chapter|part|book)(?:$|[\s:.–—-])"
 NUMERAL = r"^(?:[0-9]+|[IVXLCivxlc]+)$"
 NUMBERED = r"^(?:[0-9]{1,3}|[IVXLC]{1,6})\s*[.:–—-]?\s*(?:.{0,59}[^.?!])?$"
 
@@ -15,7 +15,7 @@ def is_heading(line: Column, prev_blank: Column, next_blank: Column) -> Column:
     """A short line that names a chapter, or a numeral alone between blank lines."""
     t = F.trim(line)
     numeral = t.rlike(NUMERAL) | (t.rlike(NUMBERED) & t.rlike(r"^(?:[0-9]|[IVXLC]{1,6}(?:$|[\s.:–—-]))"))
-    return (t != "") & (F.length(t) <= 80) & (t.rlike(CHAPTER_WORD) | (prev_blank & next_blank & numeral))
+    return (t != "") & (F.length(t) <= 80) & (F.lower(t).rlike(CHAPTER_WORD) | (prev_blank & next_blank & numeral))
 
 
 def plain_text(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
