@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus, ingest, learner, lexicon, sentence
+from . import corpus, features, ingest, learner, lexicon, sentence
 
-MODULES = [corpus, ingest, lexicon, learner, sentence]
+MODULES = [corpus, features, ingest, lexicon, learner, sentence]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
