@@ -18,7 +18,9 @@ MIN_CHARS = 10
 #: Edits within which a line repeats another, and the characters a line must have for each edit allowed.
 MAX_EDITS, CHARS_PER_EDIT = 2, 20
 #: Lines per task whose hashes are remembered, so that their keys are sent once.
-SEEN_LINES = 500_000
+SEEN_LINES = 200_000
+#: Lines of one batch of keys sent on.
+BATCH_LINES = 4096
 
 
 def allowed_edits(length: int, max_edits: int) -> int:
@@ -127,8 +129,15 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _keys(batches: Iterator[pa.RecordBatch], max_edits: int) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     digest = xxhash.xxh3_64_intdigest
+    h1, sig, index, probe = [], [], [], []
+
+    def flush() -> pa.RecordBatch:
+        columns = [pa.array(_signed(h1)), pa.array(_signed(sig)), pa.array(index, pa.list_(pa.int64())), pa.array(probe, pa.list_(pa.int64()))]
+        for x in (h1, sig, index, probe):
+            x.clear()
+        return pa.RecordBatch.from_arrays(columns, ["h1", "sig", "index", "probe"])
+
     for batch in batches:
-        h1, sig, index, probe = [], [], [], []
         for text in batch.column("text"):
             for _, line, a, _ in _lines(text.as_py()):
                 if a in seen or len(line) < CHARS_PER_EDIT:
@@ -141,10 +150,10 @@ def _keys(batches: Iterator[pa.RecordBatch], max_edits: int) -> Iterator[pa.Reco
                 sig.append(char_parity(data))
                 index.append(_signed([digest(data[p:q], seed) for p, q, seed in index_places(len(line), max_edits)]))
                 probe.append(_signed([digest(data[p:q], seed) for p, q, seed in probe_places(len(line), max_edits)]))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(_signed(h1)), pa.array(_signed(sig)), pa.array(index, pa.list_(pa.int64())), pa.array(probe, pa.list_(pa.int64()))],
-            ["h1", "sig", "index", "probe"],
-        )
+                if len(h1) == BATCH_LINES:
+                    yield flush()
+    if h1:
+        yield flush()
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
