@@ -135,11 +135,7 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.9, tile_rows: int = TI
     turned = checkpointed(distinct.mapInArrow(turn, "rep long, copies long, y double, v binary"))
     ordered = _tiled(turned, tile_rows)
     reach = float(np.sqrt(max(2 - 2 * cosine, 0))) + 1e-9
-    tiles = ordered.groupBy("tile").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
-    tiles = checkpointed(tiles)
-    other = tiles.select(F.col("tile").alias("second"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    pairs = tiles.join(maybe_broadcast(other), (F.col("second") >= F.col("tile")) & (F.col("lo2") <= F.col("hi") + reach)).select(F.col("tile").alias("first"), "second")
-    pairs = checkpointed(pairs)
+    pairs = _tile_pairs(ordered.groupBy("tile").agg(F.min("y").alias("lo"), F.max("y").alias("hi")), reach)
     left = ordered.join(maybe_broadcast(pairs), F.col("tile") == F.col("first")).select("first", "second", F.lit(0).alias("side"), "rep", "copies", "v")
     right = ordered.join(maybe_broadcast(pairs.where("first <> second")), F.col("tile") == F.col("second")).select("first", "second", F.lit(1).alias("side"), "rep", "copies", "v")
     found = left.unionByName(right).groupBy("first", "second").applyInPandas(lambda pdf: _compare(pdf.drop(columns=["first", "second"]), dim, cosine), "a long, b long, n long")
@@ -169,3 +165,16 @@ def _tiled(turned: DataFrame, tile_rows: int) -> DataFrame:
     split = dealt.join(maybe_broadcast(sizes), "cell")
     tile = F.col("cell") * 1_000_000 + F.pmod(F.xxhash64("rep"), F.col("slots"))
     return checkpointed(split.select("rep", "copies", "y", "v", tile.alias("tile")))
+
+
+def _tile_pairs(tiles: DataFrame, reach: float) -> DataFrame:
+    """(first, second): tiles whose ranges of y come within `reach`, each pair once, and each tile with itself.
+
+    An equi-join on steps of about `reach`: a tile asks for the steps that its widened range touches and offers
+    those of its own range, a handful each as y lies between -1 and 1."""
+    tiles = checkpointed(tiles)
+    step = lambda y: F.floor(y / max(reach, 0.05)).cast("long")
+    asks = tiles.select(F.col("tile").alias("first"), (F.col("lo") - reach).alias("from"), (F.col("hi") + reach).alias("to"), F.explode(F.sequence(step(F.col("lo") - reach), step(F.col("hi") + reach))).alias("step"))
+    offers = tiles.select(F.col("tile").alias("second"), "lo", "hi", F.explode(F.sequence(step(F.col("lo")), step(F.col("hi")))).alias("step"))
+    near = (F.col("first") <= F.col("second")) & (F.col("lo") <= F.col("to")) & (F.col("hi") >= F.col("from"))
+    return checkpointed(asks.join(offers, "step").where(near).select("first", "second").distinct())
