@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import corpus as C
+from ..operators import drills as D
 from ..operators import features as X
 from ..operators import segment as S
+from ..sources import english as EN
 from .corpus import _docs, _known, _KNOWN, _paragraphs, _PARA, sql_loose, sql_tokens
 from .lexicon import Fixture
 
@@ -60,3 +62,32 @@ def verdict_shares(spark, sf_dir):
     hit = forms.join(_known(spark, sf_dir).withColumn("hit", F.lit(True)), "key", "left")
     producer = F.when(F.col("hit"), "dictionary").when(F.length("key") <= 3, "closed").when(F.col("key").rlike("(?:ly|ing)$"), "rule").otherwise("guess")
     return X.verdict_shares(hit.withColumn("producer", producer), "lang")
+
+
+#: Letters of the alphabet by kind, and pairs a learner confuses.
+LETTERS = Fixture("letters", "symbol string, kind string", [(c, "vowel" if c in "АЕЁИОУЫЭЮЯ" else "sign" if c in "ЪЬ" else "consonant") for c in "АБВГДЕЁЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ"])
+PAIRS = [("Ш", "Щ"), ("Ц", "Щ"), ("Ь", "Ъ"), ("Е", "Э"), ("О", "А"), ("Б", "В"), ("П", "Н"), ("Г", "Ч"), ("Х", "Ж"), ("Р", "В")]
+CONFUSABLE = Fixture("confusable", "symbol string, other string", PAIRS + [(b, a) for a, b in PAIRS])
+
+
+@query(f"""WITH {LETTERS.sql}, {CONFUSABLE.sql}, p AS (SELECT a.symbol, b.symbol AS other, row_number() OVER (PARTITION BY a.symbol ORDER BY CASE WHEN c.other IS NULL THEN 1 ELSE 0 END, md5(a.symbol || '|' || b.symbol || '|0'), b.symbol) AS rn
+  FROM letters a JOIN letters b ON a.kind = b.kind AND a.symbol <> b.symbol LEFT JOIN confusable c ON c.symbol = a.symbol AND c.other = b.symbol),
+o AS (SELECT symbol, other FROM p WHERE rn <= 3 AND symbol IN (SELECT symbol FROM p GROUP BY 1 HAVING count(*) >= 2) UNION ALL SELECT DISTINCT symbol, symbol FROM p WHERE symbol IN (SELECT symbol FROM p GROUP BY 1 HAVING count(*) >= 2))
+SELECT symbol, string_agg(other, ' ' ORDER BY md5('0#' || other)) AS options FROM o GROUP BY 1""")
+def drill_options(spark, sf_dir):
+    return D.distractors(LETTERS.df(spark), CONFUSABLE.df(spark)).select("symbol", F.array_join("options", " ").alias("options"))
+
+
+_BOOKS = {
+    "plain": "title page\n\nCHAPTER I\n\nOne line\nand more\n\nnext\n\nII.\ntext\n\nIII\n\nthree\n\nI\n\nanother work",
+    "parts": "PART ONE\nlost\nI\n\nalpha\n\nPART TWO\nI\n\nbeta\n\nII\n\n\nIII\ngamma",
+    "letters": "x *** START OF THE PROJECT GUTENBERG EBOOK Z ***\nApril 8th\nDear\n\nJune 1st.\nYours\n*** END OF THE PROJECT GUTENBERG EBOOK Z *** y",
+}
+BOOKS = Fixture("books", "book string, text string", list(_BOOKS.items()))
+
+
+@query("""SELECT * FROM (VALUES ('plain', 0::BIGINT, NULL, 'CHAPTER I', 0::BIGINT, 'One line and more'), ('plain', 0, NULL, 'CHAPTER I', 1, 'next'), ('plain', 1, NULL, 'II.', 0, 'text'), ('plain', 2, NULL, 'III', 0, 'three'),
+('parts', 0, 'PART ONE', 'I', 0, 'alpha'), ('parts', 1, 'PART TWO', 'I', 0, 'beta'), ('parts', 2, 'PART TWO', 'III', 0, 'gamma'), ('letters', 0, NULL, 'April 8th', 0, 'Dear'), ('letters', 1, NULL, 'June 1st.', 0, 'Yours')) v(book, idx, part, title, paragraph, text)""")
+def english_chapters(spark, sf_dir):
+    out = EN.english_chapters(BOOKS.df(spark), "book")
+    return out.withColumn("idx", F.col("idx").cast("long")).withColumn("paragraph", F.col("paragraph").cast("long"))
