@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import operator
 from collections import Counter
 from collections.abc import Iterator
@@ -105,21 +106,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
         return Model({}, np.zeros(10), np.ones(10), np.zeros(11), np.zeros(11), 0.5)
     toxic = rows.column("toxic").to_numpy().astype(float)
     junk = 1.0 - rows.column("quality").to_numpy().astype(float)
-    words = [[bytes(w) for w in r] for r in rows.column("words").to_pylist()]
+    words = rows.column("words").to_pylist()
     bad, all_ = Counter(), Counter()
     for r, t in zip(words, toxic, strict=True):
         all_.update(r)
         if t:
             bad.update(r)
     nt, nc = toxic.sum(), len(toxic) - toxic.sum()
-    odds = {w: np.log((b + 0.5) / (nt + 1)) - np.log((all_[w] - b + 0.5) / (nc + 1)) for w, b in bad.items() if all_[w] >= WORD_DOCS}
-    weights = {w: float(min(o, 6)) for w, o in odds.items() if o >= WORD_LOG_ODDS}
+    log_odds = lambda b, n, nt, nc: math.log((b + 0.5) / (nt + 1)) - math.log((n - b + 0.5) / (nc + 1))
+    odds = {w: log_odds(b, all_[w], nt, nc) for w, b in bad.items() if all_[w] >= WORD_DOCS}
+    weights = {w: min(o, 6.0) for w, o in odds.items() if o >= WORD_LOG_ODDS}
+    telling = {w for w, o in odds.items() if o >= WORD_LOG_ODDS - 1.2}  # one vote less moves no other word that far
     x = np.array(rows.column("x").to_pylist())
     for i, (r, t) in enumerate(zip(words, toxic, strict=True)):  # the lexical features, each document without its own vote
-        own = [
-            np.log((bad[w] - t + 0.5) / (nt - t + 1)) - np.log((all_[w] - bad[w] - (1 - t) + 0.5) / (nc - (1 - t) + 1))
-            for w in odds.keys() & set(r) if all_[w] > WORD_DOCS
-        ]
+        own = [log_odds(bad[w] - t, all_[w] - 1, nt - t, nc - (1 - t)) for w in telling.intersection(r) if all_[w] > WORD_DOCS]
         hits = sorted((min(o, 6) for o in own if o >= WORD_LOG_ODDS), reverse=True)
         x[i, -2:] = sum(hits[:3]), min(len(hits), 4)
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
