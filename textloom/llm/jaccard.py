@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, connected_components, maybe_broadcast
+from .memos import claim
 from .shingles import Seeds, overlap, set_key, shingle_set
 
 #: Seed orders per document and minima per order. A pair at exactly the threshold shares none of the seed
@@ -24,6 +25,7 @@ MAX_DEPTH = 6
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+    claim("shingles")
     seeds = Seeds(bands, rows)
     for batch in batches:
         n, k1, k2, keys = [], [], [], []
@@ -46,6 +48,7 @@ def _linked(inter: int, a: int, b: int, percent: int) -> bool:
 
 def _distances(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Exact Jaccard distances of (x, pivot) rows that carry both texts; the last pivots' sets are kept."""
+    claim("shingles")
     recent: OrderedDict[int, np.ndarray] = OrderedDict()
     for batch in batches:
         d, link = [], []
@@ -69,6 +72,7 @@ def _join_region(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
 
     Every such pair has a member outside the region's largest component, so those members probe the
     postings of all. Of the links that hold, enough are returned to connect what they connect."""
+    claim("shingles")
     pdf = pdf.drop_duplicates("x").reset_index(drop=True)
     ids, comp = pdf["x"].to_numpy(), pdf["comp"].to_numpy()
     sets = [shingle_set(t) for t in pdf["text"]]

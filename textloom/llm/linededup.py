@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, maybe_broadcast
+from .memos import claim
 
 #: Lines under this length are left alone.
 MIN_CHARS = 10
@@ -111,6 +112,7 @@ def _lines(text: str | None) -> Iterator[tuple[int, str, int, int]]:
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("lines")
     for batch in batches:
         row, no, h1, h2 = [], [], [], []
         for r, text in enumerate(batch.column("text")):
@@ -129,6 +131,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _keys(batches: Iterator[pa.RecordBatch], max_edits: int) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     digest = xxhash.xxh3_64_intdigest
+    claim("lines")
     h1, sig, index, probe = [], [], [], []
 
     def flush() -> pa.RecordBatch:

@@ -17,10 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed
+from .memos import claim, register
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Words kept per worker with their ids; beyond it the memo starts anew.
-MEMO_WORDS = 1_500_000
+MEMO_WORDS = 1_200_000
 #: Text encoded at a time.
 PART_BYTES = 8 << 20
 _TWO_SPACES = re.compile(r"\s\s")
@@ -42,6 +43,7 @@ class Encoder:
         self.spaced: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
         self.newline = self.encode(["\n"])[0]
+        register("packing", self.spaced, self.bare)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -148,6 +150,7 @@ def pack_documents(
 def _pack_partition(
     batches: Iterator[pa.RecordBatch], vocabulary: str, size: int, windows: int, end_id: int, min_cut: int
 ) -> Iterator[pa.RecordBatch]:
+    claim("packing")
     encode, end = encoder(vocabulary), np.array([end_id], "<u4").tobytes()
     base = TaskContext.get().partitionId() << 36
     schema = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ")] + [("ids", pa.binary())])

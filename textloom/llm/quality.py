@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
 import operator
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import maybe_broadcast
+from .memos import claim
 
 #: Labelled rows on which the classifier is fitted, at most; the rows with the least hashes of doc_id are taken.
 SAMPLE_ROWS = 10_000
@@ -106,22 +105,25 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
         return Model({}, np.zeros(10), np.ones(10), np.zeros(11), np.zeros(11), 0.5)
     toxic = rows.column("toxic").to_numpy().astype(float)
     junk = 1.0 - rows.column("quality").to_numpy().astype(float)
-    words = rows.column("words").to_pylist()
-    bad, all_ = Counter(), Counter()
-    for r, t in zip(words, toxic, strict=True):
-        all_.update(r)
-        if t:
-            bad.update(r)
+    lists = rows.column("words").combine_chunks()
+    coded = lists.flatten().dictionary_encode()
+    row, code = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), coded.indices.to_numpy()
     nt, nc = toxic.sum(), len(toxic) - toxic.sum()
-    log_odds = lambda b, n, nt, nc: math.log((b + 0.5) / (nt + 1)) - math.log((n - b + 0.5) / (nc + 1))
-    odds = {w: log_odds(b, all_[w], nt, nc) for w, b in bad.items() if all_[w] >= WORD_DOCS}
-    weights = {w: min(o, 6.0) for w, o in odds.items() if o >= WORD_LOG_ODDS}
-    telling = {w for w, o in odds.items() if o >= WORD_LOG_ODDS - 1.2}  # one vote less moves no other word that far
+    all_ = np.bincount(code, minlength=len(coded.dictionary))
+    bad = np.bincount(code, weights=toxic[row], minlength=len(coded.dictionary))
+    odds = np.log((bad + 0.5) / (nt + 1)) - np.log((all_ - bad + 0.5) / (nc + 1))
+    telling = np.flatnonzero((all_ >= WORD_DOCS) & (bad > 0) & (odds >= WORD_LOG_ODDS))
+    weights = {coded.dictionary[int(i)].as_py(): float(min(odds[i], 6)) for i in telling}
     x = np.array(rows.column("x").to_pylist())
-    for i, (r, t) in enumerate(zip(words, toxic, strict=True)):  # the lexical features, each document without its own vote
-        own = [log_odds(bad[w] - t, all_[w] - 1, nt - t, nc - (1 - t)) for w in telling.intersection(r) if all_[w] > WORD_DOCS]
-        hits = sorted((min(o, 6) for o in own if o >= WORD_LOG_ODDS), reverse=True)
-        x[i, -2:] = sum(hits[:3]), min(len(hits), 4)
+    # the lexical features of the sample, each document without its own vote
+    t = toxic[row]
+    b, n = bad[code] - t, all_[code] - 1
+    own = np.minimum(np.log((b + 0.5) / (nt - t + 1)) - np.log((n - b + 0.5) / (nc - 1 + t + 1)), 6)
+    hit = np.flatnonzero((n >= WORD_DOCS) & (b > 0) & (own >= WORD_LOG_ODDS))
+    hit = hit[np.lexsort((-own[hit], row[hit]))]
+    place = np.arange(len(hit)) - np.searchsorted(row[hit], row[hit])
+    x[:, -2] = np.bincount(row[hit], weights=np.where(place < 3, own[hit], 0), minlength=len(x))
+    x[:, -1] = np.minimum(np.bincount(row[hit], minlength=len(x)), 4)
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
     z = _standard(x, mean, scale)
     return Model(weights, mean, scale, _logistic(z, junk), _logistic(z, toxic), float(np.clip(((1 - junk) * (1 - toxic)).mean(), 0.01, 0.99)))
@@ -140,6 +142,7 @@ def _scored(docs: DataFrame, model: Model, name: str) -> DataFrame:
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality")
         for batch in batches:
             e = keep_evidence(batch.column("text").to_pylist(), model)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(e, pa.float64())], [*batch.schema.names, name])

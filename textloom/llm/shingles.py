@@ -5,9 +5,11 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .memos import register
+
 SHINGLE = 5
 #: Words kept per worker with their hashes; beyond it the memo starts anew.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 500_000
 #: Fixed odd multipliers of the hash mixes.
 P1, P2, P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -21,6 +23,7 @@ class _Memo(dict):
 
 
 _hashes = _Memo()
+register("shingles", _hashes)
 
 
 def words(text: str | None) -> list[bytes]:
