@@ -11,14 +11,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_W = Window.partitionBy("sentence_id").orderBy("i")
+
+def _order():
+    return Window.partitionBy("sentence_id").orderBy("i")
 
 
 def neighbours(tokens: DataFrame) -> DataFrame:
     """Tokens with the structs of up to four tokens before and six after: n1.., p1.. in one sort."""
     this = F.struct("i", "w", "pos", "lemma", "gcase", "verb_form", "pronoun_type")
-    after = {f"n{k}": F.lead(this, k).over(_W) for k in range(1, 7)}
-    before = {f"p{k}": F.lag(this, k).over(_W) for k in range(1, 5)}
+    after = {f"n{k}": F.lead(this, k).over(_order()) for k in range(1, 7)}
+    before = {f"p{k}": F.lag(this, k).over(_order()) for k in range(1, 5)}
     return tokens.withColumns(after | before)
 
 
@@ -39,7 +41,7 @@ def find_constructions(tokens: DataFrame) -> DataFrame:
     verb = F.col("pos") == "verb"
     future = verb & (F.col("lemma") == "быть") & (F.col("tense") == "future") & (F.col("n1.pos") == "verb") & (F.col("n1.verb_form") == "infinitive")
     # the infinitive of an analytic future is no predicate of its own
-    t = t.withColumn("aux", F.coalesce(future, F.lit(False))).withColumn("used", F.coalesce(F.lag("aux").over(_W), F.lit(False)) | F.col("aux"))
+    t = t.withColumn("aux", F.coalesce(future, F.lit(False))).withColumn("used", F.coalesce(F.lag("aux").over(_order()), F.lit(False)) | F.col("aux"))
     finite = verb & F.col("verb_form").isin("past", "present-future", "imperative", "infinitive") & ~F.col("used")
     negative = _first("p", range(1, 4), lambda x: x["pronoun_type"] == "negative")
     genitive = _first("n", range(1, 4), lambda x: (x["gcase"] == "gen") & x["pos"].isin("noun", "proper", "pronoun"))
@@ -67,9 +69,9 @@ def find_constructions(tokens: DataFrame) -> DataFrame:
         _row(t, 13, w.isin("чтобы", "чтоб"), "purpose:чтобы", [i, _first("n", range(1, 7), lambda x: x["pos"] == "verb")], 0.85),
         _row(t, 14, F.col("pos") == "comparative", "comparative", [i, than], 0.8),
     ]
-    ni = t.where(w == "ни").select("sentence_id", "i", F.lead("i").over(_W).alias("next")).where("next - i <= 8")
+    ni = t.where(w == "ни").select("sentence_id", "i", F.lead("i").over(_order()).alias("next")).where("next - i <= 8")
     found.append(_row(ni, 7, F.lit(True), "negation:ni-ni", [F.col("i"), F.col("next")], 0.8))
-    names = t.where("pos = 'proper'").withColumn("island", i - F.row_number().over(_W))
+    names = t.where("pos = 'proper'").withColumn("island", i - F.row_number().over(_order()))
     runs = names.groupBy("sentence_id", "lemma", "island").agg(F.min("i").alias("head"), F.array_sort(F.collect_list("i")).alias("members"))
     named = runs.select("sentence_id", F.lit(15).alias("finder"), F.concat(F.lit("name:"), "lemma").alias("pattern"), "head", "members", F.lit(0.9).alias("confidence"))
     return reduce(DataFrame.unionByName, [*found, named])
