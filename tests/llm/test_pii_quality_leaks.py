@@ -101,3 +101,27 @@ def test_leaks_planted_verbatim_and_re_parameterised(spark):
     got = {(r.doc_id, r.item_id) for r in find_leaks(df, bench).collect()}
     assert got == {(1, 0), (2, 1), (3, 2)}
     assert find_leaks(df.limit(0), bench).count() == 0 and find_leaks(df, bench.limit(0)).count() == 0
+
+
+def test_leaks_in_parts_edited_and_short(spark):
+    rng = random.Random(7)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9))) for _ in range(3000)]
+    words = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    long, other, mid, short, digits = words(59), words(59), words(15), words(5), [str(n) for n in range(1234, 1243)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate((long, other, mid, short, digits))], "item_id long, text string")
+    around = lambda w: " ".join([*words(40), *w, *words(40)])
+    docs = [
+        (1, around(long[10:42])),  # a run of 32 words, under half
+        (2, around(other[:29] + ["zzz"] + other[29:])),  # one word more in the middle
+        (3, around(mid[:7] + ["zzz"] + mid[8:])),  # every window of 8 is broken
+        (4, around(short)),
+        (5, around(digits)),  # no literal word
+        (6, around([x for k in range(0, 59, 12) for x in [*long[k : k + 11], "zzz"]])),  # in order, no long run
+        (7, around(long[20:32])),
+        (8, around(other[44:56] + ["zzz"] + other[24:36] + ["zzz"] + other[4:16])),  # out of order
+        (9, around(mid[:7])),
+        (10, around(short[:4])),
+        (11, around([str(int(d) + 100) for d in digits])),
+    ]
+    got = {(r.doc_id, r.item_id) for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), bench).collect()}
+    assert got == {(1, 0), (2, 1), (3, 2), (4, 3), (5, 4), (6, 0)}

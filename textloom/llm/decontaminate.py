@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from .common import checkpointed, maybe_broadcast
 
 #: Words of a template window, literal words it must hold on the benchmark's side, and the share of an
-#: item's windows that a document must hold in line.
+#: item's windows that a document must hold in order.
 WINDOW, MIN_LITERAL, MIN_COVERAGE = 8, 4, 0.5
+#: Template words in a row that are a leak by themselves.
+LONG_RUN = 13
 #: Units of measurement that become placeholders after a number.
 UNITS = "mm|cm|dm|km|m|mg|g|kg|t|ml|cl|l|s|sec|min|h|hrs|hours|days|weeks|years|miles|feet|ft|inches|in|lb|lbs|oz|usd|eur|dollars|euros|cents|percent"
 #: Start and end of a slot's value in marked text; both and '#' are blanked in the input.
@@ -39,49 +41,122 @@ def slot_words(text: Column) -> Column:
     return F.regexp_extract_all(_templated(text, True), F.lit(f"#[NAU]{_FROM}[^{_TO}]*{_TO}|[\\p{{L}}\\p{{N}}]+"), F.lit(0))
 
 
-def _windows(df: DataFrame, key: str, window: int) -> DataFrame:
-    """(key, pos, w0..): every run of `window` template words."""
-    n = F.size("words") - (window - 1)
+def _item_windows(items: DataFrame, words: Column, window: int, min_literal: int) -> DataFrame:
+    """(item_id, item_pos, k, is, literal): the windows of each item as k template words joined by blanks.
+
+    k is `window`, but about half the words of an item of 9 to 2 * window words, so that one changed word leaves
+    windows on either side of it, and all the words of a shorter one."""
+    n = F.size("words")
+    k = F.when(n <= window, n).otherwise(F.least(F.lit(window), F.floor((n - 1) / 2).cast("int")))
+    literal = F.size(F.filter("w", lambda x: ~x.startswith("#"))) >= F.ceil(F.col("k") * min_literal / window)
     return (
-        df.select(key, template_words(F.col("text")).alias("words")).where(F.size("words") >= window)
-        .select(key, F.posexplode(F.arrays_zip(*[F.slice("words", k + 1, n).alias(f"w{k}") for k in range(window)])).alias("pos", "w"))
-        .select(key, "pos", *[F.col(f"w.w{k}").alias(f"w{k}") for k in range(window)])
+        items.select("item_id", words.alias("words")).where(n > 0).withColumn("k", k)
+        .select("item_id", "k", "words", F.explode(F.sequence(F.lit(0), n - F.col("k"))).alias("item_pos"))
+        .withColumn("w", F.slice("words", F.col("item_pos") + 1, F.col("k")))
+        .select("item_id", "item_pos", "k", F.concat_ws(" ", "w").alias("is"), literal.alias("literal"), F.slice("w", 1, F.col("k") - (F.col("k") + 1) % 2).alias("head"))
     )
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_literal: int = MIN_LITERAL, min_coverage: float = MIN_COVERAGE) -> DataFrame:
-    """(doc_id, item_id, matched, windows): documents that hold a benchmark item, as it is or with other numbers, names or units.
+def _hits(base: DataFrame, wanted: DataFrame, words: Column, odd: int) -> DataFrame:
+    """(doc_id, key, item_id, item_pos, k, shift): where the windows of `odd` or `odd` + 1 words lie in the documents.
+
+    The first `odd` words are the key of one hash join; the words themselves confirm it."""
+    names = [f"w{i}" for i in range(odd + 1)]
+    n = F.size("words") - (odd - 1)
+    at = (
+        base.select("doc_id", "key", words.alias("words")).where(F.size("words") >= odd)
+        .select("doc_id", "key", F.posexplode(F.arrays_zip(*[F.slice("words", i + 1, n).alias(w) for i, w in enumerate(names)])).alias("pos", "w"))
+        .select("doc_id", "key", "pos", *[F.col(f"w.{w}").alias(w) for w in names])
+        .select("doc_id", "key", "pos", F.xxhash64(*names[:-1]).alias("h"), *names)
+    )
+    seeds = wanted.where(F.col("k").isin(odd, odd + 1)).select("item_id", "item_pos", "k", "is", _hash_of("head", odd).alias("h"))
+    same = F.when(F.col("k") == odd, F.concat_ws(" ", *names[:-1])).otherwise(F.concat_ws(" ", *names)) == F.col("is")
+    return at.join(maybe_broadcast(checkpointed(seeds)), "h").where(same).select("doc_id", "key", "item_id", "item_pos", "k", (F.col("pos") - F.col("item_pos")).alias("shift"))
+
+
+def _hash_of(words: str, n: int) -> Column:
+    return F.xxhash64(*[F.get(words, F.lit(i)) for i in range(n)])
+
+
+def _runs(at: Column, k: Column) -> Column:
+    """Runs (s, e, at) of item words that the windows at the sorted positions `at` cover without a gap."""
+    first = F.filter(at, lambda p, i: (i == 0) | (p - F.get(at, i - 1) > k))
+    last = F.filter(at, lambda p, i: (i == F.size(at) - 1) | (F.get(at, i + 1) - p > k))
+    return F.zip_with(first, last, lambda s, t: F.struct(s.alias("s"), (t + k - 1).alias("e"), F.filter(at, lambda p: p.between(s, t)).alias("at")))
+
 
-    Texts become templates of typed placeholders. Every window of `window` template words of every whole
-    document meets the windows of the items (those with `min_literal` literal words) in a hash join;
-    the words themselves confirm it. A document leaks an item if, at one alignment, it holds at least
-    `min_coverage` of the item's windows, and the slots of the aligned stretch agree one to one: an
-    item's value always has the same counterpart and no two values share one.
+def _agree(pairs: Column) -> Column:
+    """Whether the slots of (item value, document value) pairs agree."""
+    return (F.size(pairs) == F.size(F.array_distinct(pairs["a"]))) & (F.size(pairs) == F.size(F.array_distinct(pairs["b"])))
 
-    Null texts or ids match nothing; items with fewer template words than a window, or without a window
-    literal enough, aren't looked for; repeated rows of a document count once; empty tables give no rows."""
+
+def _in_order(runs: Column) -> Column:
+    """Most item words that runs in the order of both texts cover, with slots that agree; a fold over runs by their end."""
+    none = F.array().cast("array<struct<e:int,shift:int,n:int,p:array<struct<a:string,b:string>>>>")
+
+    def after(b: Column, r: Column) -> Column:
+        start = F.greatest(r["s"], b["e"] + 1, b["e"] + b["shift"] - r["shift"] + 1)
+        return F.struct(r["e"].alias("e"), r["shift"].alias("shift"), (b["n"] + r["e"] - start + 1).alias("n"), F.array_union(b["p"], r["p"]).alias("p"), (start <= r["e"]).alias("more"))
+
+    def step(done: Column, r: Column) -> Column:
+        alone = F.struct(r["e"].alias("e"), r["shift"].alias("shift"), (r["e"] - r["s"] + 1).alias("n"), r["p"].alias("p"))
+        longer = F.filter(F.transform(done, lambda b: after(b, r)), lambda x: x["more"] & _agree(x["p"]))
+        longer = F.transform(longer, lambda x: F.struct(x["e"].alias("e"), x["shift"].alias("shift"), x["n"].alias("n"), x["p"].alias("p")))
+        best = F.aggregate(longer, alone, lambda x, y: F.when(y["n"] > x["n"], y).otherwise(x))
+        return F.concat(done, F.array(best))
+
+    by_end = F.array_sort(runs, lambda x, y: F.coalesce(F.nullif(F.signum(x["e"] - y["e"]), F.lit(0.0)), F.signum(x["shift"] - y["shift"])).cast("int"))
+    return F.coalesce(F.array_max(F.transform(F.aggregate(by_end, none, step), lambda b: b["n"])), F.lit(0))
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_literal: int = MIN_LITERAL, min_coverage: float = MIN_COVERAGE) -> DataFrame:
+    """(doc_id, item_id, matched, windows): documents that hold a benchmark item or much of it, as it is or with other numbers, names or units.
+
+    Texts become templates of typed placeholders. Every window of template words of every whole document
+    meets the windows of the items in a hash join; the words themselves confirm it. An item's windows have
+    `window` words, those of an item of up to 2 * window words fewer (`_item_windows`), and count if enough
+    of their words are literal (`min_literal` of a whole window); where none is, the item is looked for
+    with its own numbers, names and units. Windows of one alignment that touch make a run of item words.
+    A run counts if the slots in it agree. A document leaks an item if one run has LONG_RUN words, or if
+    runs in the order of both texts, with slots that agree, hold as many words as `min_coverage` of the
+    item's windows in line would, at least `window` or all of a shorter item.
+
+    `matched` of an item's `windows` lie in runs that count. Null texts or ids match nothing; repeated rows
+    count once, different texts of one doc_id apart; empty tables give no rows."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").dropDuplicates(["item_id"])
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    names = [f"w{k}" for k in range(window)]
-    literal = sum((F.when(F.col(w).startswith("#"), 0).otherwise(1) for w in names), F.lit(0))
-    wanted = _windows(items, "item_id", window).where(literal >= min_literal)
-    wanted = checkpointed(wanted.select("item_id", F.col("pos").alias("item_pos"), F.xxhash64(*names).alias("k"), F.concat_ws(" ", *names).alias("is")))
-    totals = wanted.groupBy("item_id").agg(F.count("*").alias("windows"))
-    found = (
-        _windows(base, "doc_id", window).select("doc_id", "pos", F.xxhash64(*names).alias("k"), *names)
-        .join(maybe_broadcast(wanted), "k").where(F.col("is") == F.concat_ws(" ", *names))
-        .groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"))
-        .agg(F.count_distinct("item_pos").alias("matched"))
-        .join(maybe_broadcast(totals), "item_id").where(F.col("matched") >= min_coverage * F.col("windows"))
-    )
-    found = checkpointed(found)
-
-    slots = items.select("item_id", slot_words(F.col("text")).alias("item_words")).join(found.select("item_id").distinct(), "item_id", "left_semi")
-    texts = base.join(maybe_broadcast(found.select("doc_id").distinct()), "doc_id").dropDuplicates(["doc_id", "text"])
-    both = found.join(texts.select("doc_id", slot_words(F.col("text")).alias("doc_words")), "doc_id").join(maybe_broadcast(slots), "item_id")
-    place = F.transform("item_words", lambda w, i: F.struct(w.alias("a"), F.get("doc_words", i + F.col("shift").cast("int")).alias("b")))
-    pairs = F.array_distinct(F.filter(place, lambda p: p["a"].startswith("#") & (F.substring(p["a"], 1, 2) == F.substring(p["b"], 1, 2))))
-    one_to_one = both.select("doc_id", "item_id", "matched", "windows", pairs.alias("p")).where(
-        (F.size("p") == F.size(F.array_distinct("p.a"))) & (F.size("p") == F.size(F.array_distinct("p.b")))
-    )
-    return one_to_one.groupBy("doc_id", "item_id", "windows").agg(F.max("matched").alias("matched")).select("doc_id", "item_id", "matched", "windows")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text").where("doc_id is not null and text is not null")
+    text, hits = F.col("text"), None
+    typed = checkpointed(_item_windows(items, template_words(text), window, min_literal).where("literal"))
+    plain = items.join(typed.select("item_id").distinct(), "item_id", "left_anti")
+    plain = checkpointed(_item_windows(plain, F.transform(slot_words(text), F.lower), window, 0))
+    for wanted, words in ((typed, template_words(text)), (plain, F.transform(slot_words(text), F.lower))):
+        for odd in sorted({(r.k - 1) // 2 * 2 + 1 for r in wanted.select("k").distinct().collect()}):
+            more = _hits(base, wanted, words, odd)
+            hits = more if hits is None else hits.unionByName(more)
+    if hits is None:
+        return base.select("doc_id", F.col("doc_id").alias("item_id"), F.lit(0).alias("matched"), F.lit(0).alias("windows")).limit(0)
+    every = typed.unionByName(plain).groupBy("item_id", "k").agg(F.count("*").cast("int").alias("windows"), F.max("item_pos").alias("last"))
+    need = F.greatest(F.ceil(min_coverage * F.col("windows")).cast("int") + F.col("k") - 1, F.least(F.lit(window), F.col("last") + F.col("k")))
+    every = every.select("item_id", "windows", F.least(need, F.lit(LONG_RUN)).alias("least"), need.alias("need"))
+
+    lined = hits.groupBy("doc_id", "key", "item_id", "k", "shift").agg(F.array_sort(F.collect_set("item_pos")).alias("at"))
+    runs = F.transform(_runs(F.col("at"), F.col("k")), lambda r: F.struct(F.col("shift"), r["s"].alias("s"), r["e"].alias("e"), r["at"].alias("at")))
+    found = lined.withColumn("runs", runs).groupBy("doc_id", "key", "item_id").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    held = F.size(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["s"], r["e"])))))
+    found = checkpointed(found.join(maybe_broadcast(every), "item_id").where(held >= F.col("least")))
+
+    slots = items.select("item_id", slot_words(text).alias("item_words")).join(found.select("item_id").distinct(), "item_id", "left_semi")
+    texts = base.join(maybe_broadcast(found.select("doc_id", "key").distinct()), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
+    both = found.join(texts.select("doc_id", "key", slot_words(text).alias("doc_words")), ["doc_id", "key"]).join(maybe_broadcast(slots), "item_id")
+
+    def with_slots(r: Column) -> Column:
+        place = F.transform(F.sequence(r["s"], r["e"]), lambda i: F.struct(F.get("item_words", i).alias("a"), F.get("doc_words", i + r["shift"]).alias("b")))
+        pairs = F.array_distinct(F.filter(place, lambda p: p["a"].startswith("#")))
+        return F.struct(r["shift"].alias("shift"), r["s"].alias("s"), r["e"].alias("e"), r["at"].alias("at"), pairs.alias("p"))
+
+    kept = F.filter(F.transform("runs", with_slots), lambda r: _agree(r["p"]))
+    judged = both.select("doc_id", "item_id", "windows", "least", "need", kept.alias("runs"))
+    one = F.exists("runs", lambda r: r["e"] - r["s"] + 1 >= F.col("least"))
+    leaks = judged.where(F.when(one, True).otherwise(_in_order(F.col("runs")) >= F.col("need")))
+    matched = F.size(F.array_distinct(F.flatten("runs.at"))).cast("long")
+    return leaks.groupBy("doc_id", "item_id", F.col("windows").cast("long").alias("windows")).agg(F.max(matched).alias("matched")).select("doc_id", "item_id", "matched", "windows")
