@@ -4,7 +4,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from textloom.llm.decontaminate import find_leaks
+from textloom.llm.decontaminate import find_leaks, slot_words, template_words
 from textloom.llm.pii import KINDS, pseudonymise
 from textloom.llm.quality import classify
 
@@ -125,3 +125,25 @@ def test_leaks_in_parts_edited_and_short(spark):
     ]
     got = {(r.doc_id, r.item_id) for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), bench).collect()}
     assert got == {(1, 0), (2, 1), (3, 2), (4, 3), (5, 4), (6, 0)}
+
+
+def test_leaks_whose_slots_are_judged_where_they_match(spark):
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9))) for _ in range(3000)]
+    words = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    start, end = words(24) + " 12 " + words(9) + " 35 ", words(12) + " 12 " + words(3)
+    items = [(0, start + end), (1, words(24) + " 12 " + words(9) + " 35 " + words(12))]
+    before = " the A380 and some COVID19 or a B52 "
+    docs = [
+        (1, start + words(12) + " 77 " + words(3)),  # an item's value contradicted where nothing matches
+        (2, items[1][1].replace(" 12 ", " 5 ").replace(" 35 ", " 5 ")),  # two values became one
+        (3, words(30) + before + items[0][1].replace(" 12 ", " 99 ")),
+        (4, words(30) + before + words(5) + start.replace(" 12 ", " 5 ") + end),  # one value became two
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    got = {(r.doc_id, r.item_id) for r in find_leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 0), (2, 1), (3, 0)}
+    texts = ["the A380, some COVID19 #1", "in İstanbul and İİx7, a B52 12,5 kg", ""]
+    t = spark.createDataFrame([(x,) for x in texts], "text string").select(template_words(F.col("text")).alias("t"), slot_words(F.col("text")).alias("s"))
+    for r in t.collect():
+        assert [x[:2].lower() if x.startswith("#") else x.lower() for x in r.s] == r.t

@@ -18,27 +18,27 @@ UNITS = "mm|cm|dm|km|m|mg|g|kg|t|ml|cl|l|s|sec|min|h|hrs|hours|days|weeks|years|
 _FROM, _TO = "\u0001", "\u0002"
 
 
-def _templated(text: Column, marked: bool) -> Column:
-    """Text with numbers, names and units replaced by #N, #A and #U; marked keeps each value behind its sign.
+def _templated(text: Column) -> Column:
+    """Text with numbers, names and units replaced by #N, #A and #U, each with its value behind it.
 
     A number is digits with inner punctuation, a unit one of UNITS right after a number, a name a
     capitalised word that does not begin a sentence (a letter, digit, comma or the like comes before)."""
-    put = (lambda sign, group: f"#{sign}{_FROM}${group}{_TO}") if marked else (lambda sign, group: f"#{sign}")
-    value = f"#N{_FROM}[^{_TO}]*{_TO}" if marked else "#N"
-    t = F.translate(text, f"#{_FROM}{_TO}", "   ")
+    put = lambda sign, group: f"#{sign}{_FROM}${group}{_TO}"
+    t = F.translate(text, f"#{_FROM}{_TO}\u0130", "   I")  # U+0130 is two characters in lower case
     t = F.regexp_replace(t, r"(?<=[\p{L}\p{N},;:'\)] )(\p{Lu}[\p{L}'-]*+)", put("A", 1))
     t = F.regexp_replace(t, r"(?<![#\u0001\p{Lu}])(\d+(?:[.,:/-]\d+)*+)", put("N", 1))
-    return F.regexp_replace(t, rf"({value}) ?((?i:{UNITS}))(?![\p{{L}}\p{{N}}])", "$1 " + put("U", 2))
+    return F.regexp_replace(t, rf"(#N{_FROM}[^{_TO}]*{_TO}) ?((?i:{UNITS}))(?![\p{{L}}\p{{N}}])", "$1 " + put("U", 2))
 
 
 def template_words(text: Column) -> Column:
-    """Lower-cased words and placeholders of a text; punctuation falls away."""
-    return F.regexp_extract_all(F.lower(_templated(text, False)), F.lit(r"#[nau]|[\p{L}\p{N}]+"), F.lit(0))
+    """Lower-cased words and placeholders of a text; punctuation falls away. They are those of slot_words, one for one."""
+    bare = F.regexp_replace(_templated(text), f"{_FROM}[^{_TO}]*{_TO}", " ")
+    return F.regexp_extract_all(F.lower(bare), F.lit(r"#[nau]|[\p{L}\p{N}]+"), F.lit(0))
 
 
 def slot_words(text: Column) -> Column:
     """The same words, with each placeholder followed by the value it stands for."""
-    return F.regexp_extract_all(_templated(text, True), F.lit(f"#[NAU]{_FROM}[^{_TO}]*{_TO}|[\\p{{L}}\\p{{N}}]+"), F.lit(0))
+    return F.regexp_extract_all(_templated(text), F.lit(f"#[NAU]{_FROM}[^{_TO}]*{_TO}|[\\p{{L}}\\p{{N}}]+"), F.lit(0))
 
 
 def _item_windows(items: DataFrame, words: Column, window: int, min_literal: int) -> DataFrame:
@@ -86,8 +86,8 @@ def _runs(at: Column, k: Column) -> Column:
 
 
 def _agree(pairs: Column) -> Column:
-    """Whether the slots of (item value, document value) pairs agree."""
-    return (F.size(pairs) == F.size(F.array_distinct(pairs["a"]))) & (F.size(pairs) == F.size(F.array_distinct(pairs["b"])))
+    """Whether each item value has one counterpart in distinct (item value, document value) pairs."""
+    return F.size(pairs) == F.size(F.array_distinct(pairs["a"]))
 
 
 def _in_order(runs: Column) -> Column:
@@ -117,7 +117,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_
     `window` words, those of an item of up to 2 * window words fewer (`_item_windows`), and count if enough
     of their words are literal (`min_literal` of a whole window); where none is, the item is looked for
     with its own numbers, names and units. Windows of one alignment that touch make a run of item words.
-    A run counts if the slots in it agree. A document leaks an item if one run has LONG_RUN words, or if
+    A run counts if the slots in it agree: an item's value always has the same counterpart. A document leaks an item if one run has LONG_RUN words, or if
     runs in the order of both texts, with slots that agree, hold as many words as `min_coverage` of the
     item's windows in line would, at least `window` or all of a shorter item.
 
