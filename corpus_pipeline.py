@@ -29,15 +29,27 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard_components(docs)
-    gone = checkpointed(found.where("doc_id <> component_id").select("doc_id").distinct())
-    once = docs.join(maybe_broadcast(gone), "doc_id", "left_anti")
-    return once.select(docs.columns)
+    """One row of each group: the smallest doc_id (nulls last), also of rows repeated as a whole and of rows without an id.
+
+    Texts are told apart by their fingerprint, so one doc_id can have several; null and blank texts stay."""
+    keyed = docs.withColumn("__key", F.xxhash64("text"))
+    found = jaccard_components(keyed.select(F.col("__key").alias("doc_id"), "text")).where("n_shingles > 0")
+    groups = checkpointed(found.select(F.col("doc_id").alias("__key"), "component_id").distinct())
+    at = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("__key").alias("key"))
+    places = checkpointed(keyed.groupBy("doc_id", "__key").agg(F.count("*").alias("n")).join(groups, "__key").select("component_id", "n", at.alias("at")))
+    first = places.groupBy("component_id").agg(F.min("at").alias("first"))
+    judged = checkpointed(places.join(first, "component_id").where("at <> first or n > 1").select("at.*", (F.col("at") == F.col("first")).alias("stays")))
+    judged = maybe_broadcast(judged.select(F.col("doc_id").alias("__id"), F.col("key").alias("__of"), "stays"))
+    marked = keyed.join(judged, keyed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__of")), "left")
+    once = marked.where("stays is null").select(docs.columns)
+    return once.unionByName(marked.where("stays").dropDuplicates(["doc_id", "__key"]).select(docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    leaks = checkpointed(find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
-    return docs.join(maybe_broadcast(leaks), "doc_id", "left_anti").select(docs.columns)
+    """Rows whose text holds no benchmark item, with or without a doc_id."""
+    texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    leaks = checkpointed(find_leaks(texts, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__key")).distinct())
+    return docs.withColumn("__key", F.xxhash64("text")).join(maybe_broadcast(leaks), "__key", "left_anti").select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -80,3 +80,20 @@ def test_pipeline_stages(spark):
             assert not any(100 * len(s & t) >= 76 * len(s | t) for i, (_, s) in enumerate(sets) for _, t in sets[:i])
         before = after
     assert {r.doc_id for r in after.select("doc_id").distinct().collect()} == set(kept)
+
+
+@pytest.mark.skipif(not (os.path.isdir(SF) and importlib.util.find_spec("corpus_pipeline")), reason="no test tables or pipeline")
+def test_pipeline_rows_repeated_and_without_id(spark):
+    import corpus_pipeline as P
+
+    words = [f"w{i}" for i in range(60)]
+    a, near, b, c = " ".join(words), " ".join(words[:59]), "b " * 5 + "q r s t u v", "c d e f g h i j"
+    schema = "doc_id long, text string, n_chars long"
+    rows = [(5, a, 1), (5, a, 1), (3, near, 2), (None, a, 3), (None, b, 4), (None, b, 4), (7, c, 5), (7, c, 6), (7, "x y z u v w", 7), (8, None, 8), (9, "", 9)]
+    out = P.near_duplicates(spark, spark.createDataFrame(rows, schema).repartition(3), SF).collect()
+    got = sorted(((r.doc_id, r.text) for r in out), key=str)
+    assert got == sorted([(3, near), (None, b), (7, c), (7, "x y z u v w"), (8, None), (9, "")], key=str)
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    rows = [(None, item, 1), (1, f"so {item}", 2), (None, c, 3), (None, None, 4), (2, c, 5)]
+    out = P.decontamination(spark, spark.createDataFrame(rows, schema), SF).collect()
+    assert sorted(r.n_chars for r in out) == [3, 4, 5]
