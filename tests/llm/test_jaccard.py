@@ -65,3 +65,11 @@ def test_empty_table_nulls_and_extra_columns(spark):
     rows = [(7, "a b c d e f", "q", 1, 1), (7, "a b c d e f", "q", 1, 1), (9, "A b c d e f", None, None, None), (None, "a b c d e f", "z", 1, 1), (11, None, "z", 1, 1)]
     got = sorted((tuple(r) for r in jaccard_components(spark.createDataFrame(rows, schema)).collect()), key=str)
     assert got == sorted([(7, 2, 7), (7, 2, 7), (9, 2, 7), (None, 2, None), (11, 0, 11)], key=str)
+
+
+def test_several_texts_under_one_doc_id(spark):
+    a, b, c = ([f"{c}{i}" for i in range(80)] for c in "abc")
+    t = lambda w, k: " ".join(w[:k])
+    rows = [(1, t(a, 80)), (1, t(b, 80)), (2, t(b, 75)), (3, t(a, 76)), (4, ""), (4, t(c, 40) + " 4"), (5, ""), (5, t(c, 40) + " 5"), (6, "z " * 9)]
+    got = {(r.doc_id, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (5, 5), (6, 6)}

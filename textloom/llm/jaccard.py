@@ -37,8 +37,8 @@ def _sketches(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Itera
             k2.append(b)
             keys.append(seeds(s) if len(s) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-            ["doc_id", "n_shingles", "k1", "k2", "seeds"],
+            [batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), batch.column(2)],
+            ["own", "n_shingles", "k1", "k2", "seeds", "doc_id"],
         )
 
 
@@ -127,21 +127,26 @@ def jaccard_components(docs: DataFrame, percent: int = 75, bands: int = BANDS, r
     Null or empty texts have n_shingles 0 and link with nothing; a null doc_id has a null component;
     rows with one doc_id are one document (its texts all count); an empty table gives no rows; other
     columns are left out."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # inside, a text's fingerprint is its id, and own the doc_id of its row
+    docs = docs.select(F.col("doc_id").cast("long").alias("own"), "text", F.xxhash64("text").alias("doc_id"))
     sketch = checkpointed(
-        docs.mapInArrow(lambda b: _sketches(b, bands, rows), "doc_id long, n_shingles long, k1 long, k2 long, seeds array<long>")
+        docs.mapInArrow(lambda b: _sketches(b, bands, rows), "own long, n_shingles long, k1 long, k2 long, seeds array<long>, doc_id long")
     )
-    keyed = sketch.where("n_shingles > 0 and doc_id is not null")
-    classes = checkpointed(keyed.groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    keyed = sketch.where("n_shingles > 0 and own is not null")
+    first = F.min(F.struct("own", "doc_id"))
+    classes = checkpointed(keyed.groupBy("n_shingles", "k1", "k2").agg(first.alias("first"), F.count("*").alias("copies")))
+    classes = classes.select("n_shingles", "k1", "k2", "copies", F.col("first.own").alias("own"), F.col("first.doc_id").alias("rep"))
     links = _links(docs, keyed, classes, percent, region_shingles)
     # several texts under one doc_id: their classes meet in it
-    own = keyed.join(maybe_broadcast(keyed.groupBy("doc_id").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo < hi").select("doc_id")), "doc_id")
-    own = own.join(classes, ["n_shingles", "k1", "k2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    comp = checkpointed(connected_components(links.unionByName(own)))
-    of_class = classes.join(maybe_broadcast(comp), F.col("rep") == F.col("node"), "left").select(
-        "n_shingles", "k1", "k2", F.coalesce("component", "rep").alias("component_id")
-    )
-    found = sketch.drop("seeds").join(of_class, ["n_shingles", "k1", "k2"], "left")
+    several = keyed.groupBy("own").agg(F.min(F.struct("k1", "k2", "n_shingles")).alias("lo"), F.max(F.struct("k1", "k2", "n_shingles")).alias("hi")).where("lo <> hi")
+    meet = keyed.select("own", "n_shingles", "k1", "k2").join(maybe_broadcast(several.select("own")), "own")
+    meet = checkpointed(meet.join(classes.drop("own"), ["n_shingles", "k1", "k2"]).select("own", "rep").distinct())
+    meet = meet.join(meet.groupBy("own").agg(F.min("rep").alias("a")), "own").select("a", F.col("rep").alias("b"))
+    comp = checkpointed(connected_components(links.unionByName(meet)))
+    of_class = checkpointed(classes.join(maybe_broadcast(comp), F.col("rep") == F.col("node"), "left").select("n_shingles", "k1", "k2", "own", "component"))
+    least = of_class.where("component is not null").groupBy("component").agg(F.min("own").alias("least"))
+    of_class = of_class.join(maybe_broadcast(least), "component", "left").select("n_shingles", "k1", "k2", F.coalesce("least", "own").alias("component_id"))
+    found = sketch.select(F.col("own").alias("doc_id"), "n_shingles", "k1", "k2").join(of_class, ["n_shingles", "k1", "k2"], "left")
     return found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")).withColumn(
         "component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
     )
@@ -150,12 +155,12 @@ def jaccard_components(docs: DataFrame, percent: int = 75, bands: int = BANDS, r
 def _links(docs: DataFrame, keyed: DataFrame, classes: DataFrame, percent: int, region_shingles: int) -> DataFrame:
     """Links (a, b) that connect the representatives as all their links would."""
     eps = 1 - percent / 100
-    reps = keyed.join(classes.select(F.col("rep").alias("doc_id"), "n_shingles", "k1", "k2"), ["doc_id", "n_shingles", "k1", "k2"], "left_semi")
+    reps = keyed.join(classes.select("own", F.col("rep").alias("doc_id"), "n_shingles", "k1", "k2"), ["own", "doc_id", "n_shingles", "k1", "k2"], "left_semi")
     cells = reps.select(F.col("doc_id").alias("x"), F.explode("seeds").alias("cell"))
     shared = cells.groupBy("cell").agg(F.min("x").alias("pivot"), F.max("x").alias("last")).where("pivot < last").select("cell", "pivot")
     members = checkpointed(cells.join(shared, "cell").where("x <> pivot").select("pivot", "x").distinct())
     active = members.select("x").union(members.select("pivot")).distinct().withColumnRenamed("x", "doc_id")
-    sizes = checkpointed(reps.select("doc_id", "n_shingles").join(maybe_broadcast(checkpointed(active)), "doc_id"))
+    sizes = checkpointed(reps.select("own", "doc_id", "n_shingles").join(maybe_broadcast(checkpointed(active)), "doc_id"))
     texts = _texts(docs, sizes)
 
     d = _measure(members, texts, percent)
@@ -186,7 +191,7 @@ def _links(docs: DataFrame, keyed: DataFrame, classes: DataFrame, percent: int,
 
 def _texts(docs: DataFrame, sizes: DataFrame) -> DataFrame:
     """The texts of the documents that share a seed cell with another."""
-    return checkpointed(docs.join(maybe_broadcast(sizes.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+    return checkpointed(docs.join(maybe_broadcast(sizes.select("own", "doc_id")), ["own", "doc_id"], "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
 
 
 def _measure(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
