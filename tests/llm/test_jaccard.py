@@ -60,7 +60,7 @@ def test_components_equal_brute_force(spark, corpus, region):
 
 
 def test_empty_table_nulls_and_extra_columns(spark):
-    schema = "doc_id long, text string, component_id string, rep int, x int"
+    schema = "doc_id long, text string, component_id string, row int, x int"
     assert jaccard_components(spark.createDataFrame([], schema)).count() == 0
     rows = [(7, "a b c d e f", "q", 1, 1), (7, "a b c d e f", "q", 1, 1), (9, "A b c d e f", None, None, None), (None, "a b c d e f", "z", 1, 1), (11, None, "z", 1, 1)]
     got = sorted((tuple(r) for r in jaccard_components(spark.createDataFrame(rows, schema)).collect()), key=str)
@@ -73,3 +73,18 @@ def test_several_texts_under_one_doc_id(spark):
     rows = [(1, t(a, 80)), (1, t(b, 80)), (2, t(b, 75)), (3, t(a, 76)), (4, ""), (4, t(c, 40) + " 4"), (5, ""), (5, t(c, 40) + " 5"), (6, "z " * 9)]
     got = {(r.doc_id, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (5, 5), (6, 6)}
+
+
+def test_windows_and_rounds_equal_brute_force(spark):
+    """A tight group, a loose one, and texts that share a long passage, through all rounds."""
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(70)]
+    rows = []
+    for g in range(6):
+        base = [f"g{g}w{rng.randrange(400)}" for _ in range(60)]
+        for k in range(25):
+            rows.append((len(rows), " ".join(edited(rng, base + (passage if k % 3 else []), k % 9))))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for region in (500, 20_000):
+        assert {tuple(r) for r in jaccard_components(docs, region_shingles=region).collect()} == brute(rows)

@@ -3,14 +3,15 @@ and connected components by alternating large-star and small-star steps."""
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a table of narrow rows (a few numbers each) may be broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 200_000
+#: Measured bytes up to which a table may be broadcast; larger ones are shuffled.
+BROADCAST_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,23 +20,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` computed once and stored in the shared checkpoint folder, which survives lost executors.
-
-    The cluster names the folder in spark.checkpoint.dir; only where that is unset (tests, a laptop)
-    a folder of this machine is set."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
+    """`df` computed once and stored in the folder that spark.checkpoint.dir names, which survives lost executors.
+
+    Where that is unset, a session of one local process (tests, a laptop) gets a folder of its own; a cluster
+    fails, as its executors would not see one another's. Spark removes the files of frames no longer used
+    if spark.cleaner.referenceTracking.cleanCheckpoints is set."""
+    context = df.sparkSession.sparkContext
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
+        if re.fullmatch(r"local(\[[^\]]*\])?", context.master) is None:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
 
 
-def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether `df`, cheap to count, has at most `limit` rows: the check before each broadcast."""
-    return df.limit(limit + 1).count() <= limit
+def _bytes(c: Column, kind: T.DataType) -> Column:
+    """Bytes of a value, about as an executor holds it."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return 8 + F.coalesce(F.octet_length(c), F.lit(0))
+    if isinstance(kind, T.ArrayType):
+        inner = F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + _bytes(x, kind.elementType)) if isinstance(kind.elementType, T.StringType | T.StructType) else 8 * F.size(c)
+        return 16 + F.coalesce(F.greatest(inner, F.lit(0)), F.lit(0))
+    if isinstance(kind, T.StructType):
+        return sum((_bytes(c[f.name], f.dataType) for f in kind), F.lit(8))
+    return F.lit(8)
+
+
+def small_enough(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether `df`, stored already and so cheap to read, measures at most `limit` bytes: the check before each broadcast."""
+    width = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(8))
+    return (df.agg(F.sum(width.cast("long")).alias("b")).first()["b"] or 0) <= limit
 
 
-def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` with a broadcast hint if its counted size is within `limit`, else as it is (a shuffle join)."""
+def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """`df` with a broadcast hint if its measured size is within `limit`, else as it is (a shuffle join)."""
     return F.broadcast(df) if small_enough(df, limit) else df
 
 

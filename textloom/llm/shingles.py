@@ -5,27 +5,11 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from .memos import register
-
 SHINGLE = 5
-#: Words kept per worker with their hashes; beyond it the memo starts anew.
-MEMO_WORDS = 500_000
 #: Fixed odd multipliers of the hash mixes.
 P1, P2, P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
-class _Memo(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMO_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = _Memo()
-register("shingles", _hashes)
-
-
 def words(text: str | None) -> list[bytes]:
     """A-Z lower-cased words: runs of characters other than space, tab, newline, VT, FF and CR."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -36,7 +20,7 @@ def shingle_set(text: str | None, k: int = SHINGLE) -> np.ndarray:
     w = words(text)
     if not w:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, w), np.uint64, len(w))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, w), np.uint64, len(w))
     m = min(k, len(w))
     n = len(w) - m + 1
     acc = np.full(n, m, np.uint64)
