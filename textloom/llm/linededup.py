@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, maybe_broadcast
-from .memos import claim
 
 #: Lines under this length are left alone.
 MIN_CHARS = 10
@@ -20,8 +19,10 @@ MIN_CHARS = 10
 MAX_EDITS, CHARS_PER_EDIT = 2, 20
 #: Lines per task whose hashes are remembered, so that their keys are sent once.
 SEEN_LINES = 200_000
-#: Lines of one batch of keys sent on.
-BATCH_LINES = 4096
+#: Keys of one batch sent on.
+BATCH_KEYS = 50_000
+#: Parts of a line's character parities, one of which is equal where at most `MAX_EDITS` edits flip two each.
+PARTS = 2 * MAX_EDITS + 1
 
 
 def allowed_edits(length: int, max_edits: int) -> int:
@@ -99,6 +100,9 @@ def within(a: str, b: str, k: int) -> bool:
     return bool(states[-1] >> len(a) & 1)
 
 
+_LAST = (1 << 63) - 1
+
+
 def _signed(xs: list[int]) -> np.ndarray:
     return np.array(xs, np.uint64).view(np.int64)
 
@@ -112,7 +116,6 @@ def _lines(text: str | None) -> Iterator[tuple[int, str, int, int]]:
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    claim("lines")
     for batch in batches:
         row, no, h1, h2 = [], [], [], []
         for r, text in enumerate(batch.column("text")):
@@ -128,20 +131,21 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _keys(batches: Iterator[pa.RecordBatch], max_edits: int) -> Iterator[pa.RecordBatch]:
+def _keys(batches: Iterator[pa.RecordBatch], max_edits: int, probe: bool) -> Iterator[pa.RecordBatch]:
+    """(k, h, sig, o): the keys of each wording, its hash, its character parities and the document where this task met it."""
     seen: set[int] = set()
-    digest = xxhash.xxh3_64_intdigest
-    claim("lines")
-    h1, sig, index, probe = [], [], [], []
+    digest, places = xxhash.xxh3_64_intdigest, probe_places if probe else index_places
+    k, h, sig, o, times = [], [], [], [], []
 
     def flush() -> pa.RecordBatch:
-        columns = [pa.array(_signed(h1)), pa.array(_signed(sig)), pa.array(index, pa.list_(pa.int64())), pa.array(probe, pa.list_(pa.int64()))]
-        for x in (h1, sig, index, probe):
+        each = [np.repeat(x, times) for x in (_signed(h), _signed(sig), np.array(o, np.int64))]
+        batch = pa.RecordBatch.from_arrays([pa.array(x) for x in (_signed(k), *each)], ["k", "h", "sig", "o"])
+        for x in (k, h, sig, o, times):
             x.clear()
-        return pa.RecordBatch.from_arrays(columns, ["h1", "sig", "index", "probe"])
+        return batch
 
     for batch in batches:
-        for text in batch.column("text"):
+        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
             for _, line, a, _ in _lines(text.as_py()):
                 if a in seen or len(line) < CHARS_PER_EDIT:
                     continue
@@ -149,13 +153,15 @@ def _keys(batches: Iterator[pa.RecordBatch], max_edits: int) -> Iterator[pa.Reco
                     seen.clear()
                 seen.add(a)
                 data = line.encode("utf-32-le", "surrogatepass")
-                h1.append(a)
+                at = places(len(line), max_edits)
+                k += [digest(data[p:q], seed) for p, q, seed in at]
+                h.append(a)
                 sig.append(char_parity(data))
-                index.append(_signed([digest(data[p:q], seed) for p, q, seed in index_places(len(line), max_edits)]))
-                probe.append(_signed([digest(data[p:q], seed) for p, q, seed in probe_places(len(line), max_edits)]))
-                if len(h1) == BATCH_LINES:
+                o.append(_LAST if doc is None else doc)
+                times.append(len(at))
+                if len(k) >= BATCH_KEYS:
                     yield flush()
-    if h1:
+    if k:
         yield flush()
 
 
@@ -174,7 +180,7 @@ def _verify(batches: Iterator[pa.RecordBatch], max_edits: int) -> Iterator[pa.Re
     for batch in batches:
         a, b = batch.column("line_a").to_pylist(), batch.column("line_b").to_pylist()
         ok = [within(x, y, allowed_edits(min(len(x), len(y)), max_edits)) for x, y in zip(a, b, strict=True)]
-        yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        yield batch.select(["late"]).filter(pa.array(ok, pa.bool_()))
 
 
 def _order(*more: Column | str) -> Column:
@@ -188,42 +194,71 @@ def repeated_lines(docs: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
     A line is dropped if an earlier one equals it, or if the first place of its wording comes after that
     of another wording within the edits allowed: one per 20 characters of the shorter line, `max_edits`
     at most. Order is doc_id, then line number. The rule isn't transitive and looks at the corpus as it
-    is, so a line near a line that is itself dropped goes too. Lines under 10 characters stay."""
+    is, so a line near a line that is itself dropped goes too. Lines under 10 characters stay.
+
+    Candidates are lines of which a probed substring equals a segment of the other and whose character parities
+    differ by few bits. First each probe meets only the first wording of its key, which settles most of a group
+    of near copies. Pairs of which both lines are known to go need no look. For the rest, the keys with several
+    wordings are subdivided by parts of the parities, one of which must agree."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text").where("text is not null")
     occ = slim.mapInArrow(_occurrences, "doc_id long, key long, line_no long, h1 long, h2 long")
     first = checkpointed(occ.groupBy("h1", "h2").agg(F.min(_order(F.col("line_no"))).alias("first"), F.count("*").alias("n")))
 
-    # Candidates: a segment of one wording equals a probed substring of another, and few characters differ.
-    keys = checkpointed(slim.select("text").mapInArrow(lambda b: _keys(b, max_edits), "h1 long, sig long, index array<long>, probe array<long>"))
-    index = keys.select(F.explode("index").alias("k"), F.col("h1").alias("a"), F.col("sig").alias("sig_a"))
-    probe = keys.select(F.explode("probe").alias("k"), F.col("h1").alias("b"), F.col("sig").alias("sig_b"))
-    few = F.bit_count(F.col("sig_a").bitwiseXOR(F.col("sig_b"))) <= 2 * max_edits
-    pairs = index.join(probe, "k").where((F.col("a") != F.col("b")) & few)
-    pairs = checkpointed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    keyed = lambda probe: slim.select("doc_id", "text").mapInArrow(lambda b: _keys(b, max_edits, probe), "k long, h long, sig long, o long")
+    differ = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= 2 * max_edits
+    heads = keyed(False).groupBy("k").agg(F.min_by("h", "o").alias("a"), F.min_by("sig", "o").alias("sig_a"), (F.min("h") != F.max("h")).alias("several"))
+    probes = keyed(True).select("k", F.col("h").alias("b"), F.col("sig").alias("sig_b"))
+    near_head = (F.col("a") != F.col("b")) & differ("sig_a", "sig_b")
+    met = checkpointed(probes.join(heads, "k").where(near_head | F.col("several")).select("k", "b", "sig_b", "a", near_head.alias("near"), "several"))
+    near = _near(slim, first, _pairs(met.where("near")), max_edits)
+    late = checkpointed(near.select("late").distinct())
+
+    crowded = maybe_broadcast(checkpointed(met.where("several").select("k").distinct()))
+    known = maybe_broadcast(late.select("late", F.lit(True).alias("known")))
+    index = keyed(False).select("k", F.col("h").alias("a"), F.col("sig").alias("sig_a")).join(crowded, "k").distinct()
+    index = _parted(index.join(known, F.col("a") == F.col("late"), "left"), "a", "sig_a", "known_a")
+    more = _parted(met.where("several").select("k", "b", "sig_b").distinct().join(known, F.col("b") == F.col("late"), "left"), "b", "sig_b", "known_b")
+    rest = more.join(index, "part").where((F.col("a") != F.col("b")) & differ("sig_a", "sig_b") & ~(F.col("known_a") & F.col("known_b")))
+    near = _near(slim, first, _pairs(rest), max_edits)
+    late = checkpointed(late.unionByName(near.select("late")).distinct().withColumnRenamed("late", "h1"))
+
+    judged = first.join(maybe_broadcast(late).withColumn("late", F.lit(True)), "h1", "left").where("n > 1 or late")
+    judged = judged.select("h1", "h2", "first", F.coalesce("late", F.lit(False)).alias("late"))
+    places = occ.join(maybe_broadcast(checkpointed(judged)), ["h1", "h2"])
+    gone = places.where(F.col("late") | (_order("line_no") != F.col("first")))
+    return gone.groupBy("doc_id", "key").agg(F.collect_set("line_no").alias("gone_lines"))
+
+
+def _parted(rows: DataFrame, h: str, sig: str, known: str) -> DataFrame:
+    """Rows with a key of each part of their parities within `k`."""
+    width = -(-64 // PARTS)
+    bits = [F.shiftrightunsigned(sig, i * width).bitwiseAND((1 << width) - 1) for i in range(PARTS)]
+    parts = F.array(*[F.xxhash64("k", F.lit(i), b) for i, b in enumerate(bits)])
+    return rows.select(h, sig, F.coalesce("known", F.lit(False)).alias(known), F.explode(parts).alias("part"))
 
-    # Their texts, from the first place of each wording; equal 64-bit hashes of unequal lines are told apart there.
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    return checkpointed(rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
+def _near(slim: DataFrame, first: DataFrame, pairs: DataFrame, max_edits: int) -> DataFrame:
+    """(late): of each pair of wordings within the edits allowed, the one whose first place is later.
+
+    Texts come from the first place of each wording; equal 64-bit hashes of unequal lines are told apart there."""
     asked = pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct()
     places = first.join(maybe_broadcast(checkpointed(asked)), "h1").select("h1", "first.*")
-    wanted = places.groupBy("doc_id", "key").agg(F.collect_list(F.struct("h1", "line_no")).alias("wanted"))
-    wanted = maybe_broadcast(checkpointed(wanted)).withColumnRenamed("doc_id", "w_doc").withColumnRenamed("key", "w_key")
+    wanted = checkpointed(places.groupBy("doc_id", "key").agg(F.collect_list(F.struct("h1", "line_no")).alias("wanted")))
+    wanted = maybe_broadcast(wanted).withColumnsRenamed({"doc_id": "w_doc", "key": "w_key"})
     held = slim.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("key") == F.col("w_key")))
     lines = held.select("text", "wanted").mapInArrow(_fetch, "h1 long, line string").groupBy("h1").agg(F.min("line").alias("line"))
-    lines = checkpointed(lines)
-    both = pairs.join(lines.select(F.col("h1").alias("a"), F.col("line").alias("line_a")), "a").join(
-        lines.select(F.col("h1").alias("b"), F.col("line").alias("line_b")), "b"
-    )
-    near = both.mapInArrow(lambda b: _verify(b, max_edits), "a long, b long")
-    when = places.select("h1", _order("line_no").alias("at")).groupBy("h1").agg(F.min("at").alias("at"))
-    near = near.join(when.select(F.col("h1").alias("a"), F.col("at").alias("at_a")), "a").join(
-        when.select(F.col("h1").alias("b"), F.col("at").alias("at_b")), "b"
+    when = places.groupBy("h1").agg(F.min(_order("line_no")).alias("at"))
+    lines = checkpointed(lines.join(when, "h1"))
+    lines = maybe_broadcast(lines)
+    both = pairs.join(lines.select(F.col("h1").alias("a"), F.col("line").alias("line_a"), F.col("at").alias("at_a")), "a").join(
+        lines.select(F.col("h1").alias("b"), F.col("line").alias("line_b"), F.col("at").alias("at_b")), "b"
     )
-    late = checkpointed(near.select(F.when(F.col("at_a") > F.col("at_b"), F.col("a")).otherwise(F.col("b")).alias("h1")).distinct())
-
-    judged = first.join(maybe_broadcast(late.withColumn("late", F.lit(True))), "h1", "left").where("n > 1 or late")
-    judged = judged.select("h1", "h2", "first", F.coalesce("late", F.lit(False)).alias("late"))
-    places = occ.join(maybe_broadcast(checkpointed(judged)), ["h1", "h2"])
-    gone = places.where(F.col("late") | (_order("line_no") != F.col("first")))
-    return gone.groupBy("doc_id", "key").agg(F.collect_set("line_no").alias("gone_lines"))
+    both = both.select("line_a", "line_b", F.when(F.col("at_a") > F.col("at_b"), F.col("a")).otherwise(F.col("b")).alias("late"))
+    return both.mapInArrow(lambda b: _verify(b, max_edits), "late long")
 
 
 def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
@@ -231,11 +266,14 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
 
     Null and empty texts pass unchanged with 0; a null doc_id comes last in the order; rows equal in
     doc_id and text are one document; other columns pass (one named n_dropped is replaced)."""
-    gone = repeated_lines(docs, max_edits)
-    gone = maybe_broadcast(checkpointed(gone)).select(F.col("doc_id").alias("gone_doc"), F.col("key").alias("gone_key"), "gone_lines")
+    gone = maybe_broadcast(checkpointed(repeated_lines(docs, max_edits))).withColumnsRenamed({"doc_id": "gone_doc", "key": "gone_key"})
     base = docs.drop("n_dropped")
-    held = base.join(gone, base["doc_id"].eqNullSafe(F.col("gone_doc")) & (F.xxhash64(base["text"]) == F.col("gone_key")), "left")
-    lines = F.split(base["text"], "\n")
+    # the columns of docs stay inside a struct, so that none clashes with a helper
+    held = base.select(F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("key"))
+    held = held.join(gone, F.col("doc").eqNullSafe(F.col("gone_doc")) & (F.col("key") == F.col("gone_key")), "left")
+    whole = F.col("row.text")
+    lines = F.split(whole, "\n")
     stay = F.array_except(F.sequence(F.lit(0).cast("long"), (F.size(lines) - 1).cast("long")), F.col("gone_lines"))
-    text = F.when(F.col("gone_lines").isNull(), base["text"]).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i.cast("int"))), "\n"))
-    return held.select(*[text.alias("text") if c == "text" else base[c] for c in base.columns], F.coalesce(F.size("gone_lines"), F.lit(0)).cast("long").alias("n_dropped"))
+    text = F.when(F.col("gone_lines").isNull(), whole).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i.cast("int"))), "\n"))
+    columns = [(text if c == "text" else F.col("row")[c]).alias(c) for c in base.columns]
+    return held.select(*columns, F.coalesce(F.size("gone_lines"), F.lit(0)).cast("long").alias("n_dropped"))
