@@ -65,3 +65,76 @@ def test_secret_spans(spark):
     assert spans[6] == "random:2:42"
     assert spans[7] == "hex:0:27" and "random" not in spans[9] and spans[0] == ""
     assert scan(spark.createDataFrame([], "doc_id long, text string, hex int")).count() == 0
+
+
+ALPHABETS = ["0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+WIDEST = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+
+def tail(z):
+    z = max(min(z, 12.0), -12.0)
+    return 1 / (1 + math.exp(1.5976 * z + 0.07056 * z**3))
+
+
+def plain_battery(v):
+    """The three tests and the structure bound, written as loops."""
+    abc = next((a for a in ALPHABETS if set(v) <= set(a)), WIDEST)
+    x = [abc.index(c) for c in v.replace("-", "+").replace("_", "/")]
+    n, a = len(x), len(abc)
+    counts = [x.count(i) for i in set(x)]
+    k = a - 1
+    chi = sum(c * c for c in counts) * a / n - n
+    z_chi = ((max(chi, 0) / k) ** (1 / 3) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k))
+    up = [i >= a / 2 for i in x]
+    high, runs = sum(up), 1 + sum(p != q for p, q in zip(up, up[1:]))
+    mu = 2 * high * (n - high) / n + 1
+    var = (mu - 1) * (mu - 2) / (n - 1)
+    z_runs = (runs - mu) / math.sqrt(var) if var > 0 else 12.0
+    mean = sum(x) / n
+    spread = sum((i - mean) ** 2 for i in x)
+    z_serial = sum((p - mean) * (q - mean) for p, q in zip(x, x[1:])) / spread * math.sqrt(n) if spread > 0 else 12.0
+    entropy = min(-sum(c / n * math.log2(c / n) for c in counts) + (len(counts) - 1) / (2 * n * math.log(2)), math.log2(a))
+    surplus = max(entropy - 0.6 * math.log2(a), 0)
+    return min(3 * min(tail(z_chi), 2 * tail(abs(z_runs)), 2 * tail(abs(z_serial))), 1), 2 ** -min(n * surplus, 900)
+
+
+def test_battery_and_false_discovery_equal_plain_loops(spark):
+    rng = random.Random(6)
+    words = "the quick-brown fox1 jumps_over a/lazy dog2 chapter section page identifier value".split()
+
+    def piece():
+        kind = rng.randrange(7)
+        if kind < 2:
+            return "".join(rng.choice(WIDEST) for _ in range(rng.choice([20, 24, 40, 64])))
+        if kind == 2:
+            return "".join(rng.choice(ALPHABETS[3]) for _ in range(rng.choice([20, 32])))
+        if kind == 3:
+            return "-".join(rng.choice(words) for _ in range(5)) + str(rng.randrange(100))
+        if kind == 4:
+            return "secret=" + "".join(rng.choice(WIDEST) for _ in range(30))
+        if kind == 5:
+            return rng.choice("abc1") * 25 + "1a"
+        return "".join(rng.choice("0123456789abcdef") for _ in range(20)) + "XYZ"
+
+    rows = [(i, " ".join(piece() for _ in range(rng.randrange(6)))) for i in range(80)]
+    tested = {}
+    for d, t in rows:
+        base = [m.span() for _, rx, ok in BASE for m in rx.finditer(t) if ok(m)]
+        for m in re.finditer("[A-Za-z0-9+/_-]{20,}", t):
+            if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and all(b <= m.start() or a >= m.end() for a, b in base):
+                tested[d, *m.span()] = plain_battery(m[0])
+    bins = {s: min(math.floor(-10 * math.log10(max(p[1], 1e-300))), 400) for s, p in tested.items()}
+    least = min((b for b in set(bins.values()) if 10 ** (-b / 10) * len(bins) <= 0.01 * sum(c >= b for c in bins.values())), default=999)
+    want = {s for s in tested if bins[s] >= least and tested[s][0] > 0.01}
+    assert len(want) > 20 and len(want) < len(tested)
+    got = set()
+    for r in scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        got |= {(r.doc_id, *map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("random")}
+    assert got == want
+
+
+def test_a_dump_of_20000_spans(spark):
+    text = "\n".join(f"{i:016x} {i}" for i in range(20_000))
+    r = scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    last = text.rindex("\n") + 1
+    assert r.n_hex == 20_000 and r.spans.endswith(f"hex:{last}:{last + 16}")

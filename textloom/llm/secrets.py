@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +13,15 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]{16,}"  # the same matches as runs of any length of which the short ones are dropped
 KINDS = ("assign", "access", "hex", "random")
-#: Candidates of the battery: runs of 20 or more characters with a digit and a letter in them.
-RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{20,}"
+#: Candidates of the battery: runs of 20 or more characters with a digit and a letter in them. One that ends in the
+#: keyword of an assignment is no candidate, nor is what an assignment covers; BASE_IN tells a base match within a run.
+RUN = (
+    r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}+"
+    r"""(?!(?<=(?i:password|passwd|secret|token|apikey|api_key))["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{12})"""
+)
+CANDIDATE, BASE_IN = f"(?:{ASSIGN})|({RUN})", "[0-9a-f]{16}|AKIA[A-Z0-9]{14}"
+#: Numbers that are summed up in one piece of a running sum.
+PIECE = 256
 #: Level of each randomness test, share of the encoding's entropy that structured strings reach, false-discovery rate.
 LEVEL, STRUCTURED, FDR = 0.01, 0.6, 0.01
 _ALPHABETS = (
@@ -25,24 +33,46 @@ _BINS = 400
 _SPAN = "array<struct<start:bigint,end:bigint,rank:int,value:string>>"
 
 
-def _find(text: Column, pattern: str, rank: int, keep: str | None = None) -> Column:
-    """Spans (start, end, rank, value) of the leftmost non-overlapping matches, in code points.
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
-    The pieces between matches give the places. keep: an SQL condition on v, the match, and g, its last group."""
-    group = 2 if pattern == ASSIGN else 0
-    found = F.arrays_zip(
-        F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("v"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("g")
-    )
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + F.length(x["p"])
-        end = at + F.coalesce(F.length(x["v"]), F.lit(0))
-        good = F.length(x["g"]) >= keep if keep else x["v"].isNotNull()
-        span = F.array(F.struct(at.alias("start"), end.alias("end"), F.lit(rank).alias("rank"), x["v"].alias("value")).cast(_SPAN[6:-1]))
-        return F.struct(end.cast("long").alias("at"), F.when(x["v"].isNotNull() & good, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+def _running(xs: Column) -> Column:
+    """Running sums of an array of numbers, piece by piece, as a fold that appends to one long array takes quadratic time."""
 
-    return F.when(text.rlike(pattern), F.aggregate(found, start, step, lambda a: a["out"])).otherwise(F.array().cast(_SPAN))
+    def within(piece: Column) -> Column:
+        none = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<bigint>").alias("sums"))
+        add = lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["sums"], F.array(acc["sum"] + x)).alias("sums"))
+        return F.aggregate(piece, none, add)
+
+    def across(acc: Column, piece: Column) -> Column:
+        moved = F.array(F.transform(piece["sums"], lambda x: x + acc["sum"]))
+        return F.struct((acc["sum"] + piece["sum"]).alias("sum"), F.concat(acc["sums"], moved).alias("sums"))
+
+    at = F.sequence(F.lit(1), F.greatest(F.size(xs), F.lit(1)), F.lit(PIECE))
+    none = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<array<bigint>>").alias("sums"))
+    return F.aggregate(F.transform(at, lambda i: within(F.slice(xs, i, F.lit(PIECE)))), none, across, lambda acc: F.flatten(acc["sums"]))
+
+
+def _find(text: Column, pattern: str, rank: int, good: Callable[[Column], Column] = lambda v: F.lit(True)) -> Column:
+    """Spans (start, end, rank, value) of the leftmost non-overlapping matches that are `good`, in code points.
+
+    The pieces between matches give the places."""
+
+    def placed(x: Column) -> Column:  # running sums over piece, match, piece, match ...
+        lengths = F.flatten(F.zip_with(F.slice(x["pieces"], F.lit(1), F.size(x["found"])), x["found"], lambda p, v: F.array(F.length(p).cast("long"), F.length(v).cast("long"))))
+        span = lambda v, i, sums: F.struct(F.get(sums, 2 * i).alias("start"), F.get(sums, 2 * i + 1).alias("end"), F.lit(rank).alias("rank"), v.alias("value"))
+        return _let(_let(lengths, _running), lambda sums: F.filter(F.transform(x["found"], lambda v, i: span(v, i, sums)), lambda s: good(s["value"])))
+
+    both = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+    return F.when(text.rlike(pattern), _let(both, placed).cast(_SPAN)).otherwise(F.array().cast(_SPAN))
+
+
+def candidates(text: Column) -> Column:
+    """Spans of the runs that the battery tests: no base match touches them."""
+    run = lambda v: v.rlike(f"^(?:{RUN})$") & ~v.rlike(BASE_IN) & ~v.rlike(f"^(?:{ASSIGN})")
+    return _find(text, CANDIDATE, 3, run)
 
 
 def _upper_tail(z: Column) -> Column:
@@ -93,43 +123,40 @@ def battery(value: Column) -> Column:
         p = F.least(_upper_tail(z_chi), 2 * _upper_tail(F.abs(z_runs)), 2 * _upper_tail(F.abs(z_serial)))
         return F.struct(F.least(3 * p, F.lit(1.0)).alias("p_random"), F.pow(F.lit(2.0), -F.least(n * surplus, F.lit(900.0))).alias("p_structured"))
 
-    once = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
-    return once(once(base, measured), tested)
+    return _let(_let(base, measured), tested)
 
 
 def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans) for each row of `docs` (doc_id, text).
 
     Spans are kind:start:end in code points, end exclusive, ordered by start, then kind, comma-joined.
-    The patterns give the base spans. Runs of 20 or more characters that no base span touches are random
+    The patterns give the base spans. Runs of 20 or more characters that no base match touches are random
     when the battery does not reject randomness and when, over the runs of all documents, their
     p_structured passes the Benjamini-Hochberg procedure at `fdr`. That needs one histogram of p-values
     with at most 401 bins; everything else is a narrow projection, so no key can be hot.
 
     Null texts count as empty: no spans, the digest of ''. Repeated rows give a row each; other columns
     are left out; an empty table gives no rows."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select("doc_id", text.alias("text")).select(
-        "doc_id", "text",
-        _find(F.col("text"), ASSIGN, 0, 12).alias("assign"), _find(F.col("text"), ACCESS, 1, 18).alias("access"), _find(F.col("text"), HEX, 2).alias("hex"),
-    )
-    known = base.select("doc_id", "assign", "access", "hex", F.concat("assign", "access", "hex").alias("base"), _find(F.col("text"), RUN, 3).alias("runs"))
-    free = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    tested = F.transform(free, lambda r: F.struct(r.alias("span"), battery(r["value"]).alias("p")))
-    known = known.select("doc_id", "assign", "access", "hex", "base", tested.alias("tested"))
-
+    base = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     pbin = lambda p: F.least(F.floor(-10 * F.log10(F.greatest(p, F.lit(1e-300)))), F.lit(_BINS)).cast("int")
-    bins = known.where(F.size("tested") > 0).select(F.explode("tested").alias("t")).groupBy(pbin(F.col("t.p.p_structured")).alias("bin")).count().collect()  # at most 401 rows
+    runs = base.select(F.explode(candidates(F.col("text"))).alias("r")).select(battery(F.col("r.value")).alias("p"))
+    bins = runs.groupBy(pbin(F.col("p.p_structured")).alias("bin")).count().collect()  # at most 401 rows
     least, seen, total = _BINS + 1, 0, sum(r["count"] for r in bins)
     for r in sorted(bins, key=lambda r: -r["bin"]):
         seen += r["count"]
         if 10 ** (-r["bin"] / 10) * total <= fdr * seen:
             least = r["bin"]
-    random = F.transform(F.filter("tested", lambda t: (t["p"]["p_random"] > LEVEL) & (pbin(t["p"]["p_structured"]) >= least)), lambda t: t["span"])
+    passed = lambda p: (p["p_random"] > LEVEL) & (pbin(p["p_structured"]) >= least)
+    known = base.select(
+        "doc_id",
+        _find(F.col("text"), ASSIGN, 0, lambda v: F.length(F.regexp_extract(v, ASSIGN, 2)) >= 12).alias("assign"),
+        _find(F.col("text"), ACCESS, 1, lambda v: F.length(v) >= 18).alias("access"), _find(F.col("text"), HEX, 2).alias("hex"),
+        F.filter(candidates(F.col("text")), lambda r: _let(battery(r["value"]), passed)).alias("random"),
+    )
     ordered = lambda xs: F.array_sort(F.transform(xs, lambda s: F.struct(s["start"], s["rank"], s["end"])))
     name = lambda s: F.concat_ws(":", F.get(F.array(*map(F.lit, KINDS)), s["rank"]), s["start"].cast("string"), s["end"].cast("string"))
-    joined = lambda xs: F.array_join(F.transform(ordered(xs), name), ",")
-    return known.select("doc_id", "assign", "access", "hex", "base", random.alias("random")).select(
+    joined = lambda *xs: F.array_join(F.transform(ordered(F.concat(*xs)), name), ",")
+    return known.select(
         "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
-        F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "random")).alias("spans"),
+        F.sha2(joined("assign", "access", "hex"), 256).alias("base_sha256"), joined("assign", "access", "hex", "random").alias("spans"),
     )
