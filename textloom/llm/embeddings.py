@@ -14,6 +14,8 @@ from .common import checkpointed, connected_components, maybe_broadcast
 
 #: Rows of a tile, and leading components after which pairs are given up by their bound.
 TILE_ROWS, LEAD = 2048, 16
+#: Rounding of products of turned vectors, at most; nearer to the threshold the vectors as given decide.
+EDGE = 1e-9
 
 
 def _moments(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
@@ -31,11 +33,12 @@ def _unit(column: pa.Array, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _links(a: np.ndarray, b: np.ndarray, least: float, lead: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, rows, columns) of the pairs of unit vectors with cosine of at least `least`, block by block.
+def _links(a: np.ndarray, b: np.ndarray, least: float, lead: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, rows, columns, sure) of the pairs of unit vectors with cosine of at least `least`, block by block.
 
     The leading components are multiplied first; the rest of a product is at most the product of the
-    suffix norms. A block in which few pairs can still reach the threshold goes on with those alone."""
+    suffix norms. A block in which few pairs can still reach the threshold goes on with those alone. What comes
+    within EDGE of the threshold is not sure."""
     sa, sb = np.linalg.norm(a[:, lead:], axis=1), np.linalg.norm(b[:, lead:], axis=1)
     for at in range(0, len(a), 512):
         x, s = a[at : at + 512], sa[at : at + 512]
@@ -50,12 +53,13 @@ def _links(a: np.ndarray, b: np.ndarray, least: float, lead: int) -> Iterator[tu
                 dots[lo : lo + 65536] += np.einsum("ij,ij->i", x[r, lead:], b[c, lead:])
         else:
             dots = (head + x[:, lead:] @ b[:, lead:].T)[rows, cols]
-        near = dots >= least - 1e-12
-        yield at, rows[near], cols[near]
+        near = dots >= least - EDGE
+        yield at, rows[near], cols[near], dots[near] >= least + EDGE
 
 
 def _compare(pdf: pd.DataFrame, dim: int, least: float) -> pd.DataFrame:
-    """A pair of tiles (or one): link counts of its members, and links that connect what all its links connect."""
+    """A pair of tiles (or one): link counts of its members (a, null, n), links that connect what all its links
+    connect (a, b, 0), and pairs at the threshold (a, b, null)."""
     sides = [pdf[pdf["side"] == k] for k in (0, 1)]
     first, second = sides if len(sides[1]) else (sides[0], sides[0])
     same = not len(sides[1])
@@ -71,8 +75,10 @@ def _compare(pdf: pd.DataFrame, dim: int, least: float) -> pd.DataFrame:
         return i
 
     out = []
-    for at, rows, cols in _links(a, b, least, min(LEAD, dim)):
+    for at, rows, cols, sure in _links(a, b, least, min(LEAD, dim)):
         rows = rows + at
+        out += [(int(ia[i]), int(ib[j]), None) for i, j in zip(rows[~sure].tolist(), cols[~sure].tolist(), strict=True) if not same or i < j]
+        rows, cols = rows[sure], cols[sure]
         if same:
             rows, cols = rows[rows != cols], cols[rows != cols]
         na += np.bincount(rows, weights=wb[cols], minlength=len(a)).astype(np.int64)
@@ -140,14 +146,25 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.9, tile_rows: int = TI
     right = ordered.join(maybe_broadcast(pairs.where("first <> second")), F.col("tile") == F.col("second")).select("first", "second", F.lit(1).alias("side"), "rep", "copies", "v")
     found = left.unionByName(right).groupBy("first", "second").applyInPandas(lambda pdf: _compare(pdf.drop(columns=["first", "second"]), dim, cosine), "a long, b long, n long")
     found = checkpointed(found)
-    comp = connected_components(found.where("b is not null").select("a", "b"))
-    counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
+    edge = _at_threshold(found.where("b is not null and n is null").select("a", "b"), distinct, cosine)
+    comp = connected_components(found.where("b is not null and n = 0").select("a", "b").unionByName(edge.select("a", "b")))
+    counts = found.where("b is null").select("a", "n").unionByName(edge.select("a", F.col("copies_b").alias("n"))).unionByName(edge.select(F.col("b").alias("a"), F.col("copies_a").alias("n")))
+    counts = counts.groupBy("a").agg(F.sum("n").alias("n"))
     classes = distinct.join(counts, F.col("rep") == F.col("a"), "left").join(comp, F.col("rep") == F.col("node"), "left")
     classes = classes.select("v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("component"))
     known = good.join(classes, "v").select(F.col("vec_id").alias("known"), "n", "component")
     return rest(base.select("vec_id").join(known, F.col("vec_id") == F.col("known"), "left"))
 
 
+def _at_threshold(pairs: DataFrame, distinct: DataFrame, cosine: float) -> DataFrame:
+    """(a, b, copies_a, copies_b) of the pairs whose vectors, as they were given, reach `cosine` in double precision."""
+    side = lambda name: distinct.select(F.col("rep").alias(name), F.col("copies").alias(f"copies_{name}"), F.col("v").alias(f"v_{name}"))
+    scaled = lambda v: F.transform(F.col(v), lambda x: x / F.array_max(F.transform(F.col(v), F.abs)))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t)
+    both = checkpointed(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "copies_a", "copies_b", scaled("v_a").alias("x"), scaled("v_b").alias("y")))
+    return both.where(dot("x", "y") / (F.sqrt(dot("x", "x")) * F.sqrt(dot("y", "y"))) >= cosine).select("a", "b", "copies_a", "copies_b")
+
+
 def _tiled(turned: DataFrame, tile_rows: int) -> DataFrame:
     """Rows with a tile number: consecutive runs of at most `tile_rows` along the first axis.
 
