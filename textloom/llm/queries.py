@@ -61,20 +61,17 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The rules of the URL query: host, path, verdict.
-URL_RULES = [
-    ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"),
-]
+URL_RULES = "('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')"
 
 
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    rules = spark.sql(f"SELECT * FROM VALUES {URL_RULES} AS r(host, path, verdict)")
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
-OP8_SQL = """
-WITH rules(r_host, r_path, r_verdict) AS (VALUES
-  ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+OP8_SQL = f"""
+WITH rules(r_host, r_path, r_verdict) AS (VALUES {URL_RULES}),
 rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
 cut AS (SELECT page_id,
     translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
