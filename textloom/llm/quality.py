@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import operator
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -10,9 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import maybe_broadcast
+from .common import checkpointed, maybe_broadcast
 from .memos import claim
 
 #: Labelled rows on which the classifier is fitted, at most; the rows with the least hashes of doc_id are taken.
@@ -83,47 +83,55 @@ def _standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return np.clip((x - mean) / scale, -6, 6)
 
 
+def _odds(bad: int, n: int, nt: int, nc: int) -> float:
+    return math.log((bad + 0.5) / (nt + 1)) - math.log((n - bad + 0.5) / (nc + 1))
+
+
+def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each distinct word of each document."""
+    for batch in batches:
+        words = [list(plain_words(t)) for t in batch.column("text").to_pylist()]
+        toxic = np.repeat([int(t > 0) for t in batch.column("toxic").to_pylist()], [len(w) for w in words]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array([w for ws in words for w in ws], pa.binary()), pa.array(toxic)], ["word", "toxic"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fits the classifier on at most `sample_rows` labelled documents, which come to the driver as features."""
+    """Fits the classifier on at most `sample_rows` labelled documents. Words are counted by aggregation; features come to the driver."""
     chosen = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(
         F.min("quality").alias("quality"), F.max("toxic").alias("toxic")
     )
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
 
+    held = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("quality", "toxic", "text")  # bounded by sample_rows
+    held = checkpointed(held)
+    told = held.mapInArrow(_votes, "word binary, toxic int").groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("bad"))
+    totals = held.agg(F.count("*").alias("n"), F.sum((F.col("toxic") > 0).cast("int")).alias("bad")).first()
+    if not totals["n"]:
+        return Model({}, np.zeros(10), np.ones(10), np.zeros(11), np.zeros(11), 0.5)
+    nt, nc = totals["bad"], totals["n"] - totals["bad"]
+    # only words that some toxic document holds more often than clean ones come to the driver
+    told = told.where((F.col("n") >= WORD_DOCS) & (F.col("bad") / (nt + 1) > (F.col("n") - F.col("bad")) / (nc + 1)))
+    counts = {bytes(r["word"]): (r["bad"], r["n"]) for r in told.toLocalIterator()}
+    weights = {w: min(odds, 6.0) for w, (bad, n) in counts.items() if (odds := _odds(bad, n, nt, nc)) >= WORD_LOG_ODDS}
+
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("quality").cast(pa.int32()), batch.column("toxic").cast(pa.int32()), pa.array([features(t, {}) for t in texts], pa.list_(pa.float64())),
-                 pa.array([sorted(plain_words(t)) for t in texts], pa.list_(pa.binary()))],
-                ["quality", "toxic", "x", "words"],
-            )
-
-    held = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")  # bounded by sample_rows
-    rows = held.select("quality", "toxic", "text").mapInArrow(sample, "quality int, toxic int, x array<double>, words array<binary>").toArrow()
-    if not rows.num_rows:
-        return Model({}, np.zeros(10), np.ones(10), np.zeros(11), np.zeros(11), 0.5)
+            toxic = [int(t > 0) for t in batch.column("toxic").to_pylist()]
+            x = []
+            for text, t in zip(batch.column("text").to_pylist(), toxic, strict=True):
+                own = {}  # the evidence of its words, without its own vote
+                for w in plain_words(text) & counts.keys():
+                    bad, n = counts[w][0] - t, counts[w][1] - 1
+                    if n >= WORD_DOCS and bad > 0 and (odds := _odds(bad, n, nt - t, nc - 1 + t)) >= WORD_LOG_ODDS:
+                        own[w] = min(odds, 6.0)
+                x.append(features(text, own))
+            columns = [batch.column("quality").cast(pa.int32()), pa.array(toxic, pa.int32()), pa.array(x, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["quality", "toxic", "x"])
+
+    rows = held.mapInArrow(sample, "quality int, toxic int, x array<double>").toArrow()  # sample_rows rows of ten numbers
     toxic = rows.column("toxic").to_numpy().astype(float)
     junk = 1.0 - rows.column("quality").to_numpy().astype(float)
-    lists = rows.column("words").combine_chunks()
-    coded = lists.flatten().dictionary_encode()
-    row, code = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), coded.indices.to_numpy()
-    nt, nc = toxic.sum(), len(toxic) - toxic.sum()
-    all_ = np.bincount(code, minlength=len(coded.dictionary))
-    bad = np.bincount(code, weights=toxic[row], minlength=len(coded.dictionary))
-    odds = np.log((bad + 0.5) / (nt + 1)) - np.log((all_ - bad + 0.5) / (nc + 1))
-    telling = np.flatnonzero((all_ >= WORD_DOCS) & (bad > 0) & (odds >= WORD_LOG_ODDS))
-    weights = {coded.dictionary[int(i)].as_py(): float(min(odds[i], 6)) for i in telling}
     x = np.array(rows.column("x").to_pylist())
-    # the lexical features of the sample, each document without its own vote
-    t = toxic[row]
-    b, n = bad[code] - t, all_[code] - 1
-    own = np.minimum(np.log((b + 0.5) / (nt - t + 1)) - np.log((n - b + 0.5) / (nc - 1 + t + 1)), 6)
-    hit = np.flatnonzero((n >= WORD_DOCS) & (b > 0) & (own >= WORD_LOG_ODDS))
-    hit = hit[np.lexsort((-own[hit], row[hit]))]
-    place = np.arange(len(hit)) - np.searchsorted(row[hit], row[hit])
-    x[:, -2] = np.bincount(row[hit], weights=np.where(place < 3, own[hit], 0), minlength=len(x))
-    x[:, -1] = np.minimum(np.bincount(row[hit], minlength=len(x)), 4)
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
     z = _standard(x, mean, scale)
     return Model(weights, mean, scale, _logistic(z, junk), _logistic(z, toxic), float(np.clip(((1 - junk) * (1 - toxic)).mean(), 0.01, 0.99)))
@@ -138,16 +146,13 @@ def keep_evidence(texts: list[str | None], model: Model) -> np.ndarray:
     return np.log(good / (1 - good))
 
 
-def _scored(docs: DataFrame, model: Model, name: str) -> DataFrame:
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _evidence(text: Column, model: Model) -> Column:
+    @F.arrow_udf("double")
+    def evidence(texts: pa.Array) -> pa.Array:
         claim("quality")
-        for batch in batches:
-            e = keep_evidence(batch.column("text").to_pylist(), model)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(e, pa.float64())], [*batch.schema.names, name])
+        return pa.array(keep_evidence(texts.to_pylist(), model), pa.float64())
 
-    return docs.mapInArrow(run, schema)
+    return evidence(text)
 
 
 def _logit(p: Column) -> Column:
@@ -155,19 +160,20 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def _strength(groups: DataFrame, mean: float) -> float:
+def _strength(groups: DataFrame) -> float:
     """Prior strength of a level by the method of moments: how many documents a parent's rate counts as.
 
-    The spread of group means beyond what sampling explains is the variance between groups."""
+    `groups` has n, s and rate, the parent's. The spread of group means around their parents' rates beyond what
+    sampling explains is the variance between groups."""
+    p = F.least(F.greatest("rate", F.lit(0.001)), F.lit(0.999))
     r = groups.where("n > 1").agg(
-        F.count("*").alias("g"), F.sum("n").alias("n"),
-        F.sum(F.col("n") * (F.col("s") / F.col("n") - mean) ** 2).alias("ss"),
+        F.count("*").alias("g"), F.sum("n").alias("n"), F.sum(p * (1 - p)).alias("noise"), F.sum(F.col("n") * p * (1 - p)).alias("scale"),
+        F.sum(F.col("n") * (F.col("s") / F.col("n") - p) ** 2).alias("ss"),
     ).first()
     if not r["g"] or r["g"] < 2:
         return 50.0
-    noise = mean * (1 - mean)
-    between = max((r["ss"] - r["g"] * noise) / r["n"], 1e-6)
-    return float(min(max(noise / between - 1, 1.0), 1e4))
+    between = max((r["ss"] - r["noise"]) / r["n"], 1e-6)
+    return float(min(max(r["scale"] / r["n"] / between - 1, 1.0), 1e4))
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, sample_rows: int = SAMPLE_ROWS, threshold: float = 0.5) -> DataFrame:
@@ -175,8 +181,9 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, sam
 
     evidence is the classifier's log-odds that the text is good and not toxic. Over all documents the
     expected share of good ones is aggregated per host and per (host, path); a host's rate is shrunk
-    towards the global one and a path's towards its host's, by strengths that the spread between groups
-    gives, so sparse sites stay near the prior. posterior adds the path's log-odds, relative to those of
+    towards the global one and a path's towards its host's, by strengths that the spread of the groups around
+    their parents' rates gives, so sparse sites stay near the prior. A document's own share is left out of the
+    rates that judge it. posterior adds the path's log-odds, relative to those of
     the labelled sample, to the evidence; keep is posterior >= `threshold`.
 
     A null or empty text has nothing to keep: posterior 0. Null hosts or paths form groups of their own.
@@ -185,21 +192,26 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, sam
     replaced, others pass."""
     docs = docs.drop("evidence", "posterior", "keep")
     model = fit(docs, labels, sample_rows)
-    site = docs.select(F.coalesce(host.cast("string"), F.lit("\0")).alias("host"), F.coalesce(path.cast("string"), F.lit("\0")).alias("path"), "text")
-    odds = _scored(site.where("text is not null and text <> ''"), model, "e").select("host", "path", (1 / (1 + F.exp(-F.col("e")))).alias("p"))
-    paths = odds.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s")).persist()
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    # the columns of docs stay inside a struct, so that none clashes with a helper
+    site = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(host.cast("string"), F.lit("\0")).alias("host"),
+        F.coalesce(path.cast("string"), F.lit("\0")).alias("path"), _evidence(F.col("text"), model).alias("evidence"),
+    )
+    site = site.withColumn("p", F.when(F.length("row.text") > 0, 1 / (1 + F.exp(-F.col("evidence")))))
+    paths = checkpointed(site.where("p is not null").groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s")))
+    hosts = checkpointed(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s")))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     mean = min(max(total["s"] / total["n"], 0.001), 0.999) if total["n"] else 0.5
-    kh, kp = _strength(hosts, mean), _strength(paths, mean)
-    hosts = hosts.select("host", ((F.col("s") + kh * mean) / (F.col("n") + kh)).alias("host_rate"))
-    rates = paths.join(hosts, "host").select(
-        F.col("host").alias("r_host"), F.col("path").alias("r_path"),
-        ((F.col("s") + kp * F.col("host_rate")) / (F.col("n") + kp)).alias("r_rate"),
-    )
-    scored = _scored(docs, model, "evidence")
-    same = (F.coalesce(host.cast("string"), F.lit("\0")) == F.col("r_host")) & (F.coalesce(path.cast("string"), F.lit("\0")) == F.col("r_path"))
-    joined = scored.join(maybe_broadcast(rates), same, "left")
-    logit = F.col("evidence") + _logit(F.coalesce("r_rate", F.lit(mean))) - _logit(F.lit(model.keep_rate))
-    posterior = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, F.lit(0.0)).otherwise(1 / (1 + F.exp(-logit)))
-    return joined.withColumn("posterior", posterior).withColumn("keep", F.col("posterior") >= threshold).drop("r_host", "r_path", "r_rate")
+    kh = _strength(hosts.withColumn("rate", F.lit(mean)))
+    rate = lambda s, n, k, prior: (s + k * prior) / (n + k)
+    hosts = hosts.select(F.col("host").alias("host_of"), F.col("n").alias("hn"), F.col("s").alias("hs"))
+    groups = checkpointed(paths.join(hosts, F.col("host") == F.col("host_of")).drop("host_of"))
+    kp = _strength(groups.withColumn("rate", rate(F.col("hs"), F.col("hn"), kh, F.lit(mean))))
+    groups = maybe_broadcast(groups).withColumnsRenamed({"host": "g_host", "path": "g_path"})
+    joined = site.join(groups, (F.col("host") == F.col("g_host")) & (F.col("path") == F.col("g_path")), "left")
+    host_rate = rate(F.col("hs") - F.col("p"), F.col("hn") - 1, kh, F.lit(mean))
+    path_rate = rate(F.col("s") - F.col("p"), F.col("n") - 1, kp, host_rate)
+    logit = F.col("evidence") + _logit(F.coalesce(path_rate, F.lit(mean))) - _logit(F.lit(model.keep_rate))
+    posterior = F.when(F.col("p").isNull(), F.lit(0.0)).otherwise(1 / (1 + F.exp(-logit)))
+    judged = joined.select("row", "evidence", posterior.alias("posterior"))
+    return judged.select(*[F.col("row")[c].alias(c) for c in docs.columns], "evidence", "posterior", (F.col("posterior") >= threshold).alias("keep"))
