@@ -6,18 +6,23 @@ bijection for each kind, so equal values keep one pseudonym across documents and
 
 from __future__ import annotations
 
+import hashlib
+import hmac
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 10
 KINDS = ("email", "phone", "card", "ssn", "ip", "iban", "date")
-_DATE = r"\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}"
+_DATE = r"\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}"
+_BARE_PHONE = r"(?:1[ .-])?[2-9]\d{2}[.-]\d{3}[.-]\d{4}"
 #: What can be personal data; the kind and its validation follow from the match.
 PATTERN = "|".join([
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)",
     r"(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)",
+    rf"(?<![\w./+-]){_BARE_PHONE}(?![\w/-]|\.\d)",
     rf"(?<![\w./-])(?:{_DATE}|\d{{3}}-\d{{2}}-\d{{4}}|\d{{1,3}}(?:\.\d{{1,3}}){{3}})(?![\w/-]|\.\d)",
     r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)",
 ])
@@ -29,12 +34,22 @@ def _number(c: Column) -> Column:
     return F.coalesce(F.when(c != "", c).cast("long"), F.lit(0).cast("long"))
 
 
+def round_keys(key: str) -> tuple[str, str]:
+    """The inner and outer key of the rounds' hashes, derived on the driver, so that `key` itself is in no plan or log."""
+    inner, outer = (hmac.new(key.encode(), name, hashlib.sha256).hexdigest() for name in (b"inner", b"outer"))
+    return inner, outer
+
+
 def feistel(left: Column, right: Column, a: Column, b: Column, tweak: Column, key: str) -> Column:
-    """struct(l, r): a keyed permutation of Z_a x Z_b. Rounds add a keyed hash of one side to the other in turn."""
+    """struct(l, r): a keyed permutation of Z_a x Z_b. Rounds add a keyed hash of one side to the other in turn.
+
+    The hash is nested like an HMAC, SHA-256(outer, SHA-256(inner, message))."""
+    inner, outer = round_keys(key)
 
     def step(acc: Column, i: Column) -> Column:
         side = F.when(i % 2 == 0, acc["r"]).otherwise(acc["l"])
-        digest = F.sha2(F.concat_ws("|", F.lit(key), tweak, a.cast("string"), b.cast("string"), i.cast("string"), side.cast("string")), 256)
+        message = F.concat_ws("|", F.lit(inner), tweak, a.cast("string"), b.cast("string"), i.cast("string"), side.cast("string"))
+        digest = F.sha2(F.concat(F.lit(outer), F.sha2(message, 256)), 256)
         f = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
         return F.struct(
             F.when(i % 2 == 0, F.pmod(acc["l"] + F.pmod(f, a), a)).otherwise(acc["l"]).alias("l"),
@@ -87,15 +102,16 @@ def iban_rest(country: Column, check: Column, bban: Column) -> Column:
 def kind_of(m: Column) -> Column:
     """The kind whose rule a match passes; null if it passes none and stays as it is."""
     d = _only_digits(m)
-    us, european = F.try_to_timestamp(m, F.lit("MM/dd/yyyy")), F.try_to_timestamp(m, F.lit("dd/MM/yyyy"))
-    day = F.coalesce(F.when(m.contains("-"), F.try_to_timestamp(m, F.lit("yyyy-MM-dd"))), F.when(m.contains("/"), F.coalesce(us, european))).cast("date")
+    read = lambda sign, *patterns: F.when(m.contains(sign), F.coalesce(*[F.try_to_timestamp(m, F.lit(p)) for p in patterns]))
+    day = F.coalesce(read("-", "yyyy-MM-dd"), read("/", "M/d/yyyy", "d/M/yyyy"), read(".", "d.M.yyyy")).cast("date")
+    bare = F.replace(m, F.lit(" "), F.lit(""))
     return (
         F.when(m.contains("@"), "email")
-        .when(m.rlike(r"^[A-Z]{2}\d{2}"), F.when(iban_rest(F.substring(m, 1, 2), F.substring(m, 3, 2), F.substr(m, F.lit(5))) == 1, "iban"))
+        .when(m.rlike(r"^[A-Z]{2}\d{2}"), F.when(iban_rest(F.substring(bare, 1, 2), F.substring(bare, 3, 2), F.substr(bare, F.lit(5))) == 1, "iban"))
         .when(m.rlike(rf"^(?:{_DATE})$"), F.when(day.between(F.lit(_FIRST_DAY).cast("date"), F.lit("2099-12-31").cast("date")), "date"))
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), F.when(m.rlike(r"^(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}$"), "ssn"))
         .when(m.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), F.when(F.forall(F.split(m, r"\."), lambda x: x.cast("int") <= 255), "ip"))
-        .when(m.rlike(r"^[+(]"), "phone")
+        .when(m.rlike(rf"^(?:[+(]|{_BARE_PHONE}$)"), "phone")
         .when(F.length(d).between(13, 19) & (luhn_digit(F.substr(d, F.lit(1), F.length(d) - 1)) == F.substr(d, F.length(d), F.lit(1))), "card")
     )
 
@@ -123,10 +139,12 @@ def pseudonym(kind: Column, m: Column, key: str) -> Column:
         named = F.array_join(F.zip_with(F.split(local, "[a-z]", -1), F.concat(F.filter(F.split(letters(word), ""), lambda c: c != ""), F.array(F.lit(""))), lambda p, c: F.concat(p, c)), "")
         number = F.regexp_extract_all(named, F.lit("[0-9]{1,18}"), F.lit(0))
         numbers = F.transform(number, lambda x: _digits(x, "email", key))
-        return F.concat(F.array_join(F.zip_with(F.split(named, "[0-9]{1,18}", -1), F.concat(numbers, F.array(F.lit(""))), lambda p, x: F.concat(p, x)), ""), F.lit("@"), domain)
+        made = F.array_join(F.zip_with(F.split(named, "[0-9]{1,18}", -1), F.concat(numbers, F.array(F.lit(""))), lambda p, x: F.concat(p, x)), "")
+        cased = F.zip_with(F.split(F.substring_index(m, "@", 1), ""), F.split(made, ""), lambda old, new: F.when(old.rlike("[A-Z]"), F.upper(new)).otherwise(new))
+        return F.concat(F.array_join(cased, ""), F.lit("@"), domain)
 
-    def phone() -> Column:  # the country code stays
-        head = F.regexp_extract(m, r"^(\+\d{1,3}[ .-]?(?=\()|\+\d{1,2})?", 1)
+    def phone() -> Column:  # the country code stays, and the first digit of an area code that none or 1 precedes
+        head = F.regexp_extract(m, r"^(\+\d{1,3}[ .-]?(?=\()|\+\d{1,2}|(?:1[ .-])?[2-9])?", 1)
         rest = F.substr(m, F.length(head) + 1)
         return F.concat(head, _put_digits(rest, _digits(_only_digits(rest), "phone", key)))
 
@@ -146,19 +164,23 @@ def pseudonym(kind: Column, m: Column, key: str) -> Column:
         return _let(lr, lambda x: F.concat_ws(".", F.floor(x["l"] / 256).cast("string"), (x["l"] % 256).cast("string"), F.floor(x["r"] / 256).cast("string"), (x["r"] % 256).cast("string")))
 
     def iban() -> Column:
-        country, bban = F.substring(m, 1, 2), F.substr(m, F.lit(5))
+        bare = F.replace(m, F.lit(" "), F.lit(""))
+        country, bban = F.substring(bare, 1, 2), F.substr(bare, F.lit(5))
         new = F.when(bban.rlike("[0-9]"), _put_digits(bban, _digits(_only_digits(bban), "iban", key))).otherwise(bban)
-        return _let(new, lambda b: F.concat(country, F.lpad((F.lit(98) - iban_rest(country, F.lit("00"), b)).cast("string"), 2, "0"), b))
+        full = _let(new, lambda b: F.concat(country, F.lpad((F.lit(98) - iban_rest(country, F.lit("00"), b)).cast("string"), 2, "0"), b))
+        return F.array_join(F.zip_with(F.split(m, "[A-Z0-9]", -1), F.concat(F.split(full, ""), F.array(F.lit(""))), lambda p, c: F.concat(p, c)), "")
 
     def date() -> Column:
-        def moved(pattern: str) -> Column:
+        def moved(pattern: str, padded: str) -> Column:
             day = F.try_to_timestamp(m, F.lit(pattern)).cast("date")
             n = F.datediff(day, F.lit(_FIRST_DAY).cast("date"))
             lr = feistel(F.floor(n / _DAYS_B), n % _DAYS_B, F.lit(_DAYS_A), F.lit(_DAYS_B), F.lit("date"), key)
-            return _let(lr, lambda x: F.date_format(F.date_add(F.lit(_FIRST_DAY).cast("date"), (x["l"] * _DAYS_B + x["r"]).cast("int")), pattern))
+            new = _let(lr, lambda x: F.date_add(F.lit(_FIRST_DAY).cast("date"), (x["l"] * _DAYS_B + x["r"]).cast("int")))
+            return F.when(m.rlike(r"^\d\d\D\d\d\D"), F.date_format(new, padded)).otherwise(F.date_format(new, pattern))
 
-        us = F.try_to_timestamp(m, F.lit("MM/dd/yyyy")).isNotNull()
-        return F.when(m.contains("-"), moved("yyyy-MM-dd")).when(us, moved("MM/dd/yyyy")).otherwise(moved("dd/MM/yyyy"))
+        us = F.try_to_timestamp(m, F.lit("M/d/yyyy")).isNotNull()
+        slashed = F.when(us, moved("M/d/yyyy", "MM/dd/yyyy")).otherwise(moved("d/M/yyyy", "dd/MM/yyyy"))
+        return F.when(m.contains("-"), moved("yyyy-MM-dd", "yyyy-MM-dd")).when(m.contains("/"), slashed).otherwise(moved("d.M.yyyy", "dd.MM.yyyy"))
 
     made = {"email": email(), "phone": phone(), "card": card(), "ssn": ssn(), "ip": ip(), "iban": iban(), "date": date()}
     out = F.when(F.lit(False), m)
@@ -170,7 +192,7 @@ def pseudonym(kind: Column, m: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """`docs` with personal data in `text` replaced by pseudonyms, and n_email ... n_date (long) added.
 
-    Emails keep their domain and the shape of the local part, phone numbers their country code, cards
+    Emails keep their domain and the shape and case of the local part, phone numbers their country code, cards
     their first digit and a right check digit, social security numbers and IBANs their validity,
     addresses of the IP kind four octets, dates (1900 to 2099) their notation. What fails its rule, such
     as a card number with a wrong check digit, stays. One `key` gives one pseudonym per value everywhere.
@@ -180,13 +202,12 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     docs = docs.drop(*[f"n_{k}" for k in KINDS])
     possible = F.col(text).rlike("[0-9@]")
     found = F.when(possible, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    base = docs.withColumn("__found", F.coalesce(found, F.array().cast("array<string>")))
-    base = base.withColumn("__kinds", F.transform("__found", kind_of))
-    new = F.zip_with("__kinds", "__found", lambda k, m: pseudonym(k, m, key))
-    rest = F.split(text, PATTERN, -1)
-    joined = F.array_join(F.zip_with(rest, F.concat(new, F.array(F.lit(""))), lambda p, x: F.concat(p, x)), "")
-    changed = F.exists("__kinds", lambda k: k.isNotNull())
-    count = lambda k: F.size(F.filter("__kinds", lambda x: x == k)).cast("long")
-    return base.withColumns(
-        {f"n_{k}": count(k) for k in KINDS} | {text: F.when(changed, joined).otherwise(F.col(text))}
-    ).drop("__found", "__kinds")
+    # the columns of docs stay inside a struct, so that none clashes with a helper
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(found, F.array().cast("array<string>")).alias("found"))
+    base = base.select("row", "found", F.transform("found", kind_of).alias("kinds"))
+    new = F.zip_with("kinds", "found", lambda k, m: pseudonym(k, m, key))
+    whole = F.col("row")[text]
+    joined = F.array_join(F.zip_with(F.split(whole, PATTERN, -1), F.concat(new, F.array(F.lit(""))), lambda p, x: F.concat(p, x)), "")
+    changed = F.when(F.exists("kinds", lambda k: k.isNotNull()), joined).otherwise(whole)
+    count = lambda k: F.size(F.filter("kinds", lambda x: x == k)).cast("long")
+    return base.select(*[(changed if c == text else F.col("row")[c]).alias(c) for c in docs.columns], *[count(k).alias(f"n_{k}") for k in KINDS])
