@@ -27,7 +27,7 @@ def test_query_equals_sql(spark, name):
 
 def test_url_edges(spark):
     urls = [None, "", "no scheme", "http://", "http://A.Example.ORG", "http://a.example.org/es/x?y", "http://example.org?u=/es/", "http://x.com/fr/a#b", "http://org:80/", "http://notexample.org/es/", "x://m.example.org/en/12", "http://m.example.org/en/2"]
-    rules = spark.createDataFrame(Q.URL_RULES, "host string, path string, verdict string")
+    rules = spark.sql(f"SELECT * FROM VALUES {Q.URL_RULES} AS r(host, path, verdict)")
     pages = spark.createDataFrame([(i, u, "z") for i, u in enumerate(urls)] + [(5, urls[5], "z")], "page_id long, url string, rule string")
     out = sorted(judge_urls(pages, rules).collect(), key=lambda r: r.page_id)
     got = [(r.page_id, r.host, r.path, r.rule, r.verdict) for r in out]
