@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analysis, corpus, features, ingest, learner, lexicon, sentence
+from . import analysis, context, corpus, features, ingest, learner, lexicon, sentence
 
-MODULES = [analysis, corpus, features, ingest, lexicon, learner, sentence]
+MODULES = [analysis, context, corpus, features, ingest, lexicon, learner, sentence]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
