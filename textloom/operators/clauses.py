@@ -100,7 +100,7 @@ def dependencies(tokens: DataFrame, roles: DataFrame) -> DataFrame:
         F.when((pos == "adjective") | (pos == "pronoun") & F.col("type").isin("possessive", "demonstrative"), edge(i, F.coalesce(root, before), "modifier")),
         F.when(pos == "particle", edge(i, before, "modifier")), F.when(pos == "adverb", edge(i, root, "adverbial")), F.when(pos == "conjunction", edge(i, root, "conjunction")),
         F.when((pos == "pronoun") & F.col("type").isin("interrogative/relative", "relative"), edge(i, root, "relative-clause")), F.when(F.col("case") == "voc", edge(i, root, "vocative")),
-    ).alias("es")).select("sentence_id", F.explode("es").alias("e"))
+    ).alias("es")).select("sentence_id", F.posexplode("es").alias("ord", "e"))
     rank = F.create_map(*[F.lit(x) for kv in zip(RELATIONS, range(len(RELATIONS)), strict=True) for x in kv])
-    edges = of_roles.unionByName(of_words).where("e is not null").select("sentence_id", "e.*")
-    return dependency_edges(edges.withColumns({"priority": F.element_at(rank, F.col("relation")), "ord": F.coalesce("head", F.lit(-1))})).select("sentence_id", "dependent", "head", "relation")
+    edges = of_roles.withColumn("ord", F.lit(-1)).unionByName(of_words).where("e is not null").select("sentence_id", "ord", "e.*")
+    return dependency_edges(edges.withColumn("priority", F.element_at(rank, F.col("relation")))).select("sentence_id", "dependent", "head", "relation")
