@@ -18,9 +18,9 @@ def coverage(forms: DataFrame, known: DataFrame, group: str) -> DataFrame:
     return out.withColumn("share", F.when(F.col("tokens") > 0, F.round(F.col("covered") / F.col("tokens"), 6)).otherwise(0.0))
 
 
-def form_counts(toks: DataFrame, *groups: str) -> DataFrame:
-    """Counts of distinct word forms by loose key; combined before the shuffle, as function words dominate."""
-    return toks.where("kind in ('word', 'latin')").groupBy(*groups, T.loose_key(F.col("surface")).alias("key")).agg(F.count("*").alias("n"))
+def form_counts(surfaces: DataFrame, *groups: str) -> DataFrame:
+    """Counts of distinct word forms by loose key, from counts of surfaces."""
+    return surfaces.where("kind in ('word', 'latin')").groupBy(*groups, T.loose_key(F.col("surface")).alias("key")).agg(F.sum("n").alias("n"))
 
 
 def stage_coverage(forms: DataFrame, stages: list[tuple[str, str]]) -> DataFrame:

@@ -29,6 +29,17 @@ def tokens(df: DataFrame, keys: list[str], text: Column | str = "text") -> DataF
     return exploded.select(*keys, "pos", T.kind(F.col("surface")).alias("kind"), "surface").where("kind <> 'space'")
 
 
+def surface_counts(df: DataFrame, keys: list[str], text: Column | str = "text", **more: Column) -> DataFrame:
+    """Counts n of distinct surfaces: keys, surface, kind, n and what `more` aggregates. For counting over a corpus.
+
+    Pieces are grouped as they are, combined before the shuffle; kinds and keys are then found for the vocabulary and not for
+    each token."""
+    text = F.col(text) if isinstance(text, str) else text
+    exploded = df.select("*", F.explode(T.pieces(text)).alias("surface"))
+    counted = exploded.groupBy(*keys, "surface").agg(F.count("*").alias("n"), *[c.alias(name) for name, c in more.items()])
+    return counted.withColumn("kind", T.kind(F.col("surface"))).where("kind <> 'space'")
+
+
 CLOSERS, OPENERS = "[»\"”’)]", "[«\"“„(—–]|-+"
 
 

@@ -114,7 +114,7 @@ for _name in G.GENERATORS:
 
 @query(f"WITH {sql_tokens(_CYR_SQL)}, v AS (SELECT DISTINCT surface FROM tok WHERE kind = 'word'), {READINGS.sql}, {LEXICON.sql}, {_sql_readings('v')} SELECT generator, pos, source, count(*) AS n, CAST(sum(length(lemma)) AS BIGINT) AS chars, min(key) AS first_key, max(features) AS last_features FROM best GROUP BY 1, 2, 3")
 def readings_of_vocabulary(spark, sf_dir):
-    words = S.tokens(_docs(spark, sf_dir, True), ["lang"]).where("kind = 'word'").select("surface").distinct()
+    words = S.surface_counts(_docs(spark, sf_dir, True), []).where("kind = 'word'").select("surface")
     found = _readings(spark, words)
     return found.groupBy("generator", "pos", "source").agg(F.count("*").alias("n"), F.sum(F.length("lemma")).cast("long").alias("chars"), F.min("key").alias("first_key"), F.max("features").alias("last_features"))
 

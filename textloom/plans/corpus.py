@@ -67,8 +67,8 @@ def query(sql: str | None, name: str | None = None):
 
 def _kinds(cyr: bool):
     def run(spark, sf_dir):
-        toks = S.tokens(_docs(spark, sf_dir, cyr), ["lang"])
-        return toks.groupBy("lang", "kind").agg(F.count("*").alias("n"), F.sum(F.length("surface")).alias("chars"))
+        found = S.surface_counts(_docs(spark, sf_dir, cyr), ["lang"])
+        return found.groupBy("lang", "kind").agg(F.sum("n").alias("n"), F.sum(F.length("surface") * F.col("n")).alias("chars"))
 
     return run
 
@@ -132,29 +132,29 @@ _KNOWN = f"known AS (SELECT DISTINCT {sql_loose('surface')} AS key FROM (SELECT
 
 
 def _known(spark, sf_dir):
-    return C.form_counts(S.tokens(read(spark, sf_dir, "benchmark"), ["item_id"])).select("key")
+    return C.form_counts(S.surface_counts(read(spark, sf_dir, "benchmark"), ["item_id"])).select("key")
 
 
 @query(f"""WITH {sql_tokens()}, {_FORMS}, {_KNOWN}
 SELECT lang, count(*) AS tokens, count(k.key) AS covered, round(count(k.key) / count(*), 6) AS share FROM forms f LEFT JOIN known k USING (key) GROUP BY ROLLUP (lang)""")
 def lexicon_coverage_rollup(spark, sf_dir):
-    return C.coverage(C.form_counts(S.tokens(_docs(spark, sf_dir, False), ["lang"]), "lang"), _known(spark, sf_dir), "lang")
+    return C.coverage(C.form_counts(S.surface_counts(_docs(spark, sf_dir, False), ["lang"]), "lang"), _known(spark, sf_dir), "lang")
 
 
 @query(f"WITH {sql_tokens()}, {_FORMS}, {_KNOWN} SELECT key, count(*) AS n FROM forms WHERE key NOT IN (SELECT key FROM known) GROUP BY 1 ORDER BY n DESC, key LIMIT 300")
 def unknown_forms_topk(spark, sf_dir):
-    forms = C.form_counts(S.tokens(_docs(spark, sf_dir, False), ["lang"]))
+    forms = C.form_counts(S.surface_counts(_docs(spark, sf_dir, False), ["lang"]))
     return C.top_k(forms.join(_known(spark, sf_dir), "key", "left_anti").select("key", "n"), [F.desc("n"), F.asc("key")], 300)
 
 
 @query(f"WITH {sql_tokens()}, {_FORMS}, {_KNOWN} SELECT DISTINCT key FROM forms WHERE key IN (SELECT key FROM known)")
 def known_forms_semi(spark, sf_dir):
-    return C.form_counts(S.tokens(_docs(spark, sf_dir, False), ["lang"])).join(_known(spark, sf_dir), "key", "left_semi").select("key")
+    return C.form_counts(S.surface_counts(_docs(spark, sf_dir, False), ["lang"])).join(_known(spark, sf_dir), "key", "left_semi").select("key")
 
 
 @query(f"WITH {sql_tokens()}, {_FORMS} SELECT source, key, n FROM (SELECT source, key, count(*) AS n, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, key) AS rn FROM forms GROUP BY 1, 2) WHERE rn <= 20")
 def form_frequency_topk(spark, sf_dir):
-    forms = C.form_counts(S.tokens(_docs(spark, sf_dir, False), ["source"]), "source")
+    forms = C.form_counts(S.surface_counts(_docs(spark, sf_dir, False), ["source"]), "source")
     return C.top_k(forms, [F.desc("n"), F.asc("key")], 20, ["source"]).select("source", "key", "n")
 
 
@@ -174,14 +174,14 @@ def _paragraphs(spark, sf_dir):
 
 @query(f"WITH paras AS ({_PARA}), {sql_tokens('para', 'doc_id, lang, source, chapter', 'paras')} SELECT lang, {sql_loose('surface')} AS key, CAST(min(chapter) AS BIGINT) AS first_chapter, count(*) AS n FROM tok WHERE {_word_sql()} GROUP BY 1, 2")
 def first_occurrence(spark, sf_dir):
-    t = S.tokens(_paragraphs(spark, sf_dir), ["lang", "chapter"], "para").where("kind in ('word', 'latin')")
-    return t.groupBy("lang", T.loose_key(F.col("surface")).alias("key")).agg(F.min("chapter").cast("long").alias("first_chapter"), F.count("*").alias("n"))
+    t = S.surface_counts(_paragraphs(spark, sf_dir), ["lang"], "para", first=F.min("chapter")).where("kind in ('word', 'latin')")
+    return t.groupBy("lang", T.loose_key(F.col("surface")).alias("key")).agg(F.min("first").cast("long").alias("first_chapter"), F.sum("n").alias("n"))
 
 
 @query(f"WITH paras AS ({_PARA}), {sql_tokens('para', 'doc_id, lang, source, chapter', 'paras')} SELECT doc_id, CAST(chapter AS BIGINT) AS chapter, count(*) AS tokens, count(DISTINCT {sql_loose('surface')}) AS forms FROM tok WHERE {_word_sql()} GROUP BY 1, 2")
 def chapter_distinct_forms(spark, sf_dir):
-    t = S.tokens(_paragraphs(spark, sf_dir), ["doc_id", "chapter"], "para").where("kind in ('word', 'latin')")
-    return t.groupBy("doc_id", F.col("chapter").cast("long").alias("chapter")).agg(F.count("*").alias("tokens"), F.count_distinct(T.loose_key(F.col("surface"))).alias("forms"))
+    t = S.surface_counts(_paragraphs(spark, sf_dir), ["doc_id", "chapter"], "para").where("kind in ('word', 'latin')")
+    return t.groupBy("doc_id", F.col("chapter").cast("long").alias("chapter")).agg(F.sum("n").alias("tokens"), F.count_distinct(T.loose_key(F.col("surface"))).alias("forms"))
 
 
 #: The letters that each stage of the alphabet course adds.
@@ -191,7 +191,7 @@ _KNOWN_LETTERS = list("АКМОТВНРСУХЕБГД")
 
 
 def _cyr_forms(spark, sf_dir, *groups):
-    t = S.tokens(_docs(spark, sf_dir, True), ["lang"]).where("kind = 'word'")
+    t = S.surface_counts(_docs(spark, sf_dir, True), ["lang"]).where("kind = 'word'")
     return C.form_counts(t, *groups)
 
 
@@ -236,17 +236,20 @@ hits AS (SELECT doc_id, any_value(lang) AS lang, sentence FROM sent WHERE {sql_l
 
 @query(f"{_CONC}, r AS (SELECT lang, h.doc_id, h.sentence, line, row_number() OVER (PARTITION BY lang ORDER BY h.doc_id, h.sentence) AS rn FROM hits h JOIN s USING (doc_id, sentence)) SELECT lang, doc_id, sentence, line FROM r WHERE rn <= 12")
 def concordance(spark, sf_dir):
-    sents = S.sentences(S.tokens(_docs(spark, sf_dir, False), ["doc_id", "lang"]), ["doc_id", "lang"])
-    hits = sents.where(T.loose_key(F.col("surface")) == "that").select("lang", "doc_id", "sentence").distinct()
+    docs = _docs(spark, sf_dir, False).where(F.lower("text").contains("that"))  # only these are segmented
+    split = lambda d: S.sentences(S.tokens(d, ["doc_id", "lang"]), ["doc_id", "lang"])
+    hits = split(docs).where(T.loose_key(F.col("surface")) == "that").select("lang", "doc_id", "sentence").distinct()
     first = C.top_k(hits, [F.asc("doc_id"), F.asc("sentence")], 12, ["lang"])
-    line = sents.join(F.broadcast(first), ["lang", "doc_id", "sentence"], "left_semi")  # 12 rows a language
+    first = F.broadcast(first)  # 12 rows a language
+    line = split(docs.join(first.select("doc_id").distinct(), "doc_id", "left_semi")).join(first, ["lang", "doc_id", "sentence"], "left_semi")
     line = line.groupBy("lang", "doc_id", "sentence").agg(F.array_sort(F.collect_list(F.struct("pos", "surface"))).alias("x"))
     return line.select("lang", "doc_id", "sentence", F.array_join("x.surface", " ").alias("line"))
 
 
 @query(f"{_CONC}, c AS (SELECT lang, h.doc_id, h.sentence, line, row_number() OVER (PARTITION BY lang ORDER BY length(line), h.doc_id, h.sentence) AS rn FROM hits h JOIN s USING (doc_id, sentence) WHERE length(line) <= 140) SELECT lang, doc_id, sentence, line FROM c WHERE rn <= 2")
 def example_sentences(spark, sf_dir):
-    sents = S.sentences(S.tokens(_docs(spark, sf_dir, False), ["doc_id", "lang"]), ["doc_id", "lang"])
+    docs = _docs(spark, sf_dir, False).where(F.lower("text").contains("that"))  # only these are segmented
+    sents = S.sentences(S.tokens(docs, ["doc_id", "lang"]), ["doc_id", "lang"])
     line = sents.groupBy("lang", "doc_id", "sentence").agg(
         F.array_sort(F.collect_list(F.struct("pos", "surface"))).alias("x"), F.max(T.loose_key(F.col("surface")) == "that").alias("hit")
     )

@@ -47,9 +47,9 @@ f AS (SELECT *, min(chapter) OVER (PARTITION BY lang, kind, key) AS first FROM c
 r AS (SELECT *, row_number() OVER (PARTITION BY lang, chapter, kind ORDER BY n DESC, key) AS rn FROM f WHERE chapter = first AND key NOT IN (SELECT key FROM known))
 SELECT lang, CAST(chapter AS BIGINT) AS chapter, kind, key, n FROM r WHERE rn <= CASE kind WHEN 'word' THEN 14 ELSE 10 END""")
 def chapter_prep(spark, sf_dir):
-    t = S.tokens(_paragraphs(spark, sf_dir), ["lang", "chapter"], "para").where("kind in ('word', 'latin')")
+    t = S.surface_counts(_paragraphs(spark, sf_dir), ["lang", "chapter"], "para").where("kind in ('word', 'latin')").withColumnRenamed("n", "times")
     kind = F.when(F.col("surface").rlike(r"^\p{Lu}"), "name").otherwise("word")
-    counts = t.groupBy("lang", F.col("chapter").cast("long").alias("chapter"), kind.alias("kind"), T.loose_key(F.col("surface")).alias("key")).agg(F.count("*").alias("n"))
+    counts = t.groupBy("lang", F.col("chapter").cast("long").alias("chapter"), kind.alias("kind"), T.loose_key(F.col("surface")).alias("key")).agg(F.sum("times").alias("n"))
     return X.chapter_prep(counts, _known(spark, sf_dir), ["lang"], {"word": 14, "name": 10}).select("lang", "chapter", "kind", "key", "n")
 
 
@@ -58,7 +58,7 @@ def chapter_prep(spark, sf_dir):
 SELECT lang, count(*) AS tokens, round(count(*) FILTER (WHERE producer = 'dictionary') / count(*), 6) AS dictionary, round(count(*) FILTER (WHERE producer = 'closed') / count(*), 6) AS closed,
   round(count(*) FILTER (WHERE producer = 'rule') / count(*), 6) AS rule, round(count(*) FILTER (WHERE producer = 'guess') / count(*), 6) AS guess, 0.0::DOUBLE AS none FROM v GROUP BY ROLLUP (lang)""")
 def verdict_shares(spark, sf_dir):
-    forms = C.form_counts(S.tokens(_docs(spark, sf_dir, False), ["lang"]), "lang")
+    forms = C.form_counts(S.surface_counts(_docs(spark, sf_dir, False), ["lang"]), "lang")
     hit = forms.join(_known(spark, sf_dir).withColumn("hit", F.lit(True)), "key", "left")
     producer = F.when(F.col("hit"), "dictionary").when(F.length("key") <= 3, "closed").when(F.col("key").rlike("(?:ly|ing)$"), "rule").otherwise("guess")
     return X.verdict_shares(hit.withColumn("producer", producer), "lang")

@@ -190,7 +190,7 @@ def _sql_guess(w: str) -> str:
 @query(f"""WITH {sql_tokens(_CYR_SQL)}, {GUESSES.sql}, v AS (SELECT DISTINCT {sql_loose('surface')} AS w FROM tok WHERE kind = 'word' UNION SELECT w FROM guesses)
 SELECT w, split_part(g, '|', 1) AS pos, split_part(g, '|', 2) AS lemma, CAST(split_part(g, '|', 3) AS DOUBLE) AS confidence FROM (SELECT w, {_sql_guess('w')} AS g FROM v)""")
 def ending_guess(spark, sf_dir):
-    words = S.tokens(_docs(spark, sf_dir, True), ["lang"]).where("kind = 'word'").select(T.loose_key(F.col("surface")).alias("w")).union(GUESSES.df(spark)).distinct()
+    words = S.surface_counts(_docs(spark, sf_dir, True), []).where("kind = 'word'").select(T.loose_key(F.col("surface")).alias("w")).union(GUESSES.df(spark)).distinct()
     return words.select("w", X.ending_guess(F.col("w")).alias("g")).select("w", "g.pos", "g.lemma", "g.confidence")
 
 

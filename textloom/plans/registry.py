@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analysis, clauses, context, corpus, features, ingest, learner, lexicon, sentence
+from . import analysis, clauses, context, corpus, features, ingest, learner, lexicon, records, sentence
 
-MODULES = [analysis, clauses, context, corpus, features, ingest, lexicon, learner, sentence]
+MODULES = [analysis, clauses, context, corpus, features, ingest, lexicon, learner, records, sentence]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
