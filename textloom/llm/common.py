@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,20 +20,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` computed once and stored in the folder that spark.checkpoint.dir names, which survives lost executors.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, where intermediate results survive lost executors.
 
     Where that is unset, a session of one local process (tests, a laptop) gets a folder of its own; a cluster
-    fails, as its executors would not see one another's. Spark removes the files of frames no longer used
-    if spark.cleaner.referenceTracking.cleanCheckpoints is set."""
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
+    fails, as its executors would not see one another's."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
         if re.fullmatch(r"local(\[[^\]]*\])?", context.master) is None:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        folder = context.getCheckpointDir()
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` computed once and stored in the shared folder. Spark removes the files of frames no longer used if
+    spark.cleaner.referenceTracking.cleanCheckpoints is set."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """`df` written as Parquet in the shared folder and read again, and where; `discard` removes it."""
+    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes what `stored` wrote, in whatever store that is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def _bytes(c: Column, kind: T.DataType) -> Column:
     """Bytes of a value, about as an executor holds it."""
     if isinstance(kind, T.StringType | T.BinaryType):

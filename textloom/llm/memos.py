@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+
 _memos: dict[str, list[dict]] = {}
 
 
@@ -15,3 +17,4 @@ def claim(owner: str) -> None:
         if name != owner:
             for m in memos:
                 m.clear()
+    pa.default_memory_pool().release_unused()
