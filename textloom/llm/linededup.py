@@ -19,10 +19,10 @@ MIN_CHARS = 10
 MAX_EDITS, CHARS_PER_EDIT = 2, 20
 #: Lines per task whose hashes are remembered, so that their keys are sent once.
 SEEN_LINES = 200_000
-#: Keys of one batch sent on.
-BATCH_KEYS = 50_000
-#: Parts of a line's character parities, one of which is equal where at most `MAX_EDITS` edits flip two each.
-PARTS = 2 * MAX_EDITS + 1
+#: Keys and characters of one batch sent on.
+BATCH_KEYS, BATCH_CHARS = 50_000, 1_000_000
+#: Bits that one edit can flip: of the parities of a whole line, and of those of its stretches around a key.
+LINE_FLIPS, FLIPS = 2, 3
 
 
 def allowed_edits(length: int, max_edits: int) -> int:
@@ -41,31 +41,50 @@ def segments(length: int, parts: int) -> list[tuple[int, int]]:
 
 
 @lru_cache(maxsize=8192)
-def index_places(length: int, max_edits: int) -> tuple[tuple[int, int, int], ...]:
-    """(start, end, seed) in UTF-32 bytes of each segment of a line of this length."""
-    return tuple((4 * at, 4 * (at + n), length * 8 + i) for i, (at, n) in enumerate(segments(length, max_edits + 1)))
-
-
-@lru_cache(maxsize=8192)
-def probe_places(length: int, max_edits: int) -> tuple[tuple[int, int, int], ...]:
-    """(start, end, seed) of the substrings that can equal a segment of a line as long or up to `max_edits` shorter.
+def places(length: int, max_edits: int) -> tuple[tuple[int, int, int, int, int, bool], ...]:
+    """(start, end, left, right, seed, own) of the substrings of a line that can equal a segment of one as long or up to
+    `max_edits` shorter; its own segments are among them.
 
     If some segment survives the edits, one does at a shift that both the edits left of it and those right
-    of it allow; only those shifts are probed."""
+    of it allow; only those shifts are probed. `left` and `right` are places half-way to the ends of the shorter line."""
     out = []
     for shorter in range(min(max_edits, length - 1) + 1):
         other = length - shorter
         for i, (at, n) in enumerate(segments(other, max_edits + 1)):
             right = max_edits - i
             for p in range(max(at - i, at + shorter - right, 0), min(at + i, at + shorter + right, length - n) + 1):
-                out.append((4 * p, 4 * (p + n), other * 8 + i))
+                q = p + n
+                own = not shorter and p == at
+                out.append((p, q, max(p - at // 2, 0), min(q + (other - at - n) // 2, length), other * 8 + i, own))
     return tuple(out)
 
 
-def char_parity(data: bytes) -> int:
-    """64 parity bits over the characters of a line in UTF-32, by code point modulo 64. An edit flips two at most."""
-    odd = np.bincount(np.frombuffer(data, "<u4") & 63, minlength=64) & 1
-    return int.from_bytes(np.packbits(odd.astype(np.uint8)).tobytes())
+@lru_cache(maxsize=8192)
+def own_places(length: int, max_edits: int) -> tuple[tuple[int, int, int, int, int, bool], ...]:
+    return tuple(x for x in places(length, max_edits) if x[-1])
+
+
+@lru_cache(maxsize=8192)
+def spots(length: int, max_edits: int, probe: bool) -> np.ndarray:
+    """(left, start, end, right, length) of each of the places."""
+    return np.array([(left, p, q, right, length) for p, q, left, right, _, _ in (places if probe else own_places)(length, max_edits)], np.int64)
+
+
+def parities(codes: np.ndarray, at: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64 parity bits, by code point modulo 64, of each whole line, and 16 of each of its four stretches around a key.
+
+    `codes` are the characters of all lines in a row, `at` the spots of each key in them, `start` where its line begins.
+    A substitution flips two bits at most. An insertion or deletion flips one, and the character it pushes over the end
+    of its stretch one on either side of it."""
+    upto = np.zeros(len(codes) + 1, np.uint64)
+    np.bitwise_xor.accumulate(np.uint64(1) << (codes & 63).astype(np.uint64), out=upto[1:])
+    marks = upto[at]
+    stretches = (marks[:, 0] ^ upto[start], marks[:, 1] ^ marks[:, 0], marks[:, 3] ^ marks[:, 2], marks[:, 4] ^ marks[:, 3])
+    sides = np.zeros(len(at), np.uint64)
+    for x in stretches:
+        x = x ^ x >> np.uint64(32)
+        sides = sides << np.uint64(16) | (x ^ x >> np.uint64(16)) & np.uint64(0xFFFF)
+    return marks[:, 4] ^ upto[start], sides
 
 
 def within(a: str, b: str, k: int) -> bool:
@@ -132,18 +151,23 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keys(batches: Iterator[pa.RecordBatch], max_edits: int, probe: bool) -> Iterator[pa.RecordBatch]:
-    """(k, h, sig, o): the keys of each wording, its hash, its character parities and the document where this task met it."""
+    """(k, h, line, sig, o, own): the keys of each wording, its hash, its parities as a whole and around each key, and the document where this task met it."""
     seen: set[int] = set()
-    digest, places = xxhash.xxh3_64_intdigest, probe_places if probe else index_places
-    k, h, sig, o, times = [], [], [], [], []
+    digest, which = xxhash.xxh3_64_intdigest, places if probe else own_places
+    k, own, h, o, times, lines, at = [], [], [], [], [], [], []
 
     def flush() -> pa.RecordBatch:
-        each = [np.repeat(x, times) for x in (_signed(h), _signed(sig), np.array(o, np.int64))]
-        batch = pa.RecordBatch.from_arrays([pa.array(x) for x in (_signed(k), *each)], ["k", "h", "sig", "o"])
-        for x in (k, h, sig, o, times):
+        codes = np.frombuffer(b"".join(lines), "<u4")
+        start = np.repeat(np.cumsum([0, *(len(x) // 4 for x in lines[:-1])]), times)
+        whole, sides = parities(codes, np.concatenate(at) + start[:, None], start)
+        each = [np.repeat(x, times) for x in (_signed(h), np.array(o, np.int64))]
+        columns = [_signed(k), each[0], whole.view(np.int64), sides.view(np.int64), each[1]]
+        batch = pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(own, pa.bool_())], ["k", "h", "line", "sig", "o", "own"])
+        for x in (k, own, h, o, times, lines, at):
             x.clear()
         return batch
 
+    chars = 0
     for batch in batches:
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
             for _, line, a, _ in _lines(text.as_py()):
@@ -152,14 +176,17 @@ def _keys(batches: Iterator[pa.RecordBatch], max_edits: int, probe: bool) -> Ite
                 if len(seen) > SEEN_LINES:
                     seen.clear()
                 seen.add(a)
-                data = line.encode("utf-32-le", "surrogatepass")
-                at = places(len(line), max_edits)
-                k += [digest(data[p:q], seed) for p, q, seed in at]
+                data, found = line.encode("utf-32-le", "surrogatepass"), which(len(line), max_edits)
+                k += [digest(data[4 * p : 4 * q], seed) for p, q, _, _, seed, _ in found]
+                own += [x[-1] for x in found]
+                lines.append(data)
+                at.append(spots(len(line), max_edits, probe))
                 h.append(a)
-                sig.append(char_parity(data))
                 o.append(_LAST if doc is None else doc)
-                times.append(len(at))
-                if len(k) >= BATCH_KEYS:
+                times.append(len(found))
+                chars += len(line)
+                if len(k) >= BATCH_KEYS or chars >= BATCH_CHARS:
+                    chars = 0
                     yield flush()
     if k:
         yield flush()
@@ -204,21 +231,22 @@ def repeated_lines(docs: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
     occ = slim.mapInArrow(_occurrences, "doc_id long, key long, line_no long, h1 long, h2 long")
     first = checkpointed(occ.groupBy("h1", "h2").agg(F.min(_order(F.col("line_no"))).alias("first"), F.count("*").alias("n")))
 
-    keyed = lambda probe: slim.select("doc_id", "text").mapInArrow(lambda b: _keys(b, max_edits, probe), "k long, h long, sig long, o long")
-    differ = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= 2 * max_edits
-    heads = keyed(False).groupBy("k").agg(F.min_by("h", "o").alias("a"), F.min_by("sig", "o").alias("sig_a"), (F.min("h") != F.max("h")).alias("several"))
-    probes = keyed(True).select("k", F.col("h").alias("b"), F.col("sig").alias("sig_b"))
-    near_head = (F.col("a") != F.col("b")) & differ("sig_a", "sig_b")
-    met = checkpointed(probes.join(heads, "k").where(near_head | F.col("several")).select("k", "b", "sig_b", "a", near_head.alias("near"), "several"))
+    keyed = lambda probe: slim.select("doc_id", "text").mapInArrow(lambda b: _keys(b, max_edits, probe), "k long, h long, line long, sig long, o long, own boolean")
+    earliest = lambda c: F.min_by(c, "o").alias(c)
+    heads = keyed(False).groupBy("k").agg(*map(earliest, ("h", "line", "sig")), (F.min("h") != F.max("h")).alias("several"))
+    heads = heads.withColumnsRenamed({"h": "a", "line": "line_a", "sig": "sig_a"})
+    probes = keyed(True).select("k", F.col("h").alias("b"), F.col("line").alias("line_b"), F.col("sig").alias("sig_b"), "own")
+    met = probes.join(heads, "k").where(_alike(max_edits) | F.col("several"))
+    met = checkpointed(met.select("k", "b", "line_b", "sig_b", "own", "a", _alike(max_edits).alias("near"), "several"))
     near = _near(slim, first, _pairs(met.where("near")), max_edits)
     late = checkpointed(near.select("late").distinct())
 
-    crowded = maybe_broadcast(checkpointed(met.where("several").select("k").distinct()))
     known = maybe_broadcast(late.select("late", F.lit(True).alias("known")))
-    index = keyed(False).select("k", F.col("h").alias("a"), F.col("sig").alias("sig_a")).join(crowded, "k").distinct()
-    index = _parted(index.join(known, F.col("a") == F.col("late"), "left"), "a", "sig_a", "known_a")
-    more = _parted(met.where("several").select("k", "b", "sig_b").distinct().join(known, F.col("b") == F.col("late"), "left"), "b", "sig_b", "known_b")
-    rest = more.join(index, "part").where((F.col("a") != F.col("b")) & differ("sig_a", "sig_b") & ~(F.col("known_a") & F.col("known_b")))
+    crowd = met.where("several").select("k", "b", "line_b", "sig_b", "own").distinct().join(known, F.col("b") == F.col("late"), "left")
+    crowd = checkpointed(crowd.select("k", "b", "line_b", "sig_b", "own", F.coalesce("known", F.lit(False)).alias("known_b")))
+    more, index = _parted(crowd, max_edits), _parted(crowd.where("own"), max_edits)
+    index = index.select("part", *[F.col(f"{c}b").alias(f"{c}a") for c in ("", "line_", "sig_", "known_")])
+    rest = more.join(index, "part").where(_alike(max_edits) & ~(F.col("known_a") & F.col("known_b")) & _first_equal(F.col("i"), max_edits))
     near = _near(slim, first, _pairs(rest), max_edits)
     late = checkpointed(late.unionByName(near.select("late")).distinct().withColumnRenamed("late", "h1"))
 
@@ -229,12 +257,29 @@ def repeated_lines(docs: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
     return gone.groupBy("doc_id", "key").agg(F.collect_set("line_no").alias("gone_lines"))
 
 
-def _parted(rows: DataFrame, h: str, sig: str, known: str) -> DataFrame:
-    """Rows with a key of each part of their parities within `k`."""
-    width = -(-64 // PARTS)
-    bits = [F.shiftrightunsigned(sig, i * width).bitwiseAND((1 << width) - 1) for i in range(PARTS)]
-    parts = F.array(*[F.xxhash64("k", F.lit(i), b) for i, b in enumerate(bits)])
-    return rows.select(h, sig, F.coalesce("known", F.lit(False)).alias(known), F.explode(parts).alias("part"))
+def _alike(max_edits: int) -> Column:
+    """Whether two lines a and b that share a key are different and their parities allow for the edits."""
+    few = lambda kind, flips: F.bit_count(F.col(f"{kind}_a").bitwiseXOR(F.col(f"{kind}_b"))) <= flips * max_edits
+    return (F.col("a") != F.col("b")) & few("line", LINE_FLIPS) & few("sig", FLIPS)
+
+
+def _stretches(max_edits: int) -> list[tuple[int, int]]:
+    """(first bit, mask) of the parts of a line's parities: one more than bits that the edits can flip."""
+    width = -(-64 // (LINE_FLIPS * max_edits + 1))
+    return [(at, (1 << width) - 1) for at in range(0, 64, width)]
+
+
+def _parted(crowd: DataFrame, max_edits: int) -> DataFrame:
+    """Rows with a key of each part of their parities within `k`; one part at least agrees where few bits differ."""
+    part = lambda i, at, mask: F.xxhash64("k", F.lit(i), F.shiftrightunsigned("line_b", at).bitwiseAND(mask))
+    parts = F.array(*[F.struct(F.lit(i).alias("i"), part(i, *x).alias("part")) for i, x in enumerate(_stretches(max_edits))])
+    return crowd.select("b", "line_b", "sig_b", "known_b", F.explode(parts).alias("p")).select("b", "line_b", "sig_b", "known_b", "p.*")
+
+
+def _first_equal(i: Column, max_edits: int) -> Column:
+    """Whether part `i` is the first that agrees, so that a pair meets once for each key."""
+    d = F.col("line_a").bitwiseXOR(F.col("line_b"))
+    return F.coalesce(*[F.when(F.shiftrightunsigned(d, at).bitwiseAND(mask) == 0, F.lit(n)) for n, (at, mask) in enumerate(_stretches(max_edits))]) == i
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -272,8 +317,8 @@ def dedup_lines(docs: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
     held = base.select(F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("key"))
     held = held.join(gone, F.col("doc").eqNullSafe(F.col("gone_doc")) & (F.col("key") == F.col("gone_key")), "left")
     whole = F.col("row.text")
-    lines = F.split(whole, "\n")
-    stay = F.array_except(F.sequence(F.lit(0).cast("long"), (F.size(lines) - 1).cast("long")), F.col("gone_lines"))
-    text = F.when(F.col("gone_lines").isNull(), whole).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i.cast("int"))), "\n"))
+    stay = lambda lines: F.array_except(F.sequence(F.lit(0).cast("long"), (F.size(lines) - 1).cast("long")), F.col("gone_lines"))
+    rest = F.get(F.transform(F.array(F.split(whole, "\n")), lambda lines: F.array_join(F.transform(stay(lines), lambda i: F.get(lines, i.cast("int"))), "\n")), F.lit(0))  # split once
+    text = F.when(F.col("gone_lines").isNull(), whole).otherwise(rest)
     columns = [(text if c == "text" else F.col("row")[c]).alias(c) for c in base.columns]
     return held.select(*columns, F.coalesce(F.size("gone_lines"), F.lit(0)).cast("long").alias("n_dropped"))
