@@ -122,8 +122,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_
     item's windows in line would, at least `window` or all of a shorter item.
 
     `matched` of an item's `windows` lie in runs that count. Null texts or ids match nothing; repeated rows
-    count once, different texts of one doc_id apart; empty tables give no rows."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").dropDuplicates(["item_id"])
+    count once, different texts of one doc_id apart; each text of an item_id is looked for and the one of which
+    most is found counts; empty tables give no rows."""
+    named = benchmark.select(F.col("item_id").cast("long").alias("of_item"), "text").where("of_item is not null and text is not null").distinct()
+    named = checkpointed(named.withColumn("item_id", F.xxhash64("of_item", "text")))  # an item with several texts is looked for by each
+    items = named.drop("of_item")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text").where("doc_id is not null and text is not null")
     text, hits = F.col("text"), None
     typed = checkpointed(_item_windows(items, template_words(text), window, min_literal).where("literal"))
@@ -159,4 +162,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_
     one = F.exists("runs", lambda r: r["e"] - r["s"] + 1 >= F.col("least"))
     leaks = judged.where(F.when(one, True).otherwise(_in_order(F.col("runs")) >= F.col("need")))
     matched = F.size(F.array_distinct(F.flatten("runs.at"))).cast("long")
-    return leaks.groupBy("doc_id", "item_id", F.col("windows").cast("long").alias("windows")).agg(F.max(matched).alias("matched")).select("doc_id", "item_id", "matched", "windows")
+    found = leaks.select("doc_id", "item_id", matched.alias("matched"), F.col("windows").cast("long").alias("windows")).join(maybe_broadcast(named.select("item_id", "of_item")), "item_id")
+    best = found.groupBy("doc_id", F.col("of_item").alias("item_id")).agg(F.max(F.struct("matched", "windows")).alias("best"))
+    return best.select("doc_id", "item_id", "best.matched", "best.windows")
