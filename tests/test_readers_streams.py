@@ -29,7 +29,7 @@ def test_epub_order_and_refusals(spark):
 
 def test_html_blocks():
     got = markup.blocks_of("<html><head><title>x</title></head><body><h1>A &amp; B</h1><p>one <b>two</b><script>no</script> three<sup>1</sup></p><nav>menu</nav>tail")
-    assert [(k, t) for k, _, t, _ in got] == [("heading", "A & B"), ("para", "one two three"), ("para", "tail")]
+    assert [(k, t) for k, _, t, _ in got] == [("heading", "A & B"), ("para", "one two three"), ("para", "menu"), ("para", "tail")]
     assert got[1][3] == [{"start": 4, "end": 7, "kind": "strong"}]
 
 

@@ -90,3 +90,41 @@ def orthographic_variants(pairs: DataFrame) -> DataFrame:
     """Whether two spellings differ but have one loose key and one length."""
     same = (T.loose_key(F.col("a")) == T.loose_key(F.col("b"))) & (F.length("a") == F.length("b")) & (F.col("a") != F.col("b"))
     return pairs.select("a", "b", same.alias("variant"))
+
+
+#: The words for features.
+FEATURE_WORDS = {
+    "case=nom": "nominative", "case=gen": "genitive", "case=dat": "dative", "case=acc": "accusative", "case=inst": "instrumental", "case=prep": "prepositional", "gender=m": "masculine", "gender=f": "feminine", "gender=n": "neuter",
+    "number=sg": "singular", "number=pl": "plural", "person=1": "1st person", "person=2": "2nd person", "person=3": "3rd person", "aspect=perfective": "perfective", "aspect=imperfective": "imperfective", "degree=comparative": "comparative",
+    "degree=superlative": "superlative", "degree=short": "short", "verb_form=infinitive": "infinitive", "verb_form=past": "past", "reflexive=true": "reflexive", "voice=passive": "passive", "voice=active": "active",
+}
+
+
+def described(features: Column) -> Column:
+    """Features in words, in their order; what has no word falls away."""
+    words = F.create_map(*[F.lit(x) for kv in FEATURE_WORDS.items() for x in kv])
+    return F.array_join(F.filter(F.transform(F.split(features, ";"), lambda f: F.try_element_at(words, f)), lambda w: w.isNotNull()), ", ")
+
+
+def with_stress_mark(form: Column, stress: Column) -> Column:
+    """The form with an acute behind the stressed letter; a form of one vowel, with ё or without a known stress stays."""
+    marked = F.concat(F.left(form, stress + 1), F.lit("́"), F.substr(form, stress + 2))
+    vowels = F.length(F.regexp_replace(F.lower(form), "[^аеёиоуыэюя]", ""))
+    return F.when((stress >= 0) & (vowels > 1) & ~F.lower(form).contains("ё"), marked).otherwise(form)
+
+
+def with_yo(printed: Column, known: Column) -> Column:
+    """A printed form with ё where the known spelling has it and the printed one е; other spellings stay."""
+    fits = (F.length(printed) == F.length(known)) & (F.translate(F.lower(known), "ё", "е") == F.translate(F.lower(printed), "ё", "е"))
+    letters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    put = F.zip_with(letters(printed), letters(known), lambda p, k: F.when((F.lower(k) == "ё") & (p == "е"), "ё").when((F.lower(k) == "ё") & (p == "Е"), "Ё").otherwise(p))
+    return F.when(fits, F.array_join(put, "")).otherwise(printed)
+
+
+def without_apparatus(paragraphs: DataFrame, keys: list[str], mark: str = r"^Стр\. \d+, строка") -> DataFrame:
+    """Paragraphs (keys, i, kind, text) before the heading that opens the list of variants: the last one before the first line like `mark`."""
+    whole = Window.partitionBy(*keys)
+    first = F.min(F.when(F.col("text").rlike(mark), F.col("i"))).over(whole)
+    seen = paragraphs.withColumn("hit", first)
+    seen = seen.withColumn("cut", F.max(F.when((F.col("kind") == "heading") & (F.col("i") <= F.col("hit")), F.col("i"))).over(whole))
+    return seen.where("hit is null or i < coalesce(cut, hit)").drop("hit", "cut")

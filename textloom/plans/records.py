@@ -188,3 +188,27 @@ def stage_letters(spark, sf_dir):
 def known_letters(spark, sf_dir):
     course = COURSE.df(spark).where("stage = 1").select(F.explode(F.filter(F.split("letters", ""), lambda c: c != "")).alias("symbol"))
     return INTRODUCED.df(spark).select("symbol").union(course).distinct()
+
+
+FEATURES = Fixture("features", "features string", [("case=gen;gender=m;number=sg",), ("aspect=perfective;verb_form=past",), ("",), ("odd=1;person=3",)])
+STRESSED = Fixture("stressed", "form string, stress int, printed string, known string", [("молоко", 5, "елка", "ёлка"), ("дом", 1, "Ежик", "ёжик"), ("ёлка", 0, "все", "весь"), ("вода", -1, "лёд", "лед"), ("вода", 3, "шел", "шёл")])
+VARIANTS = Fixture("variants", "work int, i int, kind string, text string", [
+    (1, 0, "heading", "I"), (1, 1, "text", "проза"), (1, 2, "heading", "Варианты"), (1, 3, "text", "список"), (1, 4, "text", "Стр. 12, строка 3: иначе"), (1, 5, "heading", "II"), (2, 0, "text", "проза"), (2, 1, "heading", "Стр."), (3, 0, "text", "a"), (3, 1, "text", "Стр. 1, строка 1"),
+])
+_WORDS = ", ".join(f"'{k}': '{v}'" for k, v in R.FEATURE_WORDS.items())
+
+
+@query(f"WITH {FEATURES.sql} SELECT features, array_to_string(list_filter(list_transform(string_split(features, ';'), lambda f: MAP {{{_WORDS}}}[f]), lambda w: w IS NOT NULL), ', ') AS label FROM features")
+def feature_labels(spark, sf_dir):
+    return FEATURES.df(spark).select("features", R.described(F.col("features")).alias("label"))
+
+
+@query("SELECT * FROM (VALUES ('молоко́', 'ёлка'), ('дом', 'Ёжик'), ('ёлка', 'все'), ('вода', 'лёд'), ('вода́', 'шёл')) v(marked, shown)")
+def stress_and_yo(spark, sf_dir):
+    return STRESSED.df(spark).select(R.with_stress_mark(F.col("form"), F.col("stress")).alias("marked"), R.with_yo(F.col("printed"), F.col("known")).alias("shown"))
+
+
+@query(f"""WITH {VARIANTS.sql}, h AS (SELECT work, min(i) AS hit FROM variants WHERE regexp_matches(text, '^Стр\\. \\d+, строка') GROUP BY 1),
+c AS (SELECT h.work, coalesce((SELECT max(i) FROM variants v WHERE v.work = h.work AND kind = 'heading' AND i <= hit), hit) AS cut FROM h) SELECT v.* FROM variants v LEFT JOIN c USING (work) WHERE cut IS NULL OR i < cut""")
+def variant_cut(spark, sf_dir):
+    return R.without_apparatus(VARIANTS.df(spark), ["work"])

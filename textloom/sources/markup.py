@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import posixpath
+import re
 import zipfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -13,10 +14,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Tags that are skipped with their content, that end a block, and the kinds that a class or tag gives.
-SKIPPED = {"script", "style", "head", "nav", "footer", "template", "noscript", "svg", "sup"}
-BLOCKS = {"p", "div", "article", "section", "li", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "table", "ul", "ol", "br", "hr", "body", "main", "header", "figure", "pre", "dd", "dt"}
-EMPHASIS = {"i": "em", "em": "em", "b": "strong", "strong": "strong"}
+#: Tags that are skipped with their content, that end a block, that have no content, and that emphasise.
+SKIPPED = {"script", "style", "head", "title", "noscript", "template", "svg", "sup"}
+BLOCKS = set(
+    "p div h1 h2 h3 h4 h5 h6 li blockquote pre section article header footer main body ul ol table tr td th dd dt dl figure figcaption aside nav center".split()
+)
+VOID = {"br", "hr", "img", "meta", "link", "input", "wbr", "area", "base", "col", "source", "track"}
+EMPHASIS = {"i": "em", "em": "em", "cite": "em", "b": "strong", "strong": "strong"}
+#: Class names that give a block its kind, and words of emphasis.
+CLASS_KINDS = [
+    ("heading", re.compile(r"(^|\s)(mt\d?|title|chapter-?title|heading|h\d?|s\d?|ms\d?)(\s|$)")), ("verse", re.compile(r"(^|\s)(q\d?|poetry|verse)(\s|$)")),
+    ("quote", re.compile(r"(^|\s)(blockquote|quote|epigraph)(\s|$)")), ("note", re.compile(r"(^|\s)(footnote|note|f|x|xt)(\s|$)")), ("letter", re.compile(r"(^|\s)letter(\s|$)")),
+]
+EMPHASIS_CLASSES = [("em", {"it", "italic", "i", "em", "bdit", "wj"}), ("strong", {"bold", "b", "strong"})]
+#: Tags that end those of the same group which are still open, as their end tags are optional.
+ENDED_BY = {"li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}}
 BLOCK_SCHEMA = "kind string, level int, text string, emphasis array<struct<start:int,end:int,kind:string>>"
 
 
@@ -31,41 +43,86 @@ def detect_format(path: Column, head: Column) -> Column:
 
 
 class _Blocks(HTMLParser):
-    """Collects blocks of text with emphasis ranges; offsets count in the collapsed text."""
+    """Collects blocks of text with emphasis ranges; offsets count in the collapsed text. End tags may be missing."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.out: list[tuple] = []
-        self.skip, self.kind, self.level = 0, "para", 0
-        self.text, self.marks, self.open = "", [], []
+        self.open: list[dict] = []  # elements that are open
+        self.skip, self.depth = "", 0  # the tag whose content is skipped, and how deep
+        self.text, self.marks = "", []
 
     def flush(self) -> None:
         text = self.text.rstrip()
         if text:
-            marks = self.marks + [(s, len(text), k) for s, k in self.open]
-            self.out.append((self.kind, self.level, text, [{"start": s, "end": min(e, len(text)), "kind": k} for s, e, k in marks if s < min(e, len(text))]))
+            block = next((e for e in reversed(self.open) if e["kind"]), {"kind": "para", "level": 0})
+            marks = self.marks + [(e["start"], len(text), e["emphasis"]) for e in self.open if e["emphasis"]]
+            ranges = sorted({(s, min(t, len(text)), k) for s, t, k in marks if s < min(t, len(text))})
+            self.out.append((block["kind"], block["level"], text, [{"start": s, "end": t, "kind": k} for s, t, k in ranges]))
         self.text, self.marks = "", []
-        self.open = [(0, k) for _, k in self.open]
+        for e in self.open:
+            e["start"] = 0
+
+    def close_element(self) -> None:
+        e = self.open[-1]
+        if e["kind"]:
+            self.flush()
+        elif e["emphasis"]:
+            self.marks.append((e["start"], len(self.text), e["emphasis"]))
+        self.open.pop()
+
+    def close_upto(self, tags: set[str], within: set[str]) -> None:
+        """Closes the innermost open element of `tags`, with all in it, unless one of `within` lies between."""
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i]["tag"] in tags:
+                while len(self.open) > i:
+                    self.close_element()
+                return
+            if self.open[i]["tag"] in within:
+                return
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in SKIPPED:
-            self.skip += 1
+        given = {k: (v or "").lower() for k, v in attrs}
+        if self.skip:
+            if not (self.skip == "head" and tag in BLOCKS):  # a block ends a head that was left open
+                self.depth += tag == self.skip
+                return
+            self.skip = ""
+        if tag in VOID:
+            if tag == "br" and self.text:
+                self.handle_data(" ")
+            elif tag == "hr":
+                self.flush()
+            return
+        note = re.search("footnote|endnote|noteref|rearnote", given.get("epub:type", "")) or tag == "a" and re.search("noteref|footnote", given.get("class", ""))
+        if tag in SKIPPED or note:
+            self.skip, self.depth = tag, 1
+            return
+        names = given.get("class", "")
+        emphasis = EMPHASIS.get(tag) or next((k for k, words in EMPHASIS_CLASSES if words & set(names.split())), None)
+        style = given.get("style", "")
+        emphasis = emphasis or ("em" if re.search(r"font-style:\s*italic", style) else "strong" if re.search(r"font-weight:\s*(bold|[6-9]00)", style) else None)
+        kind, level = None, 0
         if tag in BLOCKS:
+            self.close_upto({"p"}, {"table", "td", "th", "li", "blockquote", "aside", "div", "section", "article", "body"})
+            if tag in ENDED_BY:
+                self.close_upto(ENDED_BY[tag], {"table", "ul", "ol", "dl"})
             self.flush()
-            heading = len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
-            self.kind, self.level = ("heading", int(tag[1])) if heading else ("quote" if tag == "blockquote" else "para", 0)
-        if tag in EMPHASIS and not self.skip:
-            self.open.append((len(self.text), EMPHASIS[tag]))
+            above = next((e["kind"] for e in reversed(self.open) if e["kind"]), "para")
+            kind = "para" if above == "heading" else above
+            if len(tag) == 2 and tag[0] == "h" and tag[1].isdigit():
+                kind, level = "heading", int(tag[1])
+            kind = {"blockquote": "quote", "aside": "note"}.get(tag, kind)
+            kind = next((k for k, rx in CLASS_KINDS if rx.search(names)), kind)
+        self.open.append({"tag": tag, "kind": kind, "level": level, "emphasis": emphasis, "start": len(self.text)})
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in SKIPPED and self.skip:
-            self.skip -= 1
-        if tag in EMPHASIS and self.open:
-            start, kind = self.open.pop()
-            self.marks.append((start, len(self.text), kind))
-        if tag in BLOCKS:
-            self.flush()
-            self.kind, self.level = "para", 0
+        if self.skip:
+            self.depth -= tag == self.skip
+            if not self.depth:
+                self.skip = ""
+        elif any(e["tag"] == tag for e in self.open):
+            self.close_upto({tag}, set())
 
     def handle_data(self, data: str) -> None:
         if not self.skip:
@@ -79,6 +136,8 @@ def blocks_of(markup: str | None) -> list[tuple]:
     parser = _Blocks()
     parser.feed(markup or "")
     parser.close()
+    while parser.open:
+        parser.close_element()
     parser.flush()
     return parser.out
 

@@ -19,7 +19,7 @@ def is_heading(line: Column, prev_blank: Column, next_blank: Column) -> Column:
 
 
 def plain_text(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, chapter, title, paragraph, text): lines between blank ones join with a space; headings open chapters.
+    """(key, chapter, title, paragraph, text): lines between blank ones join with a space, runs of blanks in them collapse; headings open chapters.
 
     What precedes the first heading is chapter 0 without a title."""
     raw = F.regexp_replace(F.regexp_replace(F.col(text), "^\\x{FEFF}", ""), "\r\n?", "\n")
@@ -36,6 +36,6 @@ def plain_text(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         F.last(F.when(F.col("heading"), F.trim("line")), ignorenulls=True).over(upto).alias("title"),
     )
     body = numbered.where("not blank and not heading").groupBy(key, "chapter", "title", "para")
-    joined = body.agg(F.array_join(F.array_sort(F.collect_list(F.struct("no", F.trim("line").alias("t")))).getField("t"), " ").alias("text"))
+    joined = body.agg(F.array_join(F.array_sort(F.collect_list(F.struct("no", F.regexp_replace(F.trim("line"), r"[ \t\f\r]+", " ").alias("t")))).getField("t"), " ").alias("text"))
     order = F.row_number().over(Window.partitionBy(key, "chapter").orderBy("para")) - 1
     return joined.select(key, "chapter", "title", order.alias("paragraph"), "text")
