@@ -76,3 +76,17 @@ def supersede(old: DataFrame, new: DataFrame, scope: list[str]) -> DataFrame:
     written = new.select(*scope).distinct().withColumn("__w", F.lit(True))
     kept = old.join(written, scope, "left").withColumn("superseded", F.col("superseded") | F.coalesce("__w", F.lit(False))).drop("__w")
     return kept.unionByName(fresh.select(*kept.columns))
+
+
+def encounter_stats(log: DataFrame) -> DataFrame:
+    """lexeme, reads, lookups, the number of forms read and of chapters met, from (lexeme, kind, form, chapter)."""
+    read = F.col("kind") == "read"
+    return log.groupBy("lexeme").agg(
+        F.count_if(read).alias("reads"), F.count_if(F.col("kind") == "lookup").alias("lookups"), F.count_distinct(F.when(read, F.col("form"))).alias("forms"), F.count_distinct("chapter").alias("chapters")
+    )
+
+
+def due_symbols(skills: DataFrame, core: list[str], now: int, limit: int = 12) -> DataFrame:
+    """symbol, due: the letters of which a core skill is due by `now`, the most overdue first, `limit` at most: a lesson."""
+    due = skills.where(F.col("skill").isin(core)).groupBy("symbol").agg(F.min("due").alias("due"))
+    return due.where(F.col("due") <= now).orderBy("due", "symbol").limit(limit)

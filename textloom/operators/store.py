@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +23,3 @@ def merge_progress(current: DataFrame, imported: DataFrame, keys: list[str]) ->
     rest = [c for c in current.columns if c not in keys]
     right = imported.select(*keys, *[F.col(c).alias(f"__{c}") for c in rest])
     return current.join(right, keys, "full").select(*keys, *[F.coalesce(f"__{c}", c).alias(c) for c in rest])
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import learner as L
+from .corpus import read
+from .lexicon import Fixture
 from .corpus import read
 
 Q: dict = {}
@@ -61,11 +62,19 @@ def drill_ema_fold(spark, sf_dir):
     return L.drill_scores(e, ["symbol"])
 
 
-@query("SELECT user_id AS lexeme, count(*) FILTER (WHERE event_type = 'view') AS reads, count(*) FILTER (WHERE event_type = 'click') AS lookups, count(DISTINCT CAST(ts AS DATE)) AS chapters FROM events GROUP BY 1")
+#: A reading log and skills of letters, of the shapes that the operators take.
+READING = Fixture("reading", "lexeme string, kind string, form string, chapter int", [
+    ("noun:дом", "read", "дом", 1), ("noun:дом", "read", "дома", 1), ("noun:дом", "lookup", "доме", 2), ("noun:дом", "read", "дом", 3), ("verb:идти", "lookup", "шёл", 1), ("noun:кот", "read", "кот", 2), ("noun:кот", "read", "кот", 2),
+])
+SKILLS = Fixture("skills", "symbol string, skill string, due int", [
+    (s, k, d) for i, s in enumerate("АБВГДЕЖЗИКЛМНОП") for k, d in (("symbol_to_sound", 10 + i), ("sound_to_symbol", 40 - 2 * i), ("visual", 25), ("cursive", 0), ("word", 0 if i % 2 else None))
+])
+CORE_SKILLS = ["symbol_to_sound", "sound_to_symbol", "visual", "word"]
+
+
+@query(f"WITH {READING.sql} SELECT lexeme, count(*) FILTER (WHERE kind = 'read') AS reads, count(*) FILTER (WHERE kind = 'lookup') AS lookups, count(DISTINCT form) FILTER (WHERE kind = 'read') AS forms, count(DISTINCT chapter) AS chapters FROM reading GROUP BY 1")
 def encounter_stats(spark, sf_dir):
-    return read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("lexeme")).agg(
-        F.count_if(F.col("event_type") == "view").alias("reads"), F.count_if(F.col("event_type") == "click").alias("lookups"), F.count_distinct(F.to_date("ts")).alias("chapters")
-    )
+    return L.encounter_stats(READING.df(spark))
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
@@ -74,10 +83,9 @@ def continue_reading(spark, sf_dir):
     return L.latest(e, ["user_id"], [F.desc("ts"), F.desc("event_id")]).drop("ts")
 
 
-@query("SELECT symbol, due FROM (SELECT user_id AS symbol, CAST(floor(min(epoch(ts))) AS BIGINT) AS due FROM events GROUP BY 1) ORDER BY due, symbol LIMIT 12")
+@query(f"WITH {SKILLS.sql} SELECT symbol, min(due) AS due FROM skills WHERE skill IN ({', '.join(repr(k) for k in CORE_SKILLS)}) GROUP BY 1 HAVING min(due) <= 22 ORDER BY due, symbol LIMIT 12")
 def due_symbols(spark, sf_dir):
-    e = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("symbol")).agg(F.min(F.unix_timestamp("ts")).alias("due"))
-    return e.orderBy("due", "symbol").limit(12)
+    return L.due_symbols(SKILLS.df(spark), CORE_SKILLS, 22)
 
 
 @query("SELECT d.doc_id, coalesce(CASE WHEN l.quality = 0 THEN 'junk' END, d.lang) AS lang, CASE WHEN l.quality = 0 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS confidence FROM documents d LEFT JOIN (SELECT DISTINCT doc_id, quality FROM labels WHERE quality = 0) l USING (doc_id)")
