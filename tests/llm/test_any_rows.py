@@ -2,7 +2,9 @@
 
 import hashlib
 import hmac
+import importlib.util
 import math
+import os
 import random
 
 import pytest
@@ -143,3 +145,31 @@ def test_posteriors_equal_plain_formula(spark):
         rate = (sum(g) - p[r.doc_id] + kp * rate) / (len(g) - 1 + kp)
         assert abs(r.posterior - 1 / (1 + math.exp(-(r.evidence + logit(rate) - logit(keep_rate))))) < 1e-9
         assert r.keep == (r.posterior >= 0.5)
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not (os.path.isdir(SF) and importlib.util.find_spec("corpus_pipeline")), reason="no test tables or pipeline")
+@pytest.mark.parametrize("name", ["quality", "line dedup", "near duplicates", "decontamination", "packing"])
+def test_stages_on_odd_rows(spark, name):
+    """Nulls, repeated rows, an empty table, and columns named like helpers, which pass unchanged."""
+    import corpus_pipeline as P
+
+    stage, extra = dict(P.STAGES)[name], "row key id stays n_dropped keep evidence".split()
+    rows = [(*r, len(r[1] or "")) for r in DOCS]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").select("*", *[F.lit(f"own {c}").alias(c) for c in extra])
+    out = stage(spark, docs, SF)
+    found = out.collect()
+    assert stage(spark, docs.limit(0), SF).count() == 0
+    if name == "packing":
+        assert sum(r.length for r in found) >= len(rows)
+        return
+    assert out.columns == docs.columns and len(found) <= len(rows)
+    assert all(r[c] == f"own {c}" for r in found for c in extra)
+    if name == "near duplicates":
+        assert sorted((r.doc_id, r.text) for r in found if r.text)[0] == (1, TEXT) and sum(r.text == TEXT for r in found) == 1 and sum(not r.text for r in found) == 3
+    if name == "line dedup":
+        assert sum("enough" in (r.text or "") for r in found) == 2  # rows equal in id and text are one document
+    if name == "decontamination":
+        assert len(found) == len(rows)
