@@ -147,3 +147,53 @@ def test_leaks_whose_slots_are_judged_where_they_match(spark):
     t = spark.createDataFrame([(x,) for x in texts], "text string").select(template_words(F.col("text")).alias("t"), slot_words(F.col("text")).alias("s"))
     for r in t.collect():
         assert [x[:2].lower() if x.startswith("#") else x.lower() for x in r.s] == r.t
+
+
+def plain_leak(doc, item, window=8, long_run=13):
+    """Whether a document of words holds an item: by its definition, over all alignments."""
+    n = len(item)
+    k = n if n <= window else min(window, (n - 1) // 2)
+    need = max(-(-(n - k + 1) // 2) + k - 1, min(window, n))
+    at = {}
+    for i in range(n - k + 1):
+        for p in range(len(doc) - k + 1):
+            if doc[p : p + k] == item[i : i + k]:
+                at.setdefault(p - i, []).append(i)
+    runs = []
+    for shift, places in at.items():
+        start = last = places[0]
+        for i in [*places[1:], None]:
+            if i is None or i - last > k:
+                runs.append((last + k - 1, shift, start))
+                start = i
+            last = i
+    if any(e - s + 1 >= min(need, long_run) for e, _, s in runs):
+        return True
+    done = []
+    for e, shift, s in sorted(runs):
+        best = e - s + 1
+        for e2, shift2, held in done:
+            start = max(s, e2 + 1, e2 + shift2 - shift + 1)
+            if start <= e:
+                best = max(best, held + e - start + 1)
+        done.append((e, shift, best))
+    return any(held >= need for _, _, held in done)
+
+
+def test_leaks_equal_a_plain_search(spark):
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 7))) for _ in range(900)]
+    items = {i: [rng.choice(vocabulary) for _ in range(n)] for i, n in enumerate((4, 8, 9, 12, 16, 17, 24, 40))}
+    items[8] = items[7][:20] + items[6]  # shares words with two others
+    docs = {}
+    for d in range(150):
+        words = []
+        for _ in range(rng.randrange(1, 7)):
+            item = items[rng.randrange(9)]
+            a = rng.randrange(len(item))
+            words += item[a : a + rng.randrange(2, 16)] + [rng.choice(vocabulary) for _ in range(rng.randrange(3))]
+        docs[d] = words
+    want = {(d, i) for d, w in docs.items() for i, item in items.items() if plain_leak(w, item)}
+    table = lambda rows, name: spark.createDataFrame([(k, " ".join(w)) for k, w in rows.items()], f"{name} long, text string").repartition(3)
+    got = {(r.doc_id, r.item_id) for r in find_leaks(table(docs, "doc_id"), table(items, "item_id")).collect()}
+    assert 20 < len(want) < 1000 and got == want
