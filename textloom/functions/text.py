@@ -161,3 +161,26 @@ CYRILLIC_52 = "абцдефгхийклмнопярстувщзыьАБЦДЕФ
 
 def cyrillic_projection(c: Column) -> Column:
     return F.translate(c, LATIN_52, CYRILLIC_52)
+
+
+#: Numbers that are summed up in one piece of a running sum.
+SUM_PIECE = 256
+
+
+def let(value: Column, f) -> Column:
+    """f(value) with value computed once, also where f uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def running_sums(xs: Column) -> Column:
+    """Running sums of an array of numbers, piece by piece, as a fold that appends to one long array takes quadratic time."""
+    none = lambda kind: F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast(kind).alias("sums"))
+    add = lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["sums"], F.array(acc["sum"] + x)).alias("sums"))
+
+    def across(acc: Column, piece: Column) -> Column:
+        moved = F.array(F.transform(piece["sums"], lambda x: x + acc["sum"]))
+        return F.struct((acc["sum"] + piece["sum"]).alias("sum"), F.concat(acc["sums"], moved).alias("sums"))
+
+    at = F.sequence(F.lit(1), F.greatest(F.size(xs), F.lit(1)), F.lit(SUM_PIECE))
+    pieces_ = F.transform(at, lambda i: F.aggregate(F.slice(xs, i, F.lit(SUM_PIECE)), none("array<bigint>"), add))
+    return F.aggregate(pieces_, none("array<array<bigint>>"), across, lambda acc: F.flatten(acc["sums"]))

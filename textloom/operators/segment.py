@@ -1,8 +1,8 @@
-"""Paragraphs to tokens and sentences: offsets by running sums, boundaries by reversed running frames."""
+"""Texts to tokens and sentences, inside their rows: offsets by running sums, sentence ends by a pattern over token classes."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -11,15 +11,14 @@ from ..functions import text as T
 def tokenize(df: DataFrame, keys: list[str], text: Column | str = "text") -> DataFrame:
     """One row per token: keys, pos (order among pieces), kind, surface, start, end, key.
 
-    Offsets count code points, end exclusive: running sums over all pieces, white space included."""
+    Offsets count code points, end exclusive: running sums over all pieces of a text, white space included, inside its row."""
     text = F.col(text) if isinstance(text, str) else text
-    parts = df.select(*keys, T.pieces(text).alias("p"))
-    exploded = parts.select(*keys, F.posexplode("p").alias("pos", "surface"))
-    w = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    placed = exploded.select(*keys, "pos", T.kind(F.col("surface")).alias("kind"), "surface", F.sum(F.length("surface")).over(w).alias("end"))
-    placed = placed.withColumn("start", F.col("end") - F.length("surface")).where("kind <> 'space'")
+    ends = lambda p: T.let(F.transform(p, lambda x: F.length(x).cast("long")), T.running_sums)
+    placed = T.let(T.pieces(text), lambda p: F.zip_with(p, ends(p), lambda s, e: F.struct(s.alias("surface"), e.alias("end"))))
+    exploded = df.select(*keys, F.posexplode(placed).alias("pos", "t")).select(*keys, "pos", T.kind(F.col("t.surface")).alias("kind"), "t.surface", "t.end")
+    out = exploded.where("kind <> 'space'").withColumn("start", F.col("end") - F.length("surface"))
     word = F.col("kind").isin("word", "latin")
-    return placed.withColumn("key", F.when(word, T.loose_key(F.col("surface"))).otherwise(F.col("surface")))
+    return out.withColumn("key", F.when(word, T.loose_key(F.col("surface"))).otherwise(F.col("surface")))
 
 
 def tokens(df: DataFrame, keys: list[str], text: Column | str = "text") -> DataFrame:
@@ -43,29 +42,33 @@ def surface_counts(df: DataFrame, keys: list[str], text: Column | str = "text",
 CLOSERS, OPENERS = "[»\"”’)]", "[«\"“„(—–]|-+"
 
 
-def sentences(toks: DataFrame, keys: list[str]) -> DataFrame:
-    """Tokens with sentence (0-based) and index within it.
+def _code(surface: Column) -> Column:
+    """One letter per token: W a number or a word with a capital, w another word, t a run of . ! ? or …, c a closer, o an opener,
+    b both, p other punctuation; '' for white space."""
+    closer, opener = surface.rlike(f"^(?:{CLOSERS})$"), surface.rlike(f"^(?:{OPENERS})$")
+    punct = F.when(surface.rlike(r"^[.!?…]+$"), "t").when(closer & opener, "b").when(closer, "c").when(opener, "o").otherwise("p")
+    kind = T.kind(surface)
+    return F.when(surface.rlike(rf"^{T.SPACE}"), "").when(kind == "punct", punct).when((kind == "number") | surface.rlike(r"^\p{Lu}"), "W").otherwise("w")
+
+
+def sentences(df: DataFrame, keys: list[str], text: Column | str = "text") -> DataFrame:
+    """One row per token: keys, pos, kind, surface, sentence (from 0) and index within it.
 
     A run of . ! ? or … ends a sentence at the closers after it, if what follows starts a new one: an opener or a
-    dash, a number, or a word with a capital; or if no word follows at all. All looks ahead are running
-    frames over the reversed order, so each partition is read once per direction."""
-    back = Window.partitionBy(*keys).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
-    ahead = Window.partitionBy(*keys).orderBy("pos")
-    punct = F.col("kind") == "punct"
-    closer = punct & F.col("surface").rlike(f"^(?:{CLOSERS})$")
-    opener = punct & F.col("surface").rlike(f"^(?:{OPENERS})$")
-    capital = (F.col("kind") == "number") | F.col("surface").rlike(r"^\p{Lu}")
-    found = toks.select(
-        "*",
-        F.last(F.when(~closer, F.col("pos")), ignorenulls=True).over(back).alias("next_pos"),
-        F.last(F.when(~closer, opener), ignorenulls=True).over(back).alias("next_opens"),
-        F.last(F.when(~punct, capital), ignorenulls=True).over(back).alias("next_capital"),
-    )
-    ends = punct & F.col("surface").rlike(r"^[.!?…]+$") & F.col("next_pos").isNotNull()
-    ends = ends & (F.col("next_opens") | F.coalesce("next_capital", F.lit(True)))
-    # the boundary lies before next_pos: mark that token
-    starts = found.select("*", F.max(F.when(ends, F.col("next_pos"))).over(ahead.rowsBetween(Window.unboundedPreceding, -1)).alias("cut"))
-    starts = starts.withColumn("first", F.coalesce((F.col("cut") == F.col("pos")).cast("int"), F.lit(0)))
-    numbered = starts.withColumn("sentence", F.sum("first").over(ahead.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = Window.partitionBy(*keys, "sentence").orderBy("pos")
-    return numbered.withColumn("index", F.row_number().over(inside) - 1).drop("next_pos", "next_opens", "next_capital", "cut", "first")
+    dash, a number, or a word with a capital; or if no word follows at all. A text is cut inside its row: its tokens
+    become one letter each, runs of punctuation before a capital or the end are marked, and sentences are split by a
+    pattern over these letters. No exchange and no sort, however long a text is."""
+    text = F.col(text) if isinstance(text, str) else text
+    coded = F.filter(F.transform(T.pieces(text), lambda s, i: F.struct(i.alias("pos"), s.alias("surface"), _code(s).alias("code"))), lambda t: t["code"] != "")
+
+    def cut(toks: Column) -> Column:
+        runs = F.regexp_extract_all(F.array_join(F.transform(toks, lambda t: t["code"]), ""), F.lit("[cbotp]+|[Ww]+"), F.lit(0))
+        marked = T.let(runs, lambda rs: F.array_join(F.transform(rs, lambda r, i: F.when(~F.lower(r).startswith("w") & F.coalesce(F.get(rs, i + 1).startswith("W"), F.lit(True)), F.upper(r)).otherwise(r)), ""))
+        codes = F.split(F.regexp_replace(marked, "(T[CB]*+)(?=.)|(t[cb]*+)(?=o)", "$1$2|"), r"\|")
+        sized = lambda cs: F.transform(cs, lambda c: F.length(c).cast("long"))
+        piece = lambda n, e: F.slice(toks, (e - n + 1).cast("int"), n.cast("int"))
+        return T.let(sized(codes), lambda ns: F.zip_with(ns, T.running_sums(ns), piece))
+
+    split = df.select(*keys, F.posexplode(F.when(F.size(coded) > 0, T.let(coded, cut))).alias("sentence", "toks"))
+    out = split.select(*keys, F.col("sentence").cast("long").alias("sentence"), F.posexplode("toks").alias("index", "t"))
+    return out.select(*keys, "t.pos", T.kind(F.col("t.surface")).alias("kind"), "t.surface", "sentence", "index")

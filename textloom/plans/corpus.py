@@ -106,7 +106,7 @@ def sql_sentences(text: str) -> str:
 
 def _sentence_counts(cyr: bool):
     def run(spark, sf_dir):
-        t = S.sentences(S.tokens(_docs(spark, sf_dir, cyr), ["doc_id"]), ["doc_id"])
+        t = S.sentences(_docs(spark, sf_dir, cyr), ["doc_id"])
         return t.groupBy("doc_id").agg((F.max("sentence") + 1).cast("long").alias("sentences"), F.count("*").alias("tokens"), F.sum(F.col("sentence") * (F.col("pos") % 89)).cast("long").alias("mixed"))
 
     return run
@@ -122,7 +122,7 @@ for _c in (False, True):
 @query(f"""WITH {sql_sentences('text')}, per AS (SELECT doc_id, any_value(lang) AS lang, sentence, count(*) FILTER (WHERE kind IN ('word', 'latin')) AS words FROM sent GROUP BY doc_id, sentence)
 SELECT lang, count(*) AS sentences, CAST(sum(words) AS BIGINT) AS words, max(words) AS longest FROM per GROUP BY lang""")
 def sentence_length_stats(spark, sf_dir):
-    t = S.sentences(S.tokens(_docs(spark, sf_dir, False), ["doc_id", "lang"]), ["doc_id", "lang"])
+    t = S.sentences(_docs(spark, sf_dir, False), ["doc_id", "lang"])
     per = t.groupBy("doc_id", "lang", "sentence").agg(F.count_if(F.col("kind").isin("word", "latin")).alias("words"))
     return per.groupBy("lang").agg(F.count("*").alias("sentences"), F.sum("words").alias("words"), F.max("words").alias("longest"))
 
@@ -237,7 +237,7 @@ hits AS (SELECT doc_id, any_value(lang) AS lang, sentence FROM sent WHERE {sql_l
 @query(f"{_CONC}, r AS (SELECT lang, h.doc_id, h.sentence, line, row_number() OVER (PARTITION BY lang ORDER BY h.doc_id, h.sentence) AS rn FROM hits h JOIN s USING (doc_id, sentence)) SELECT lang, doc_id, sentence, line FROM r WHERE rn <= 12")
 def concordance(spark, sf_dir):
     docs = _docs(spark, sf_dir, False).where(F.lower("text").contains("that"))  # only these are segmented
-    split = lambda d: S.sentences(S.tokens(d, ["doc_id", "lang"]), ["doc_id", "lang"])
+    split = lambda d: S.sentences(d, ["doc_id", "lang"])
     hits = split(docs).where(T.loose_key(F.col("surface")) == "that").select("lang", "doc_id", "sentence").distinct()
     first = C.top_k(hits, [F.asc("doc_id"), F.asc("sentence")], 12, ["lang"])
     first = F.broadcast(first)  # 12 rows a language
@@ -249,7 +249,7 @@ def concordance(spark, sf_dir):
 @query(f"{_CONC}, c AS (SELECT lang, h.doc_id, h.sentence, line, row_number() OVER (PARTITION BY lang ORDER BY length(line), h.doc_id, h.sentence) AS rn FROM hits h JOIN s USING (doc_id, sentence) WHERE length(line) <= 140) SELECT lang, doc_id, sentence, line FROM c WHERE rn <= 2")
 def example_sentences(spark, sf_dir):
     docs = _docs(spark, sf_dir, False).where(F.lower("text").contains("that"))  # only these are segmented
-    sents = S.sentences(S.tokens(docs, ["doc_id", "lang"]), ["doc_id", "lang"])
+    sents = S.sentences(docs, ["doc_id", "lang"])
     line = sents.groupBy("lang", "doc_id", "sentence").agg(
         F.array_sort(F.collect_list(F.struct("pos", "surface"))).alias("x"), F.max(T.loose_key(F.col("surface")) == "that").alias("hit")
     )
@@ -304,7 +304,7 @@ def content_hash_duplicates(spark, sf_dir):
 p AS (SELECT doc_id, sentence, i, lead(i) OVER (PARTITION BY doc_id, sentence ORDER BY i) - i AS gap FROM w WHERE key = 'and')
 SELECT doc_id, sentence, i AS at, gap FROM p WHERE gap <= 8""")
 def paired_particle(spark, sf_dir):
-    s = S.sentences(S.tokens(_docs(spark, sf_dir, False), ["doc_id"]), ["doc_id"])
+    s = S.sentences(_docs(spark, sf_dir, False), ["doc_id"])
     w = Window.partitionBy("doc_id", "sentence").orderBy("i")
     p = s.where(T.loose_key(F.col("surface")) == "and").select("doc_id", "sentence", (F.col("index") + 1).alias("i"))
     return p.withColumn("gap", F.lead("i").over(w) - F.col("i")).where("gap <= 8").select("doc_id", "sentence", F.col("i").cast("long").alias("at"), F.col("gap").cast("long").alias("gap"))
@@ -314,7 +314,7 @@ def paired_particle(spark, sf_dir):
 n AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, sentence ORDER BY pos) AS island FROM w WHERE i > 1 AND regexp_matches(surface, '^\\p{{Lu}}'))
 SELECT doc_id, sentence, min(i) AS at, count(*) AS n, string_agg(surface, ' ' ORDER BY pos) AS name FROM n GROUP BY doc_id, sentence, island""")
 def proper_name_runs(spark, sf_dir):
-    s = S.sentences(S.tokens(_docs(spark, sf_dir, False), ["doc_id"]), ["doc_id"]).where((F.col("index") > 0) & F.col("surface").rlike(r"^\p{Lu}"))
+    s = S.sentences(_docs(spark, sf_dir, False), ["doc_id"]).where((F.col("index") > 0) & F.col("surface").rlike(r"^\p{Lu}"))
     island = F.col("index") - F.row_number().over(Window.partitionBy("doc_id", "sentence").orderBy("pos"))
     g = s.withColumn("island", island).groupBy("doc_id", "sentence", "island")
     r = g.agg((F.min("index") + 1).cast("long").alias("at"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "surface"))).alias("x"))
