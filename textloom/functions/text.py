@@ -22,6 +22,8 @@ _START = rf"[{_CYR}\x{{0300}}\x{{0301}}]"
 _CONT = rf"[{_CYR}\x{{0300}}\x{{0301}}òóàáèéùúìíý]"
 #: White space of the tokenizer.
 SPACE = r"[\x{0009}-\x{000D}\x{0020}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+#: How a word, a Latin word or a number begins.
+WRITTEN = rf"{_START}|[{_LAT}0-9]"
 WORD = rf"{_START}{_CONT}*(?:[-\x{{2011}}]{_START}{_CONT}*)*"
 LATIN = rf"[{_LAT}]+(?:['\x{{2011}}-][{_LAT}]+)*"
 NUMBER = r"[0-9]+(?:[.,][0-9]+)*"

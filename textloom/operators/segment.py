@@ -47,8 +47,8 @@ def _code(surface: Column) -> Column:
     b both, p other punctuation; '' for white space."""
     closer, opener = surface.rlike(f"^(?:{CLOSERS})$"), surface.rlike(f"^(?:{OPENERS})$")
     punct = F.when(surface.rlike(r"^[.!?…]+$"), "t").when(closer & opener, "b").when(closer, "c").when(opener, "o").otherwise("p")
-    kind = T.kind(surface)
-    return F.when(surface.rlike(rf"^{T.SPACE}"), "").when(kind == "punct", punct).when((kind == "number") | surface.rlike(r"^\p{Lu}"), "W").otherwise("w")
+    written = F.when(surface.rlike(r"^[\p{Lu}0-9]"), "W").otherwise("w")
+    return F.when(surface.rlike(f"^(?:{T.WRITTEN})"), written).when(surface.rlike(f"^{T.SPACE}"), "").otherwise(punct)
 
 
 def sentences(df: DataFrame, keys: list[str], text: Column | str = "text") -> DataFrame:
@@ -71,4 +71,5 @@ def sentences(df: DataFrame, keys: list[str], text: Column | str = "text") -> Da
 
     split = df.select(*keys, F.posexplode(F.when(F.size(coded) > 0, T.let(coded, cut))).alias("sentence", "toks"))
     out = split.select(*keys, F.col("sentence").cast("long").alias("sentence"), F.posexplode("toks").alias("index", "t"))
-    return out.select(*keys, "t.pos", T.kind(F.col("t.surface")).alias("kind"), "t.surface", "sentence", "index")
+    kind = F.when(F.lower("t.code") == "w", T.kind(F.col("t.surface"))).otherwise("punct")
+    return out.select(*keys, "t.pos", kind.alias("kind"), "t.surface", "sentence", "index")
