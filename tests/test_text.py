@@ -42,7 +42,7 @@ def test_sentence_windows_equal_the_walk(spark):
     rng = random.Random(2)
     texts = ["".join(rng.choice(["а", "Б", " ", " ", ".", "!", "»", "«", "—", "3", ")", "-"]) for _ in range(50)) for _ in range(60)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    rows = S.sentences(S.tokens(df, ["doc_id"]), ["doc_id"]).orderBy("doc_id", "pos").collect()
+    rows = S.sentences(df, ["doc_id"]).orderBy("doc_id", "pos").collect()
     for d in range(len(texts)):
         mine = [r for r in rows if r.doc_id == d]
         assert [r.sentence for r in mine] == plain_sentences([(r.kind, r.surface) for r in mine])
