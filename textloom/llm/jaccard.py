@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, connected_components, maybe_broadcast
+from .memos import claim
 from .shingles import Seeds, overlap, set_key, shingle_set
 
 #: (bands, minima) of the seed cells in each round; the regions of a round that are still large go to the next.
@@ -26,6 +27,7 @@ MEASURED_TOGETHER = 512
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+    claim("shingles")
     seeds = Seeds(bands, rows)
     for batch in batches:
         n, k1, k2, keys = [], [], [], []
@@ -46,6 +48,7 @@ def _linked(inter: int, a: int, b: int, percent: int) -> bool:
 
 def _distances(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Exact Jaccard distances of rows (pivot, role, x, text) that come sorted: a pivot's own text, role 0, before its members'."""
+    claim("shingles")
     p = shingle_set(None)
     for batch in batches:
         pivots, xs, d, link = [], [], [], []

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, maybe_broadcast
+from .memos import claim
 
 #: Lines under this length are left alone.
 MIN_CHARS = 10
@@ -135,6 +136,7 @@ def _lines(text: str | None) -> Iterator[tuple[int, str, int, int]]:
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("lines")
     for batch in batches:
         row, no, h1, h2 = [], [], [], []
         for r, text in enumerate(batch.column("text")):
@@ -152,6 +154,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _keys(batches: Iterator[pa.RecordBatch], max_edits: int, probe: bool) -> Iterator[pa.RecordBatch]:
     """(k, h, line, sig, o, own): the keys of each wording, its hash, its parities as a whole and around each key, and the document where this task met it."""
+    claim("lines")
     seen: set[int] = set()
     digest, which = xxhash.xxh3_64_intdigest, places if probe else own_places
     k, own, h, o, times, lines, at = [], [], [], [], [], [], []

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import pyarrow as pa
 
+_libc = ctypes.CDLL(None)
 _memos: dict[str, list[dict]] = {}
 
 
@@ -12,9 +16,13 @@ def register(owner: str, *memos: dict) -> None:
 
 
 def claim(owner: str) -> None:
-    """Called as a task of `owner` begins: what other operators remembered in this worker is let go."""
+    """Called as a task of `owner` begins: what other operators remembered in this worker is let go, and memory that is free
+    goes back to the system, as the executor's share is counted with that of its workers."""
     for name, memos in _memos.items():
         if name != owner:
             for m in memos:
                 m.clear()
+    gc.collect()
     pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
