@@ -21,9 +21,9 @@ from .memos import claim, register
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Words kept per worker with their ids; beyond it the memo starts anew.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 650_000
 #: Text encoded at a time.
-PART_BYTES = 4 << 20
+PART_BYTES = 8 << 20
 _TWO_SPACES = re.compile(r"\s\s")
 _encoders: dict[str, Encoder] = {}
 register("packing", _encoders)
