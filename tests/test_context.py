@@ -1,14 +1,13 @@
-"""Queries of the context rules over authored sentences; the expected choices are typed in."""
+"""Context rules over authored sentences; the expected choices are typed in."""
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
-from ..operators import context as X
-from .lexicon import Fixture
+from textloom.operators import context as X
 
-Q: dict = {}
-SQL: dict = {}
+CASES: dict = {}
 
 #: Sentences: each token with its readings, best first, as lemma/pos/case/number/gender and flags.
 SENTENCES = {
@@ -57,20 +56,14 @@ def tokens(spark):
     """The sentences as rows of tokens with arrays of readings."""
     rows = spark.createDataFrame(TOKENS, SCHEMA)
     fields = ["key", "lemma", "pos", "case", "number", "gender", "degree", "type", "motion", "confidence"]
-    reading = F.when(F.col("kind") == "word", F.struct("k", F.struct(*fields).alias("c")))
+    rest = [F.lit(None).cast("string").alias(c) for c in ("verb_form", "tense", "aspect", "person", "reflexive", "motion_kind")]
+    reading = F.when(F.col("kind") == "word", F.struct("k", F.struct(*fields, *rest).alias("c")))
     return rows.groupBy("sentence_id", "i", "kind", "text").agg(F.array_sort(F.collect_list(reading)).alias("r")).select("sentence_id", "i", "kind", "text", F.col("r.c").alias("cands"))
 
 
 def query(name: str, expected: list[tuple], rules: list):
-    """The choices that `rules` make, against the typed ones (sentence_id, i, lemma, pos, case, why)."""
-    fixture = Fixture("want", "sentence_id int, i int, lemma string, pos string, case_ string, why string", expected)
-
-    def run(spark, sf_dir):
-        out = X.in_context(tokens(spark), rules).where("decided")
-        c = F.get("cands", F.col("chosen"))
-        return out.select("sentence_id", "i", c["lemma"].alias("lemma"), c["pos"].alias("pos"), c["case"].alias("case_"), "why")
-
-    Q[name], SQL[name] = run, f"WITH {fixture.sql} SELECT * FROM want"
+    """The choices that `rules` make: (sentence_id, i, lemma, pos, case, why)."""
+    CASES[name] = (expected, rules)
 
 
 _GOVERNED = [
@@ -98,3 +91,11 @@ query("context_all_rules", [
     (12, 1, "собака", "noun", "gen", "governed by боится"), (13, 1, "стол", "noun", "gen", "counted by три"), (13, 3, "стол", "noun", "gen", "counted by пять"), (14, 1, "Костылин", "proper", "gen", "capitalised"),
     (15, 1, "Москва", "proper", "prep", "capitalised"), (16, 0, "стул", "noun", "nom", "before the verb"), (16, 2, "стол", "noun", "acc", "after the verb"),
 ], X.RULES)
+
+
+@pytest.mark.parametrize("name", sorted(CASES))
+def test_choices(spark, name):
+    expected, rules = CASES[name]
+    out, c = X.in_context(tokens(spark), rules).where("decided"), F.get("cands", F.col("chosen"))
+    got = out.select("sentence_id", "i", c["lemma"], c["pos"], c["case"], "why").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, expected))

@@ -186,3 +186,13 @@ def running_sums(xs: Column) -> Column:
     at = F.sequence(F.lit(1), F.greatest(F.size(xs), F.lit(1)), F.lit(SUM_PIECE))
     pieces_ = F.transform(at, lambda i: F.aggregate(F.slice(xs, i, F.lit(SUM_PIECE)), none("array<bigint>"), add))
     return F.aggregate(pieces_, none("array<array<bigint>>"), across, lambda acc: F.flatten(acc["sums"]))
+
+#: Latin digraphs of the projection that also has hushing and iotated letters.
+DIGRAPHS = {"sh": "ш", "ch": "ч", "zh": "ж", "yo": "ё", "yu": "ю", "ee": "э", "tio": "тьо", "cte": "ъе"}
+
+
+def cyrillic_reading(c: Column) -> Column:
+    """The projection with digraphs as one letter, so that every Cyrillic letter class occurs."""
+    for latin, cyrillic in DIGRAPHS.items():
+        c = F.replace(c, F.lit(latin), F.lit(cyrillic))
+    return cyrillic_projection(c)

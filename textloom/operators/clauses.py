@@ -14,13 +14,18 @@ JOINERS = "и а но или да либо".split()
 RELATIONS = ["predicate", "subject", "object", "indirect-object", "experiencer", "possessor", "preposition", "prepositional-object", "negation", "modifier", "adverbial", "conjunction", "relative-clause", "vocative"]
 
 
+def _verbal(tokens: DataFrame) -> Column:
+    """Verbs: by constructions where `tokens` say so in a column verbal, else by part of speech."""
+    return F.col("verbal") if "verbal" in tokens.columns else (F.col("kind") == "word") & (F.col("pos") == "verb")
+
+
 def clause_numbers(tokens: DataFrame) -> DataFrame:
     """`tokens` (sentence_id, i, kind, text, pos, verb_form ...) with clause (from 0) and joined, whether a joining word opened it.
 
     A cut needs verbs on either side of it, the left one since the cut before, so cuts are a fold over the words of one
     sentence; only those that can cut are gathered."""
     w = Window.partitionBy("sentence_id").orderBy("i")
-    verb = F.when((F.col("kind") == "word") & (F.col("pos") == "verb"), F.col("i"))
+    verb = F.when(_verbal(tokens), F.col("i"))
     low = F.lower("text")
     breaks = (F.col("kind") == "word") & (low.isin(BREAKERS) | low.startswith("котор"))
     joins = (F.col("kind") == "word") & low.isin(JOINERS) & F.coalesce(F.col("pos") == "conjunction", F.lit(False))
@@ -51,7 +56,7 @@ def clause_roles(tokens: DataFrame) -> DataFrame:
     `tokens` come from `clause_numbers` and have case, gender, number, person, verb_form, in_phrase (inside a prepositional phrase)
     and role (experiencer, possessor or null). The predicate is the last finite verb, else the last infinitive. A clause that a
     joining word opened takes over the nearest earlier subject. matches is three-valued; the main clause is the last with a verb."""
-    i, verb = F.col("i"), (F.col("kind") == "word") & (F.col("pos") == "verb")
+    i, verb = F.col("i"), _verbal(tokens)
     free = (F.col("kind") == "word") & F.col("pos").isin("noun", "proper", "pronoun") & ~F.col("in_phrase") & F.col("role").isNull()
     first = lambda case: F.min(F.when(free & (F.col("case") == case), i))
     features = F.struct("gender", "number", "person", "verb_form", "pos")

@@ -10,7 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-READING = "struct<key:string,lemma:string,pos:string,case:string,number:string,gender:string,degree:string,type:string,motion:boolean,confidence:double>"
+READING = (
+    "struct<key:string,lemma:string,pos:string,case:string,number:string,gender:string,degree:string,type:string,motion:boolean,confidence:double,"
+    "verb_form:string,tense:string,aspect:string,person:string,reflexive:boolean,motion_kind:string>"
+)
 #: Prepositions and the cases they govern, the usual one first.
 GOVERNED = {
     "в": "prep acc", "во": "prep acc", "на": "prep acc", "с": "inst gen", "со": "inst gen", "за": "inst acc", "под": "inst acc", "между": "inst gen", "у": "gen", "для": "gen", "без": "gen",
@@ -31,8 +34,14 @@ def _order():
     return Window.partitionBy("sentence_id").orderBy("i")
 
 
+#: What the rules ask of a neighbour: its chosen reading without keys and verb features, and two flags of all its readings.
+SEEN = ["lemma", "pos", "case", "number", "gender", "degree", "type", "motion"]
+
+
 def _view() -> Column:
-    return F.struct("i", "kind", "text", "cands", "chosen", "decided")
+    can = lambda *pos: F.exists("cands", lambda c: c["pos"].isin(*pos))
+    now = F.get("cands", F.col("chosen"))
+    return F.struct("i", "kind", "text", F.struct(*[now[c].alias(c) for c in SEEN]).alias("now"), can("adjective").alias("can_modify"), can(*NOUNS).alias("can_head"))
 
 
 def _no() -> Column:
@@ -57,7 +66,7 @@ def _map(pairs: dict[str, str]) -> Column:
 
 
 def picked(t: Column) -> Column:
-    return F.get(t["cands"], t["chosen"])
+    return t["now"]
 
 
 def modifies(c: Column) -> Column:
@@ -71,8 +80,9 @@ def place(cands: Column, good: Callable[[Column], Column]) -> Column:
 
 
 def _sees(df: DataFrame) -> DataFrame:
-    ahead, behind = F.collect_list(_view()).over(_order().rowsBetween(1, 8)), F.collect_list(_view()).over(_order().rowsBetween(-8, -1))
-    return df.select("*", ahead.alias("ahead"), behind.alias("behind"))
+    seen = df.select("*", _view().alias("view"))
+    ahead, behind = F.collect_list("view").over(_order().rowsBetween(1, 8)), F.collect_list("view").over(_order().rowsBetween(-8, -1))
+    return seen.select("*", ahead.alias("ahead"), behind.alias("behind")).drop("view")
 
 
 def next_word(ahead: Column | str = "ahead") -> Column:
@@ -93,8 +103,7 @@ def head_after(ahead: Column) -> Column:
 
     def step(acc: Column, x: Column) -> Column:
         t, c = x["t"], picked(x["t"])
-        has = lambda pos: F.exists(t["cands"], lambda y: y["pos"].isin(pos))
-        found = F.when(c["pos"].isin(NOUNS), ~(x["later"] & has(["adjective"]))).when((c["pos"] == "pronoun") & ~modifies(c), True).when(c["pos"] == "adverb", has(NOUNS)).otherwise(False)
+        found = F.when(c["pos"].isin(NOUNS), ~(x["later"] & t["can_modify"])).when((c["pos"] == "pronoun") & ~modifies(c), True).when(c["pos"] == "adverb", t["can_head"]).otherwise(False)
         passed = c["pos"].isin("noun", "proper", "adverb", "adjective", "numeral") | modifies(c)
         end = F.struct(F.lit(True).alias("done"), F.when(found, t["i"]).cast("int").alias("at"))
         return F.when(acc["done"] | (t["kind"] != "word"), acc).when(F.coalesce(found, _no()) | ~F.coalesce(passed, _no()), end).otherwise(acc)
@@ -214,7 +223,8 @@ def capitalised_names(df: DataFrame) -> DataFrame:
     cut = lambda n: F.left("text", F.length("text") - n)
     name = lambda lemma, case: F.struct(
         F.concat(F.lit("proper:"), lemma).alias("key"), lemma.alias("lemma"), F.lit("proper").alias("pos"), F.lit(case).alias("case"), *[F.lit(None).cast("string").alias(c) for c in ("number", "gender", "degree", "type")],
-        F.lit(None).cast("boolean").alias("motion"), F.lit(0.7).alias("confidence"),
+        F.lit(None).cast("boolean").alias("motion"), F.lit(0.7).alias("confidence"), *[F.lit(None).cast("string").alias(c) for c in ("verb_form", "tense", "aspect", "person")],
+        F.lit(None).cast("boolean").alias("reflexive"), F.lit(None).cast("string").alias("motion_kind"),
     )
     plain = name(F.col("text"), "nom")
     made = (
@@ -230,6 +240,10 @@ def capitalised_names(df: DataFrame) -> DataFrame:
     return _choose(seen, F.coalesce("known", "had"), F.lit("capitalised"), only=F.col("named"), even_decided=True).drop("named", "known", "had", "made")
 
 
+#: What word_order says of its choices, which stay open to doubt.
+BY_ORDER = ["after the verb", "before the verb"]
+
+
 def word_order(df: DataFrame) -> DataFrame:
     """A noun whose nominative and accusative look alike is the subject before the verb and the object after it."""
     is_verb = (F.col("kind") == "word") & (_now()["pos"] == "verb")
@@ -239,7 +253,7 @@ def word_order(df: DataFrame) -> DataFrame:
     nom, acc = of_case("nom"), of_case("acc")
     only = F.coalesce(_now()["pos"].isin(NOUNS), _no()) & nom.isNotNull() & acc.isNotNull()
     at = F.when(F.col("verb_before") == 1, acc).when(F.col("verb_after") == 1, nom)
-    return _choose(seen, at, F.when(F.col("verb_before") == 1, "after the verb").otherwise("before the verb"), only=only).drop("verb_before", "verb_after")
+    return _choose(seen, at, F.when(F.col("verb_before") == 1, BY_ORDER[0]).otherwise(BY_ORDER[1]), only=only).drop("verb_before", "verb_after")
 
 
 RULES = [
@@ -253,3 +267,10 @@ def in_context(tokens: DataFrame, rules: list = RULES) -> DataFrame:
     for rule in rules:
         df = rule(df)
     return df
+
+
+def ambiguous(cands: Column, chosen: Column, decided: Column, within: float = 0.05) -> Column:
+    """Whether an open token has another lemma or part of speech about as sure as the chosen reading."""
+    now = F.get(cands, chosen)
+    rival = F.exists(cands, lambda c: ((c["lemma"] != now["lemma"]) | (c["pos"] != now["pos"])) & (F.abs(c["confidence"] - now["confidence"]) < within))
+    return ~decided & F.coalesce(rival, _no())

@@ -9,25 +9,32 @@ from ..operators import generate as G
 from ..operators import segment as S
 from ..operators.lexicon import ADJECTIVE_ENDINGS
 from .corpus import _CYR_SQL, _docs, _q, sql_loose, sql_tokens
-from .lexicon import Fixture, lit
+from .lexicon import L1, L2, L3, PICK, Fixture, Projected, lit
 
 Q: dict = {}
 SQL: dict = {}
 
-LEXICON = Fixture("lexicon", "lexeme_id string, lemma string, pos string, aspect string, rank int", [
+#: Forms of a vocabulary word as a verb, an adjective or a noun, so that each generator meets bases that the lexicon knows.
+MIXED = f"{L2} * 3 + {L3} + length(w)"
+_FORM = (
+    f"CASE {L1} % 4 WHEN 0 THEN {PICK('пере вы  ', L3)} || w || {PICK('ати ал ала ались ано ающий авшего авшийся анный атая ав авшись ая аясь ает ать', MIXED)} WHEN 1 THEN CASE WHEN {L3} % 7 = 0 THEN 'по-' || w || 'ски' ELSE w || {PICK('ою ее ей ейший ейшими ого ыми о е енький еньк', MIXED)} END "
+    f"WHEN 2 THEN w || {PICK('ою ин ина иными очка очку ечка ушка остью ости', MIXED)} ELSE w || {PICK('ов ова чик ик ушкой ти ого а', MIXED)} END"
+)
+
+LEXICON = Projected("lexicon", "lexeme_id string, lemma string, pos string, aspect string, rank int", f"SELECT p || ':' || lemma AS lexeme_id, lemma, p AS pos, aspect, rank FROM (SELECT w || {PICK('ать ый а ', L1)} AS lemma, {PICK('verb adjective noun noun', L1)} AS p, CASE WHEN {L1} % 4 = 0 THEN {PICK('perfective imperfective', L2)} END AS aspect, length(w) + 100 AS rank FROM {{words}} v) x", [
     (f"{p}:{w}", w, p, a, r) for r, (p, a, ws) in enumerate([
         ("verb", "imperfective", "читать говорить думать видеть гулять писать любить вести мыть чувствовать улыбаться терпеть стелить звать"), ("verb", "perfective", "сделать сказать решить вернуться взять прочитать нести спасти велеть"),
         ("adjective", None, "новый синий большой быстрый прежний милый собачий умный русский"), ("noun", None, "мама соня дом ёлка коробка хозяйка рука сестра книга река"), ("numeral", None, "одна"),
     ]) for w in ws.split()
 ])
-READINGS = Fixture("readings", "key string, lexeme_id string, code string, features string", [
-    *[(w.replace("ё", "е"), i, "v:inf" if p == "verb" else "a:m:sg:nom" if p == "adjective" else "n:sg:nom", G.feats(verb_form="infinitive") if p == "verb" else G.feats(case="nom", number="sg", gender="m" if p == "adjective" else None)) for i, w, p, _, _ in LEXICON.rows],
+READINGS = Projected("readings", "key string, lexeme_id string, code string, features string", f"SELECT w || {PICK('ать ый а ', L1)} AS key, {PICK('verb adjective noun noun', L1)} || ':' || w || {PICK('ать ый а ', L1)} AS lexeme_id, {PICK('v:inf a:m:sg:nom n:sg:nom n:sg:nom', L1)} AS code, {PICK('verb_form=infinitive case=nom;gender=m;number=sg case=nom;number=sg case=nom;number=sg', L1)} AS features FROM {{words}} v UNION ALL SELECT w || {PICK('ают ой ой ', L1)} AS key, {PICK('verb adjective noun noun', L1)} || ':' || w || {PICK('ать ый а ', L1)} AS lexeme_id, {PICK('v:pf:pl3 a:f:sg:inst n:sg:inst n:sg:acc', L1)} AS code, {PICK('number=pl;person=3;verb_form=present-future case=inst;gender=f;number=sg case=inst;gender=f;number=sg case=acc;number=sg', L1)} AS features FROM {{words}} v", [
+    *[(w.replace("ё", "е"), i, "v:inf" if p == "verb" else "a:m:sg:nom" if p == "adjective" else "n:sg:nom", G.feats(verb_form="infinitive") if p == "verb" else G.feats(case="nom", number="sg", gender="m" if p == "adjective" else None)) for i, w, p, _, _ in LEXICON.extra],
     ("рукой", "noun:рука", "n:sg:inst", G.feats(case="inst", number="sg", gender="f")), ("рекой", "noun:река", "n:sg:inst", G.feats(case="inst", number="sg", gender="f")), ("новой", "adjective:новый", "a:f:sg:inst", G.feats(case="inst", number="sg", gender="f")),
     ("новой", "adjective:новый", "a:f:sg:gen", G.feats(case="gen", number="sg", gender="f")), ("читает", "verb:читать", "v:pf:sg3", G.feats(number="sg", person="3", verb_form="present-future")),
     ("чувствуют", "verb:чувствовать", "v:pf:pl3", G.feats(number="pl", person="3", verb_form="present-future")), ("книгу", "noun:книга", "n:sg:acc", G.feats(case="acc", number="sg")), ("рукой", "noun:рука", "n:sg:inst", G.feats(case="inst", number="sg", gender="f")),
 ])
 #: One list of surfaces for each generator, and some that several could claim.
-FORMS = Fixture("forms", "surface string", [(w,) for w in (
+FORMS = Projected("forms", "surface string", f"SELECT DISTINCT {_FORM} AS surface FROM {{words}} v", [(w,) for w in (
     "рукою новою рекою чужою гуляти читати видети новти по-русски по-своему по-нашему по-новгородски по-дому сказано решено велено взято знано читал читала вернулся вернулись гнул стол думало прыгнул "
     "новейший быстрейшими умнейшая прошлейший новее быстрей синей прошлее большого собачьего собачьими прежнего читающий говорящая вернувшийся сделавший спасший решенная прочитанные взятый любимый читаемое улыбающимся плывущий "
     "сделав вернувшись прочитавши упав говоря думая чувствуя улыбаясь видя лампа прочитает переписать выгулять мамин Сонин мамина сониной дядиными отцов Иванов Пушкин коробочка домик новенький сеструшка рученькой ножик "
@@ -37,8 +44,8 @@ CLOSED = Fixture("closed", "form string, key string, lemma string, pos string, f
     ("и", "conjunction:и", "и", "conjunction", ""), ("не", "particle:не", "не", "particle", ""), ("в", "preposition:в", "в", "preposition", "case=prep"), ("в", "preposition:в", "в", "preposition", "case=acc"),
     ("он", "pronoun:он", "он", "pronoun", "case=nom;gender=m;number=sg;person=3"), ("нельзя", "predicative:нельзя", "нельзя", "predicative", ""), ("два", "numeral:два", "два", "numeral", "case=nom"), ("новой", "pronoun:новой", "новой", "pronoun", ""),
 ])
-NAMES = Fixture("names", "form string, canonical string", [("соня", "Софья"), ("сони", "Софья"), ("родя", "Родион"), ("соня", "Соня"), ("мамин", "Мамин")])
-TEXT = Fixture("texts", "surface string", [(w,) for w in "И он не новой Соня книгу-то пришёл-таки читает-ка по-русски-то в-с два Нельзя рукой Родя мамин кто-то чтение-де СОНЯ -то".split()])
+NAMES = Projected("names", "form string, canonical string", f"SELECT w || {PICK('ал ого ою ин', L1)} AS form, 'Ю' || w AS canonical FROM {{words}} v WHERE {L2} = {L3}", [("соня", "Софья"), ("сони", "Софья"), ("родя", "Родион"), ("соня", "Соня"), ("мамин", "Мамин")])
+TEXT = Projected("texts", "surface string", f"SELECT DISTINCT CASE {L3} % 4 WHEN 0 THEN {_FORM} || {PICK('-то -ка -де -таки', L1)} WHEN 1 THEN {PICK('И он Не нельзя', L1)} WHEN 2 THEN w || {PICK('ать ый а ', L1)} ELSE {_FORM} END AS surface FROM {{words}} v", [(w,) for w in "И он не новой Соня книгу-то пришёл-таки читает-ка по-русски-то в-с два Нельзя рукой Родя мамин кто-то чтение-де СОНЯ -то".split()])
 
 
 def query(sql: str | None, name: str | None = None):
@@ -98,14 +105,14 @@ best AS (SELECT DISTINCT surface, generator, key, lemma, pos, features, source,
   QUALIFY dense_rank() OVER (PARTITION BY surface ORDER BY gen_order, rule_order) = 1)"""
 
 
-def _readings(spark, words):
-    return G.rule_readings(words, READINGS.df(spark), LEXICON.df(spark))
+def _readings(spark, sf_dir, words):
+    return G.rule_readings(words, READINGS.df(spark, sf_dir), LEXICON.df(spark, sf_dir))
 
 
 def _generator(name: str):
     @query(f"WITH {FORMS.sql}, {READINGS.sql}, {LEXICON.sql}, {_sql_readings('forms')} SELECT * FROM best WHERE generator = {_q(name)}", "readings_" + name.replace("-", "_"))
     def run(spark, sf_dir):
-        return _readings(spark, FORMS.df(spark)).where(F.col("generator") == name)
+        return _readings(spark, sf_dir, FORMS.df(spark, sf_dir)).where(F.col("generator") == name)
 
 
 for _name in G.GENERATORS:
@@ -115,7 +122,7 @@ for _name in G.GENERATORS:
 @query(f"WITH {sql_tokens(_CYR_SQL)}, v AS (SELECT DISTINCT surface FROM tok WHERE kind = 'word'), {READINGS.sql}, {LEXICON.sql}, {_sql_readings('v')} SELECT generator, pos, source, count(*) AS n, CAST(sum(length(lemma)) AS BIGINT) AS chars, min(key) AS first_key, max(features) AS last_features FROM best GROUP BY 1, 2, 3")
 def readings_of_vocabulary(spark, sf_dir):
     words = S.surface_counts(_docs(spark, sf_dir, True), []).where("kind = 'word'").select("surface")
-    found = _readings(spark, words)
+    found = _readings(spark, sf_dir, words)
     return found.groupBy("generator", "pos", "source").agg(F.count("*").alias("n"), F.sum(F.length("lemma")).cast("long").alias("chars"), F.min("key").alias("first_key"), F.max("features").alias("last_features"))
 
 
@@ -137,7 +144,7 @@ d AS (SELECT DISTINCT * FROM every)
 SELECT surface, CAST(row_number() OVER (PARTITION BY surface ORDER BY confidence DESC, source_order, coalesce(frank, 1000000000), key, features, lemma, pos, source, clitic) - 1 AS INTEGER) AS rank, key, lemma, pos, features, source, confidence, clitic FROM d""")
 def word_analysis(spark, sf_dir):
     """ANA: closed classes, dictionary, rules, names and clitics of each word, ranked."""
-    return G.analyse(TEXT.df(spark), READINGS.df(spark), LEXICON.df(spark), CLOSED.df(spark), NAMES.df(spark))
+    return G.analyse(TEXT.df(spark, sf_dir), READINGS.df(spark, sf_dir), LEXICON.df(spark, sf_dir), CLOSED.df(spark), NAMES.df(spark, sf_dir))
 
 
 ASKED = Fixture("asked", "surface string", [(w,) for w in ("Мною", "ней", "моей", "нашего", "тем", "всё", "двух", "пятью", "сорока", "за", "что", "чтоб", "нельзя", "Были", "дом", "ни")])

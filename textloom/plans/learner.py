@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import learner as L
 from .corpus import read
-from .lexicon import Fixture
+from .lexicon import PICK, Projected
 
 Q: dict = {}
 SQL: dict = {}
@@ -63,10 +63,10 @@ def drill_ema_fold(spark, sf_dir):
 
 
 #: A reading log and skills of letters, of the shapes that the operators take.
-READING = Fixture("reading", "lexeme string, kind string, form string, chapter int", [
+READING = Projected("reading", "lexeme string, kind string, form string, chapter int", f"SELECT 'u' || CAST(user_id AS STRING) AS lexeme, CASE WHEN event_type IN ('view', 'click') THEN 'read' ELSE 'lookup' END AS kind, 'f' || CAST(event_id % 7 AS STRING) AS form, event_id % 50 AS chapter FROM {{events}}", [
     ("noun:дом", "read", "дом", 1), ("noun:дом", "read", "дома", 1), ("noun:дом", "lookup", "доме", 2), ("noun:дом", "read", "дом", 3), ("verb:идти", "lookup", "шёл", 1), ("noun:кот", "read", "кот", 2), ("noun:кот", "read", "кот", 2),
 ])
-SKILLS = Fixture("skills", "symbol string, skill string, due int", [
+SKILLS = Projected("skills", "symbol string, skill string, due int", f"SELECT CAST(user_id AS STRING) AS symbol, {PICK('symbol_to_sound sound_to_symbol visual cursive word', 'event_id')} AS skill, CASE WHEN event_id % 13 <> 0 THEN event_id % 1009 END AS due FROM {{events}}", [
     (s, k, d) for i, s in enumerate("АБВГДЕЖЗИКЛМНОП") for k, d in (("symbol_to_sound", 10 + i), ("sound_to_symbol", 40 - 2 * i), ("visual", 25), ("cursive", 0), ("word", 0 if i % 2 else None))
 ])
 CORE_SKILLS = ["symbol_to_sound", "sound_to_symbol", "visual", "word"]
@@ -74,7 +74,7 @@ CORE_SKILLS = ["symbol_to_sound", "sound_to_symbol", "visual", "word"]
 
 @query(f"WITH {READING.sql} SELECT lexeme, count(*) FILTER (WHERE kind = 'read') AS reads, count(*) FILTER (WHERE kind = 'lookup') AS lookups, count(DISTINCT form) FILTER (WHERE kind = 'read') AS forms, count(DISTINCT chapter) AS chapters FROM reading GROUP BY 1")
 def encounter_stats(spark, sf_dir):
-    return L.encounter_stats(READING.df(spark))
+    return L.encounter_stats(READING.df(spark, sf_dir))
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
@@ -85,7 +85,7 @@ def continue_reading(spark, sf_dir):
 
 @query(f"WITH {SKILLS.sql} SELECT symbol, min(due) AS due FROM skills WHERE skill IN ({', '.join(repr(k) for k in CORE_SKILLS)}) GROUP BY 1 HAVING min(due) <= 22 ORDER BY due, symbol LIMIT 12")
 def due_symbols(spark, sf_dir):
-    return L.due_symbols(SKILLS.df(spark), CORE_SKILLS, 22)
+    return L.due_symbols(SKILLS.df(spark, sf_dir), CORE_SKILLS, 22)
 
 
 @query("SELECT d.doc_id, coalesce(CASE WHEN l.quality = 0 THEN 'junk' END, d.lang) AS lang, CASE WHEN l.quality = 0 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS confidence FROM documents d LEFT JOIN (SELECT DISTINCT doc_id, quality FROM labels WHERE quality = 0) l USING (doc_id)")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analysis, clauses, context, corpus, dictionary, features, ingest, learner, lexicon, records, sentence
+from . import analysis, clauses, corpus, dictionary, features, ingest, learner, lexicon, records, sentence, sound, whole
 
-MODULES = [analysis, clauses, context, corpus, dictionary, features, ingest, lexicon, learner, records, sentence]
+MODULES = [analysis, clauses, corpus, dictionary, features, ingest, lexicon, learner, records, sentence, sound, whole]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
