@@ -114,8 +114,10 @@ def head_after(ahead: Column) -> Column:
 
 def _choose(df: DataFrame, at: Column, why: Column, *, only: Column | bool = True, even_decided: bool = False) -> DataFrame:
     """Takes reading `at` where it is not null and the token is open."""
-    take = F.coalesce((F.col("kind") == "word") & (F.lit(True) if only is True else only) & at.isNotNull() & (F.lit(even_decided) | ~F.col("decided")), _no())
-    updated = df.select("*", take.alias("take"), at.alias("at"), why.alias("because"))
+    open_ = F.coalesce((F.col("kind") == "word") & (F.lit(True) if only is True else only) & (F.lit(even_decided) | ~F.col("decided")), _no())
+    # a reading is looked for only where one may be taken
+    placed = df.select("*", F.when(open_, at).alias("at"))
+    updated = placed.select("*", F.col("at").isNotNull().alias("take"), F.when(F.col("at").isNotNull(), why).alias("because"))
     return updated.withColumns({
         "chosen": F.when(F.col("take"), F.col("at")).otherwise(F.col("chosen")), "decided": F.col("decided") | F.col("take"), "why": F.when(F.col("take"), F.col("because")).otherwise(F.col("why")),
     }).drop("take", "at", "because", "ahead", "behind")
@@ -123,13 +125,13 @@ def _choose(df: DataFrame, at: Column, why: Column, *, only: Column | bool = Tru
 
 def preposition_government(df: DataFrame) -> DataFrame:
     """A preposition's case, by time nouns and verbs of motion where it has several, and that of the noun it governs, never a nominative."""
-    seen = _sees(df)
-    head = head_after(F.col("ahead"))
+    is_preposition = (F.col("kind") == "word") & (_now()["pos"] == "preposition") & _cases().isNotNull()
+    seen = _sees(df).withColumn("head", F.when(is_preposition, head_after(F.col("ahead"))))
+    head = F.col("head")
     after_head = next_word(F.filter("ahead", lambda t: t["i"] > F.coalesce(head["i"], F.col("i"))))
     moves = lambda t: F.coalesce((picked(t)["pos"] == "verb") & picked(t)["motion"], _no())
     timed = _low().isin(TIME_PREPOSITIONS) & F.coalesce(picked(head)["lemma"].isin(TIME_NOUNS), _no())
     goes = _low().isin("в", "во", "на") & (moves(previous_word()) | moves(after_head))
-    is_preposition = (F.col("kind") == "word") & (_now()["pos"] == "preposition") & _cases().isNotNull()
     want = F.when(is_preposition, F.when(F.size(_cases()) == 1, F.get(_cases(), F.lit(0))).when(timed | goes, F.lit("acc")).otherwise(F.get(_cases(), F.lit(0))))
     pointed = seen.select("*", want.alias("want"), F.when(is_preposition, head["i"]).alias("head_at"), F.array_distinct(F.concat(F.array(want), _cases())).alias("order"))
     pointing = F.collect_list(F.struct("head_at", "order", "text")).over(_order().rowsBetween(-5, -1))
@@ -145,7 +147,7 @@ def preposition_government(df: DataFrame) -> DataFrame:
     follow = done.withColumn("took", F.get(F.filter(taken, lambda t: t["i"] == F.col("head_at")), F.lit(0))["case"])
     follow = follow.withColumn("took", F.when(F.col("took") != F.col("want"), F.col("took")))
     out = _choose(follow, place(F.col("cands"), lambda c: (c["pos"] == "preposition") & (c["case"] == F.col("took"))), F.concat(F.lit("governs "), "took"), only=F.col("want").isNotNull(), even_decided=True)
-    return out.drop("want", "head_at", "order", "by", "took")
+    return out.drop("head", "want", "head_at", "order", "by", "took")
 
 
 def _agrees(x: Column, h: Column) -> Column:
@@ -154,10 +156,11 @@ def _agrees(x: Column, h: Column) -> Column:
 
 def modifier_agreement(df: DataFrame) -> DataFrame:
     """An adjective or modifying pronoun takes the reading that agrees with the noun it comes before."""
-    head = head_after(F.col("ahead"))
     able = lambda x: (x["pos"] == "adjective") | modifies(x)
-    only = F.exists("cands", able) & F.coalesce(picked(head)["pos"].isin(HEADS), _no())
-    return _choose(_sees(df), place(F.col("cands"), lambda x: able(x) & _agrees(x, picked(head))), F.concat(F.lit("agrees with "), head["text"]), only=only)
+    seen = _sees(df).withColumn("head", F.when(~F.col("decided") & F.exists("cands", able), head_after(F.col("ahead"))))
+    head = F.col("head")
+    only = F.coalesce(picked(head)["pos"].isin(HEADS), _no())
+    return _choose(seen, place(F.col("cands"), lambda x: able(x) & _agrees(x, picked(head))), F.concat(F.lit("agrees with "), head["text"]), only=only).drop("head")
 
 
 def noun_after_adjective(df: DataFrame) -> DataFrame:

@@ -112,8 +112,8 @@ def rank_candidates(candidates: DataFrame, keep: int = 3) -> DataFrame:
 
 
 def dependency_edges(edges: DataFrame) -> DataFrame:
-    """One relation per dependent of a sentence: the first by priority, then order."""
-    w = Window.partitionBy("sentence_id", "dependent").orderBy("priority", "ord")
+    """One relation per dependent of a sentence: the first by priority, then order, then head."""
+    w = Window.partitionBy("sentence_id", "dependent").orderBy("priority", "ord", "head")
     return edges.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 

@@ -287,7 +287,7 @@ def _mixed(*cols: str) -> F.Column:
 
 def _mixed_sql(*cols: str) -> str:
     rest = "".join(f" + coalesce({c}, -1) * {7 + 6 * k}" for k, c in enumerate(cols))
-    return f"CAST(sum((sentence_id // 1000000 * 31 + sentence_id % 1000000 * 17{rest}) % 10007) AS BIGINT)"
+    return f"CAST(sum(((sentence_id // 1000000 * 31 + sentence_id % 1000000 * 17{rest}) % 10007 + 10007) % 10007) AS BIGINT)"
 
 
 def sentence_readings(spark, sf_dir):
@@ -357,7 +357,7 @@ def _whole_ctes() -> list[str]:
     rank = "list_position([" + ", ".join(map(_q, RELATIONS)) + "], e.relation)"
     out.append(f"""es AS (SELECT sentence_id, -1 AS ord, unnest([{of_roles}]) AS e FROM roles
         UNION ALL SELECT t.sentence_id, unnest(range({len(kinds)})), unnest([{', '.join(f'CASE WHEN {w} THEN {x} END' for w, x in kinds)}]) FROM parted t JOIN roles r ON t.sentence_id = r.sentence_id AND t.clause = r.clause WHERE kind = 'word'),
-    deps AS (SELECT sentence_id, e.dependent AS dependent, e.head AS head, e.relation AS relation FROM es WHERE e IS NOT NULL QUALIFY row_number() OVER (PARTITION BY sentence_id, e.dependent ORDER BY {rank}, ord) = 1)""")
+    deps AS (SELECT sentence_id, e.dependent AS dependent, e.head AS head, e.relation AS relation FROM es WHERE e IS NOT NULL QUALIFY row_number() OVER (PARTITION BY sentence_id, e.dependent ORDER BY {rank}, ord, e.head NULLS FIRST) = 1)""")
     return out
 
 
