@@ -37,6 +37,26 @@ def test_embeddings_equal_brute_force(spark):
     assert near_embeddings(spark.createDataFrame([], "vec_id long, embedding array<float>, n int, v int")).count() == 0
 
 
+def test_rows_that_share_an_id_and_vectors_of_several_lengths(spark):
+    """Each row is a vector, and lengths don't mix."""
+    rng = np.random.default_rng(2)
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [1.0, 0.01, 0.0]), (3, [1.0, 0.0]), (4, [2.0, 0.0]), (0, [0.0, 3.0]), (7, [5.0]), (5, [1.0]), (6, [-1.0]), (9, [1.0, 0.0, 0.0]), (1, [1.0, 0.0, 0.0]), (None, [1.0, 0.0])]
+    rows += [(int(rng.integers(20, 40)), (rng.normal(size=4) + [2.5, 0, 0, 0]).tolist()) for _ in range(60)]
+    links = {i: [j for j in range(len(rows)) if j != i and rows[i][0] is not None and rows[j][0] is not None and len(rows[i][1]) == len(rows[j][1])
+                 and np.dot(rows[i][1], rows[j][1]) / np.linalg.norm(rows[i][1]) / np.linalg.norm(rows[j][1]) >= 0.9] for i in range(len(rows))}
+    want = []
+    for i, (vec_id, _) in enumerate(rows):
+        seen, todo = {i}, [i]
+        while todo:
+            new = set(links[todo.pop()]) - seen
+            seen |= new
+            todo += new
+        least = None if vec_id is None else min(rows[j][0] for j in seen)
+        want.append((vec_id, len(links[i]), least, None if vec_id is None else vec_id == least))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert sorted(map(str, map(tuple, near_embeddings(df, tile_rows=16).collect()))) == sorted(map(str, want))
+
+
 BASE = [
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 12),
     ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -104,29 +105,35 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.9, tile_rows: int = TI
     Vectors link at a cosine of `cosine` or more in double precision. n_links counts the other vectors
     linked directly, component_id is the smallest vec_id that links reach, kept says it is the row's own.
 
-    Equal vectors collapse to their smallest vec_id first, by aggregation. The rest is turned into the
+    Equal vectors collapse to one class first, by aggregation. The rest is turned into the
     principal axes of all vectors (their second moments are summed over the whole table) and cut into
     tiles of `tile_rows` along the first axis. Linked unit vectors differ by at most sqrt(2 - 2 cosine)
     on every axis, so a tile meets only the tiles within that reach; inside a pair of tiles products
     start with the leading components and stop where the suffix norms rule the threshold out. A pair of
     tiles is one task of bounded size; it returns counts and a spanning set of links, not all pairs.
 
-    A vector that is null, empty, zero, of another length than most, or with null or non-finite
-    components links with nothing. Rows with one vec_id are one vector (the least); a null vec_id links
-    with nothing and has a null component; an empty table gives no rows; other columns are left out."""
+    Vectors of each length are compared among themselves, one length after the other. Each row is a vector, also one that
+    repeats another or shares its vec_id: rows of equal vectors link with each other. A vector that is null, empty, zero, or with
+    null or non-finite components links with nothing, as does a row with a null vec_id, whose component is null; an empty table
+    gives no rows; other columns are left out."""
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     usable = F.col("vec_id").isNotNull() & (F.size("v") > 0) & F.exists("v", lambda x: x != 0)
     usable = usable & F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
-    good = base.where(usable).groupBy("vec_id").agg(F.min("v").alias("v"))
-    sizes = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    rest = lambda df: df.select(
-        "vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")
-    ).withColumn("kept", F.col("vec_id") == F.col("component_id"))
-    if sizes is None:
-        return rest(base.select("vec_id", F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("component")))
-    dim = sizes["d"]
-    good = checkpointed(good.where(F.size("v") == dim))
-    distinct = checkpointed(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
+    base = base.select("vec_id", F.when(usable, F.col("v")).alias("v"))
+    classes = base.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    # numbered once and stored: a class keeps its number when an executor is lost
+    classes = checkpointed(classes.withColumn("rep", F.monotonically_increasing_id()))
+    lengths = sorted(r["d"] for r in classes.select(F.size("v").alias("d")).distinct().collect())  # a number for each length
+    parts = [_linked(classes.where(F.size("v") == d) if len(lengths) > 1 else classes, d, cosine, tile_rows) for d in lengths]
+    known = reduce(DataFrame.unionByName, parts) if parts else classes.select("v", F.lit(0).cast("long").alias("n"), F.col("least").alias("component"))
+    joined = base.join(known.withColumnRenamed("v", "of"), F.col("v") == F.col("of"), "left")
+    out = joined.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+def _linked(distinct: DataFrame, dim: int, cosine: float, tile_rows: int) -> DataFrame:
+    """(v, n, component) of distinct vectors of one length (v, least, copies, rep): n other rows are linked with each row of v,
+    component is the smallest vec_id of its component."""
     parts = distinct.select("v").mapInArrow(lambda b: _moments(b, dim), "m array<double>")
     moment = parts.select(F.posexplode("m").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()  # dim x dim numbers
     axes = np.ascontiguousarray(np.linalg.eigh(np.array([r["x"] for r in moment]).reshape(dim, dim))[1][:, ::-1])
@@ -138,7 +145,7 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.9, tile_rows: int = TI
                 [batch.column("rep"), batch.column("copies"), pa.array(y[:, 0], pa.float64()), pa.array([r.tobytes() for r in y], pa.binary())], ["rep", "copies", "y", "v"]
             )
 
-    turned = checkpointed(distinct.mapInArrow(turn, "rep long, copies long, y double, v binary"))
+    turned = checkpointed(distinct.select("v", "rep", "copies").mapInArrow(turn, "rep long, copies long, y double, v binary"))
     ordered = _tiled(turned, tile_rows)
     reach = float(np.sqrt(max(2 - 2 * cosine, 0))) + 1e-9
     pairs = _tile_pairs(ordered.groupBy("tile").agg(F.min("y").alias("lo"), F.max("y").alias("hi")), reach)
@@ -150,10 +157,10 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.9, tile_rows: int = TI
     comp = connected_components(found.where("b is not null and n = 0").select("a", "b").unionByName(edge.select("a", "b")))
     counts = found.where("b is null").select("a", "n").unionByName(edge.select("a", F.col("copies_b").alias("n"))).unionByName(edge.select(F.col("b").alias("a"), F.col("copies_a").alias("n")))
     counts = counts.groupBy("a").agg(F.sum("n").alias("n"))
-    classes = distinct.join(counts, F.col("rep") == F.col("a"), "left").join(comp, F.col("rep") == F.col("node"), "left")
-    classes = classes.select("v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("component"))
-    known = good.join(classes, "v").select(F.col("vec_id").alias("known"), "n", "component")
-    return rest(base.select("vec_id").join(known, F.col("vec_id") == F.col("known"), "left"))
+    placed = distinct.join(counts, F.col("rep") == F.col("a"), "left").join(comp, F.col("rep") == F.col("node"), "left")
+    placed = checkpointed(placed.select("v", "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("root")))
+    smallest = placed.groupBy(F.col("root").alias("of_root")).agg(F.min("least").alias("component"))
+    return placed.join(smallest, F.col("root") == F.col("of_root")).select("v", "n", "component")
 
 
 def _at_threshold(pairs: DataFrame, distinct: DataFrame, cosine: float) -> DataFrame:
