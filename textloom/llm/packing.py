@@ -20,7 +20,7 @@ from .common import checkpointed
 from .memos import claim, register
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Words kept per worker with their ids; beyond it the memo starts anew.
+#: Words kept per worker with their ids, half of them in a young generation; when it is full it becomes the old one.
 MEMO_WORDS = 650_000
 #: Text encoded at a time.
 PART_BYTES = 8 << 20
@@ -43,17 +43,24 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.spaced: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
+        self.old_spaced: dict[str, bytes] = {}
+        self.old_bare: dict[str, bytes] = {}
         self.newline = self.encode(["\n"])[0]
-        register("packing", self.spaced, self.bare)
+        register("packing", self.spaced, self.bare, self.old_spaced, self.old_bare)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in (x.ids for x in found)]
 
-    def _learn(self, memo: dict[str, bytes], words: set[str], lead: str) -> None:
-        if len(memo) + len(words) > MEMO_WORDS:
+    def _learn(self, memo: dict[str, bytes], old: dict[str, bytes], words: set[str], lead: str) -> None:
+        """Puts `words` into the memo. Words of the old generation that are used again come back, so frequent ones stay."""
+        if len(memo) + len(words) > MEMO_WORDS // 2:
+            old.clear()
+            old.update(memo)
             memo.clear()
-        new = list(words - memo.keys())
+        missing = words - memo.keys()
+        memo.update({w: old[w] for w in missing if w in old})
+        new = list(missing - memo.keys())
         memo.update(zip(new, self.encode([lead + w for w in new]), strict=True))
 
     def _join(self, text: str) -> bytes:
@@ -76,8 +83,8 @@ class Encoder:
             except KeyError:
                 later.append(i)
         lines = [line.split(" ") for i in later for line in texts[i].split("\n")]
-        self._learn(self.bare, {x[0] for x in lines}, "")
-        self._learn(self.spaced, {w for x in lines for w in x[1:]}, " ")
+        self._learn(self.bare, self.old_bare, {x[0] for x in lines}, "")
+        self._learn(self.spaced, self.old_spaced, {w for x in lines for w in x[1:]}, " ")
         for i in later:
             out[i] = self._join(texts[i])
         return out
