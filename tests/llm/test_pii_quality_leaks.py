@@ -197,3 +197,24 @@ def test_leaks_equal_a_plain_search(spark):
     table = lambda rows, name: spark.createDataFrame([(k, " ".join(w)) for k, w in rows.items()], f"{name} long, text string").repartition(3)
     got = {(r.doc_id, r.item_id) for r in find_leaks(table(docs, "doc_id"), table(items, "item_id")).collect()}
     assert 20 < len(want) < 1000 and got == want
+
+
+def test_a_phone_number_has_one_pseudonym_in_all_notations(spark):
+    us = ["555-123-4567", "(555) 123-4567", "1-555-123-4567", "+1 555-123-4567", "+1 (555) 123-4567", "+15551234567", "555.123.4567"]
+    uk = ["+44 20 7946 0958", "+442079460958", "+44-20-7946-0958"]
+    other = ["555-123-4568", "+1 556-123-4567", "+44 20 7946 0959"]
+    df = spark.createDataFrame([(i, f"call {x} now") for i, x in enumerate(us + uk + other)], "doc_id long, text string")
+    got = [r.text.removeprefix("call ").removesuffix(" now") for r in pseudonymise(df, "k").orderBy("doc_id").collect()]
+    digits = lambda x: re.sub("[^0-9]", "", x)
+    assert len({digits(x)[-10:] for x in got[:7]}) == 1 and len({digits(x) for x in got[7:10]}) == 1
+    assert len({digits(x)[-10:] for x in got}) == 5
+    for old, new in zip(us + uk + other, got, strict=True):
+        assert re.sub("[0-9]", "0", old) == re.sub("[0-9]", "0", new) and old != new
+    assert all(digits(x)[-10] == "5" for x in got[:7]) and all(x.startswith("+44") for x in got[7:10])
+
+
+def test_a_date_has_one_pseudonym_in_all_notations(spark):
+    df = spark.createDataFrame([(1, "2021-03-04, 2021/03/04, 3/4/2021 and 4.3.2021")], "doc_id long, text string")
+    iso, slashed, us, dotted = re.split(", | and ", pseudonymise(df, "k").first().text)
+    year, month, day = iso.split("-")
+    assert slashed == f"{year}/{month}/{day}" and us == f"{int(month)}/{int(day)}/{year}" and dotted == f"{int(day)}.{int(month)}.{year}"

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 ROUNDS = 10
 KINDS = ("email", "phone", "card", "ssn", "ip", "iban", "date")
-_DATE = r"\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}"
+_DATE = r"\d{4}[-/]\d{2}[-/]\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}"
 _BARE_PHONE = r"(?:1[ .-])?[2-9]\d{2}[.-]\d{3}[.-]\d{4}"
 #: What can be personal data; the kind and its validation follow from the match.
 PATTERN = "|".join([
@@ -103,7 +103,7 @@ def kind_of(m: Column) -> Column:
     """The kind whose rule a match passes; null if it passes none and stays as it is."""
     d = _only_digits(m)
     read = lambda sign, *patterns: F.when(m.contains(sign), F.coalesce(*[F.try_to_timestamp(m, F.lit(p)) for p in patterns]))
-    day = F.coalesce(read("-", "yyyy-MM-dd"), read("/", "M/d/yyyy", "d/M/yyyy"), read(".", "d.M.yyyy")).cast("date")
+    day = F.coalesce(read("-", "yyyy-MM-dd"), read("/", "M/d/yyyy", "d/M/yyyy", "yyyy/MM/dd"), read(".", "d.M.yyyy")).cast("date")
     bare = F.replace(m, F.lit(" "), F.lit(""))
     return (
         F.when(m.contains("@"), "email")
@@ -143,10 +143,13 @@ def pseudonym(kind: Column, m: Column, key: str) -> Column:
         cased = F.zip_with(F.split(F.substring_index(m, "@", 1), ""), F.split(made, ""), lambda old, new: F.when(old.rlike("[A-Z]"), F.upper(new)).otherwise(new))
         return F.concat(F.array_join(cased, ""), F.lit("@"), domain)
 
-    def phone() -> Column:  # the country code stays, and the first digit of an area code that none or 1 precedes
-        head = F.regexp_extract(m, r"^(\+\d{1,3}[ .-]?(?=\()|\+\d{1,2}|(?:1[ .-])?[2-9])?", 1)
-        rest = F.substr(m, F.length(head) + 1)
-        return F.concat(head, _put_digits(rest, _digits(_only_digits(rest), "phone", key)))
+    def phone() -> Column:
+        """Country code and national number, whatever the notation, are taken first, so that all notations of a number get one
+        pseudonym. Without a plus the country is 1; the code and the first digit of ten national ones stay."""
+        plus = m.startswith("+")
+        code = F.when(plus, F.when(d.startswith("1"), 1).otherwise(2)).when((F.length(d) == 11) & d.startswith("1"), 1).otherwise(0)
+        kept = code + F.when((F.length(d) - code == 10) & (~plus | d.startswith("1")), 1).otherwise(0)
+        return _let(kept, lambda k: _put_digits(m, F.concat(F.left(d, k), _digits(F.substr(d, k + 1), "phone", key))))
 
     def card() -> Column:  # the first digit, which tells the scheme, stays
         payload = F.concat(F.substring(d, 1, 1), _digits(F.substr(d, F.lit(2), F.length(d) - 2), "card", key))
@@ -179,7 +182,7 @@ def pseudonym(kind: Column, m: Column, key: str) -> Column:
             return F.when(m.rlike(r"^\d\d\D\d\d\D"), F.date_format(new, padded)).otherwise(F.date_format(new, pattern))
 
         us = F.try_to_timestamp(m, F.lit("M/d/yyyy")).isNotNull()
-        slashed = F.when(us, moved("M/d/yyyy", "MM/dd/yyyy")).otherwise(moved("d/M/yyyy", "dd/MM/yyyy"))
+        slashed = F.when(m.rlike("^[0-9]{4}/"), moved("yyyy/MM/dd", "yyyy/MM/dd")).when(us, moved("M/d/yyyy", "MM/dd/yyyy")).otherwise(moved("d/M/yyyy", "dd/MM/yyyy"))
         return F.when(m.contains("-"), moved("yyyy-MM-dd", "yyyy-MM-dd")).when(m.contains("/"), slashed).otherwise(moved("d.M.yyyy", "dd.MM.yyyy"))
 
     made = {"email": email(), "phone": phone(), "card": card(), "ssn": ssn(), "ip": ip(), "iban": iban(), "date": date()}
@@ -195,7 +198,9 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     Emails keep their domain and the shape and case of the local part, phone numbers their country code, cards
     their first digit and a right check digit, social security numbers and IBANs their validity,
     addresses of the IP kind four octets, dates (1900 to 2099) their notation. What fails its rule, such
-    as a card number with a wrong check digit, stays. One `key` gives one pseudonym per value everywhere.
+    as a card number with a wrong check digit, stays. One `key` gives one pseudonym per value everywhere, a phone number or a
+    date in all its notations included. Not looked for: dates with month names or two-digit years, phone numbers with a
+    trunk zero in front of them, addresses of IP version 6.
 
     A narrow projection: no shuffle, no group, so hot sources and repeated rows don't matter. Null and
     empty texts pass with counts 0; columns with the names of the counts are replaced."""
