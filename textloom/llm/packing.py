@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import os
 import re
-import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,7 +21,7 @@ from .memos import claim, register
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Words kept per worker with their ids, half of them in a young generation; when it is full it becomes the old one.
-MEMO_WORDS = 650_000
+MEMO_WORDS = 1_200_000
 #: Text encoded at a time.
 PART_BYTES = 8 << 20
 _TWO_SPACES = re.compile(r"\s\s")
@@ -50,7 +50,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (x.ids for x in found)]
+        return [array("I", x.ids).tobytes() for x in found]
 
     def _learn(self, memo: dict[str, bytes], old: dict[str, bytes], words: set[str], lead: str) -> None:
         """Puts `words` into the memo. Words of the old generation that are used again come back, so frequent ones stay."""
