@@ -74,3 +74,46 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     batch = e.select(F.col("user_id").alias("lexeme"), F.col("ts").alias("at"), "event_id", F.when(F.col("event_type") == "view", "read").otherwise("lookup").alias("kind"))
     assert sorted(map(tuple, spark.table("status").collect())) == sorted(map(tuple, word_status(batch, "lexeme").select("lexeme", "status", "encounters", "lookups").collect()))
+
+
+def test_late_events_are_applied_in_order(spark, tmp_path):
+    """Three batches with events out of order, one long after the others to move the watermark; sessions and repeats as streams too."""
+    import random
+
+    rng = random.Random(7)
+    start = 1_704_067_200
+    log = [(k, start + 60 * rng.randrange(0, 50), 100 * k + n, rng.choice(["read"] * 5 + ["lookup"])) for k in range(12) for n in range(rng.randrange(1, 25))]
+    rng.shuffle(log)
+    schema = "lexeme long, s long, event_id long, kind string"
+    parts = [log[::2], log[1::2] + log[:3], [(99, start + 86_400, 1, "read")], [(99, start + 2 * 86_400, 2, "read")]]
+    for i, rows in enumerate(parts):
+        df = spark.createDataFrame(rows, schema).select("lexeme", F.timestamp_seconds("s").alias("at"), "event_id", "kind")
+        df.coalesce(1).write.parquet(str(tmp_path / f"b{i}"))
+    (tmp_path / "in").mkdir()
+    files = [next((tmp_path / f"b{i}").glob("part-*.parquet")) for i in range(len(parts))]
+    shape = spark.read.parquet(str(tmp_path / "b0")).schema
+
+    def run(name, made, mode):
+        q = made(spark.readStream.schema(shape).parquet(str(tmp_path / "in"))).writeStream.outputMode(mode).format("memory").queryName(name)
+        q = q.option("checkpointLocation", str(tmp_path / f"cp-{name}")).start()
+        return q
+
+    running = [
+        run("late_status", lambda s: activity.ordered_status_stream(activity.once(s.withColumnRenamed("at", "ts")).withColumnRenamed("ts", "at"), None, 4), "update"),
+        run("late_sessions", lambda s: activity.sessions(s.select(F.col("lexeme").alias("user_id"), F.col("at").alias("ts")), late="1 hour"), "append"),
+    ]
+    for i, f in enumerate(files):
+        f.rename(tmp_path / "in" / f"{i}.parquet")
+        for q in running:
+            q.processAllAvailable()
+    for q in running:
+        q.stop()
+    want = {}
+    for k, _, _, kind in sorted(set(log), key=lambda r: (r[1], r[2])):
+        want[k] = activity.advance(*want.get(k, (None, 0, 0)), kind, 4)
+    got = {}
+    for r in spark.table("late_status").collect():
+        got[r.lexeme] = max(got.get(r.lexeme, (0, "")), (r.encounters + r.lookups, (r.status, r.encounters, r.lookups)))
+    assert {k: v[1] for k, v in got.items() if k != 99} == want
+    whole = spark.createDataFrame(log + log[:3], schema).select(F.col("lexeme").alias("user_id"), F.timestamp_seconds("s").alias("ts"))
+    assert sorted(tuple(r) for r in spark.table("late_sessions").where("user_id <> 99").collect()) == sorted(map(tuple, activity.sessions(whole).collect()))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from . import clauses as C
 from . import constructions as K
 from . import context as X
+from .stored import kept
 
 #: Features of a reading by their names in a feature string.
 FEATURES = {
@@ -34,11 +35,6 @@ class Analysis(NamedTuple):
     dependencies: DataFrame
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """`df` computed once: a checkpoint where spark.checkpoint.dir names a shared folder, else cached with its lineage."""
-    return df.checkpoint(eager=False) if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
-
-
 def reading(features: Column) -> Column:
     """struct of X.READING from key, lemma, pos, confidence and a feature string."""
     of = F.str_to_map(features, F.lit(";"), F.lit("="))

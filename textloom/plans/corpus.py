@@ -236,7 +236,7 @@ hits AS (SELECT doc_id, any_value(lang) AS lang, sentence FROM sent WHERE {sql_l
 
 @query(f"{_CONC}, r AS (SELECT lang, h.doc_id, h.sentence, line, row_number() OVER (PARTITION BY lang ORDER BY h.doc_id, h.sentence) AS rn FROM hits h JOIN s USING (doc_id, sentence)) SELECT lang, doc_id, sentence, line FROM r WHERE rn <= 12")
 def concordance(spark, sf_dir):
-    docs = _docs(spark, sf_dir, False).where(F.lower("text").contains("that"))  # only these are segmented
+    docs = _docs(spark, sf_dir, False).where(F.contains(F.lower(F.regexp_replace("text", "[\u0300\u0301]", "")), F.lit("that")))  # only these are segmented; marks don't count in a key
     split = lambda d: S.sentences(d, ["doc_id", "lang"])
     hits = split(docs).where(T.loose_key(F.col("surface")) == "that").select("lang", "doc_id", "sentence").distinct()
     first = C.top_k(hits, [F.asc("doc_id"), F.asc("sentence")], 12, ["lang"])
@@ -248,7 +248,7 @@ def concordance(spark, sf_dir):
 
 @query(f"{_CONC}, c AS (SELECT lang, h.doc_id, h.sentence, line, row_number() OVER (PARTITION BY lang ORDER BY length(line), h.doc_id, h.sentence) AS rn FROM hits h JOIN s USING (doc_id, sentence) WHERE length(line) <= 140) SELECT lang, doc_id, sentence, line FROM c WHERE rn <= 2")
 def example_sentences(spark, sf_dir):
-    docs = _docs(spark, sf_dir, False).where(F.lower("text").contains("that"))  # only these are segmented
+    docs = _docs(spark, sf_dir, False).where(F.contains(F.lower(F.regexp_replace("text", "[\u0300\u0301]", "")), F.lit("that")))  # only these are segmented; marks don't count in a key
     sents = S.sentences(docs, ["doc_id", "lang"])
     line = sents.groupBy("lang", "doc_id", "sentence").agg(
         F.array_sort(F.collect_list(F.struct("pos", "surface"))).alias("x"), F.max(T.loose_key(F.col("surface")) == "that").alias("hit")
@@ -257,6 +257,14 @@ def example_sentences(spark, sf_dir):
     return C.top_k(line, [F.length("line"), F.asc("doc_id"), F.asc("sentence")], 2, ["lang"])
 
 
+@query(f"""WITH {sql_sentences('text')}, s AS (SELECT doc_id, sentence, string_agg(surface, ' ' ORDER BY pos) AS line FROM sent GROUP BY 1, 2),
+p AS (SELECT DISTINCT lang, key, doc_id, sentence FROM (SELECT *, {sql_loose('surface')} AS key FROM sent WHERE kind IN ('word', 'latin')) QUALIFY row_number() OVER (PARTITION BY lang, key ORDER BY doc_id, pos) <= 6),
+r AS (SELECT p.*, line FROM p JOIN s USING (doc_id, sentence) QUALIFY row_number() OVER (PARTITION BY lang, key ORDER BY length(line), doc_id, sentence) <= 2)
+SELECT lang, key, doc_id, sentence, line FROM r WHERE length(line) <= 140""")
+def examples_of_forms(spark, sf_dir):
+    return C.example_index(S.sentences(_docs(spark, sf_dir, False), ["doc_id", "lang"]), ["lang"])
+
+
 @query("""WITH d AS (SELECT doc_id, source, regexp_extract(text, '^\\s*([A-Za-zÀ-ÿ]+)', 1) AS lemma FROM documents),
 n AS (SELECT doc_id, source, lemma, row_number() OVER (PARTITION BY source, lemma ORDER BY doc_id) AS k FROM d WHERE lemma <> '')
 SELECT doc_id, source || ':' || lemma || CASE WHEN k > 1 THEN '#' || k ELSE '' END AS lexeme_id FROM n""")

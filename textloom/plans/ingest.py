@@ -69,12 +69,17 @@ def html_chapters(spark, sf_dir):
     return M.chapters(M.html_blocks(read(spark, sf_dir, "pages"), "page_id"), "page_id").withColumn("emphasis", F.to_json("emphasis"))
 
 
-@query("""SELECT page_id, CASE WHEN regexp_matches(lower(url), '\\.html?$') OR starts_with(ltrim(html), '<') THEN 'html' WHEN starts_with(ltrim(html), '{') THEN 'json' WHEN starts_with(ltrim(html), 'PK') THEN 'epub' ELSE 'txt' END AS format
-FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url, html FROM pages)""")
+#: Names and beginnings of files for the pages, so that every extension and every sniffed beginning occurs.
+_FILE = "CASE WHEN page_id % 12 < 10 THEN 'page' || split_part('.epub .PDF .acsm .html .htm .XHTML .json .txt .md .bin', ' ', CAST(1 + page_id % 12 AS INT)) ELSE 'page' END"
+_HEAD = "CASE WHEN page_id % 5 = 0 THEN '{' WHEN page_id % 5 = 1 THEN 'PK' WHEN page_id % 5 = 2 THEN 'plain ' ELSE '' END || html"
+
+
+@query(f"""WITH f AS (SELECT page_id, lower(regexp_extract({_FILE}, '\\.([A-Za-z0-9]+)$', 1)) AS ext, ltrim({_HEAD}) AS head FROM pages)
+SELECT page_id, CASE WHEN ext = 'acsm' THEN 'drm' WHEN ext = 'pdf' THEN 'unsupported' WHEN ext = 'epub' THEN 'epub' WHEN ext IN ('html', 'htm', 'xhtml') THEN 'html' WHEN ext = 'json' THEN 'json' WHEN ext IN ('txt', 'text', 'md') THEN 'txt'
+  WHEN starts_with(head, 'PK') THEN 'epub' WHEN starts_with(head, '<') THEN 'html' WHEN starts_with(head, '{{') THEN 'json' ELSE 'txt' END AS format FROM f""")
 def format_detection(spark, sf_dir):
-    p = read(spark, sf_dir, "pages").withColumn("url", F.regexp_replace("url", "[?#].*$", ""))
-    name = F.when(F.lower("url").rlike(r"\.html?$"), F.col("url")).otherwise("")
-    return p.select("page_id", M.detect_format(name, F.substring(F.ltrim("html"), 1, 64)).alias("format"))
+    files = read(spark, sf_dir, "pages").select("page_id", F.expr(_FILE).alias("name"), F.expr(_HEAD).alias("head"))
+    return files.select("page_id", M.detect_format(F.col("name"), F.substring(F.ltrim("head"), 1, 64)).alias("format"))
 
 
 @query("SELECT doc_id, 0::BIGINT AS chapter, paragraph - 1 AS paragraph, md5(para) AS text_md5 FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS para, generate_subscripts(string_split(text, chr(10)), 1) AS paragraph FROM documents) WHERE NOT starts_with(para, '{')")

@@ -21,12 +21,14 @@ BLOCKS = set(
 )
 VOID = {"br", "hr", "img", "meta", "link", "input", "wbr", "area", "base", "col", "source", "track"}
 EMPHASIS = {"i": "em", "em": "em", "cite": "em", "b": "strong", "strong": "strong"}
-#: Class names that give a block its kind, and words of emphasis.
-CLASS_KINDS = [
-    ("heading", re.compile(r"(^|\s)(mt\d?|title|chapter-?title|heading|h\d?|s\d?|ms\d?)(\s|$)")), ("verse", re.compile(r"(^|\s)(q\d?|poetry|verse)(\s|$)")),
-    ("quote", re.compile(r"(^|\s)(blockquote|quote|epigraph)(\s|$)")), ("note", re.compile(r"(^|\s)(footnote|note|f|x|xt)(\s|$)")), ("letter", re.compile(r"(^|\s)letter(\s|$)")),
-]
-EMPHASIS_CLASSES = [("em", {"it", "italic", "i", "em", "bdit", "wj"}), ("strong", {"bold", "b", "strong"})]
+#: Class names that give a block its kind, those that may be followed by a digit apart.
+CLASS_WORDS = {
+    "heading": ("title chaptertitle chapter-title heading", "mt h s ms"), "verse": ("poetry verse", "q"), "quote": ("blockquote quote epigraph", ""), "note": ("footnote note f x xt", ""), "letter": ("letter", ""),
+}
+#: Class names, font weights and words of references to notes.
+EMPHASIS_WORDS = {"em": "it italic i em bdit wj", "strong": "bold b strong"}
+HEAVY = ("bold", "600", "700", "800", "900")
+NOTE_TYPES, NOTE_LINKS = "footnote endnote noteref rearnote".split(), "noteref footnote".split()
 #: Tags that end those of the same group which are still open, as their end tags are optional.
 ENDED_BY = {"li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}}
 BLOCK_SCHEMA = "kind string, level int, text string, emphasis array<struct<start:int,end:int,kind:string>>"
@@ -42,6 +44,27 @@ def detect_format(path: Column, head: Column) -> Column:
     )
 
 
+def kind_of_class(names: list[str]) -> str | None:
+    """The kind of a block with these class names: the first kind of the table that one of them is a word of."""
+    bare = set(names)
+    stems = {n[:-1] for n in names if n[-1:].isdigit()}
+    for kind, (plain, numbered) in CLASS_WORDS.items():
+        if bare & {*plain.split(), *numbered.split()} or stems & set(numbered.split()):
+            return kind
+    return None
+
+
+def emphasis_of(names: list[str], style: str) -> str | None:
+    """em or strong by class names, else by the declarations of a style attribute."""
+    by_class = next((k for k, words in EMPHASIS_WORDS.items() if set(words.split()) & set(names)), None)
+    if by_class:
+        return by_class
+    declared = {k.strip(): v.strip() for k, _, v in (d.partition(":") for d in style.split(";"))}
+    if declared.get("font-style", "").startswith("italic"):
+        return "em"
+    return "strong" if declared.get("font-weight", "").startswith(HEAVY) else None
+
+
 class _Blocks(HTMLParser):
     """Collects blocks of text with emphasis ranges; offsets count in the collapsed text. End tags may be missing."""
 
@@ -94,14 +117,13 @@ class _Blocks(HTMLParser):
             elif tag == "hr":
                 self.flush()
             return
-        note = re.search("footnote|endnote|noteref|rearnote", given.get("epub:type", "")) or tag == "a" and re.search("noteref|footnote", given.get("class", ""))
+        names = given.get("class", "").split()
+        says = lambda words, name: any(w in given.get(name, "") for w in words)
+        note = says(NOTE_TYPES, "epub:type") or tag == "a" and says(NOTE_LINKS, "class")
         if tag in SKIPPED or note:
             self.skip, self.depth = tag, 1
             return
-        names = given.get("class", "")
-        emphasis = EMPHASIS.get(tag) or next((k for k, words in EMPHASIS_CLASSES if words & set(names.split())), None)
-        style = given.get("style", "")
-        emphasis = emphasis or ("em" if re.search(r"font-style:\s*italic", style) else "strong" if re.search(r"font-weight:\s*(bold|[6-9]00)", style) else None)
+        emphasis = EMPHASIS.get(tag) or emphasis_of(names, given.get("style", ""))
         kind, level = None, 0
         if tag in BLOCKS:
             self.close_upto({"p"}, {"table", "td", "th", "li", "blockquote", "aside", "div", "section", "article", "body"})
@@ -113,7 +135,7 @@ class _Blocks(HTMLParser):
             if len(tag) == 2 and tag[0] == "h" and tag[1].isdigit():
                 kind, level = "heading", int(tag[1])
             kind = {"blockquote": "quote", "aside": "note"}.get(tag, kind)
-            kind = next((k for k, rx in CLASS_KINDS if rx.search(names)), kind)
+            kind = kind_of_class(names) or kind
         self.open.append({"tag": tag, "kind": kind, "level": level, "emphasis": emphasis, "start": len(self.text)})
 
     def handle_endtag(self, tag: str) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -61,3 +62,35 @@ def status_stream(events: DataFrame, promote_after: int = 6) -> DataFrame:
         yield pd.DataFrame([(key[0], status, enc, looks)], columns=["lexeme", "status", "encounters", "lookups"])
 
     return events.groupBy("lexeme").applyInPandasWithState(fold, STATUS, _STATE, "update", "NoTimeout")
+
+
+_LATE_STATE = "status string, encounters long, lookups long, pending string"
+
+
+def ordered_status_stream(events: DataFrame, late: str | None = "1 hour", promote_after: int = 6) -> DataFrame:
+    """Learner status per lexeme of a stream (lexeme, at, event_id, kind) whose events come up to `late` out of order; None for
+    a stream that has its watermark already, such as that of `once`.
+
+    An event waits in its lexeme's state until the watermark has passed it, and is then applied in the order of (at, event_id),
+    so that the result is the batch result whatever the order of arrival. A timer in event time wakes a lexeme that gets no more
+    events. What waits is bounded by the events of one lexeme within `late`; events older than the watermark are left out."""
+
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        status, enc, looks, held = state.get if state.exists else (None, 0, 0, "[]")
+        passed = state.getCurrentWatermarkMs()
+        pending = [tuple(x) for x in json.loads(held)]
+        for frame in frames:
+            pending += [(int(at), int(i), kind) for at, i, kind in zip(frame["at_ms"], frame["event_id"], frame["kind"], strict=True)]
+        pending.sort()
+        ready = [x for x in pending if x[0] <= passed]
+        for _, _, kind in ready:
+            status, enc, looks = advance(status, enc, looks, kind, promote_after)
+        pending = pending[len(ready) :]
+        state.update((status, enc, looks, json.dumps(pending)))
+        if pending:
+            state.setTimeoutTimestamp(max(pending[0][0], passed + 1))
+        if ready:
+            yield pd.DataFrame([(key[0], status, enc, looks)], columns=["lexeme", "status", "encounters", "lookups"])
+
+    timed = (events.withWatermark("at", late) if late else events).select("lexeme", "at", F.unix_millis("at").alias("at_ms"), "event_id", "kind")
+    return timed.groupBy("lexeme").applyInPandasWithState(fold, STATUS, _LATE_STATE, "update", "EventTimeTimeout")
