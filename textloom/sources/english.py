@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators.corpus import restart_cut
 
 #: Words that open a part's heading, headings of one word, endings of ordinals, Roman digits.
@@ -27,14 +28,16 @@ def _place(text: Column, marks: list[str]) -> Column:
 
 def strip_licence(text: Column) -> Column:
     """The text between the header and the footer that a distributor puts around it."""
-    start = _place(text, BEFORE)
-    rest = F.substr(text, start + len(STARS))  # behind the stars that open the mark
-    ends = F.instr(rest, F.lit(STARS))
-    body = F.when(ends > 0, F.substr(rest, ends + len(STARS)))
-    body = F.coalesce(F.ltrim(body, F.lit("*")), text)
-    end = _place(body, AFTER)
-    closed = F.instr(F.substr(body, end + len(STARS)), F.lit(STARS)) > 0
-    return F.when(closed, F.left(body, end - 1)).otherwise(body)
+
+    def opened(start: Column) -> Column:
+        behind = lambda rest: F.when(F.instr(rest, F.lit(STARS)) > 0, F.ltrim(F.substr(rest, F.instr(rest, F.lit(STARS))), F.lit("*")))
+        return F.coalesce(T.let(F.substr(text, start + len(STARS)), behind), text)  # behind the stars that open the mark
+
+    def closed(body: Column) -> Column:
+        ends = lambda end: F.when(F.instr(F.substr(body, end + len(STARS)), F.lit(STARS)) > 0, F.left(body, end - 1)).otherwise(body)
+        return T.let(_place(body, AFTER), ends)
+
+    return T.let(T.let(_place(text, BEFORE), opened), closed)
 
 
 def _without(word: Column, *ends: str) -> Column:
@@ -54,18 +57,21 @@ def heading_kind(line: Column) -> Column:
 
     A part's heading opens with one of PART_WORDS and goes on, or is a word of ALONE. A chapter is a Roman numeral,
     CHAPTER in front or not; titled is a numeral, two dashes and a title; dated a capitalised word and a day of a month."""
-    words = F.split(line, r"\s+")
-    word = lambda i: F.coalesce(F.get(words, F.lit(i)), F.lit(""))
-    size, first = F.size(words), _capitals(word(0))
-    number = F.when(first == "CHAPTER", word(1)).otherwise(word(0))
-    month, day = _without(word(0), "."), _without(_without(_without(word(1), ","), "."), *ORDINALS)
-    name = F.substring(month, 1, 1).between("A", "Z") & (F.length(month) > 1) & (F.translate(F.substr(month, F.lit(2)), "abcdefghijklmnopqrstuvwxyz", "") == "")
-    date = (F.length(day).between(1, 2)) & (F.translate(day, "0123456789", "") == "")
-    return (
-        F.when((size > 1) & first.isin(PART_WORDS) | _without(_capitals(line), ".").isin(ALONE), "part")
-        .when((size == F.when(first == "CHAPTER", 2).otherwise(1)) & _roman(_without(number, ".")), "chapter").when((size == 2) & name & date, "dated")
-        .when((size > 2) & _roman(word(0)) & (word(1) == "--"), "titled")
-    )
+
+    def kind(words: Column) -> Column:
+        word = lambda i: F.coalesce(F.get(words, F.lit(i)), F.lit(""))
+        size, first = F.size(words), _capitals(word(0))
+        number = F.when(first == "CHAPTER", word(1)).otherwise(word(0))
+        named = lambda m: F.substring(m, 1, 1).between("A", "Z") & (F.length(m) > 1) & (F.translate(F.substr(m, F.lit(2)), "abcdefghijklmnopqrstuvwxyz", "") == "")
+        numbered = lambda d: F.length(d).between(1, 2) & (F.translate(d, "0123456789", "") == "")
+        dated = T.let(_without(word(0), "."), named) & T.let(T.let(T.let(word(1), lambda x: _without(x, ",")), lambda x: _without(x, ".")), lambda x: T.let(_without(x, *ORDINALS), numbered))
+        return (
+            F.when((size > 1) & first.isin(PART_WORDS) | _without(_capitals(line), ".").isin(ALONE), "part")
+            .when((size == F.when(first == "CHAPTER", 2).otherwise(1)) & T.let(_without(number, "."), _roman), "chapter").when((size == 2) & dated, "dated")
+            .when((size > 2) & _roman(word(0)) & (word(1) == "--"), "titled")
+        )
+
+    return T.let(F.split(line, r"\s+"), kind)
 
 
 def english_chapters(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
