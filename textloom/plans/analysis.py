@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import generate as G
+from ..operators.closed import closed_classes, closed_rows
 from ..operators import segment as S
 from ..operators.lexicon import ADJECTIVE_ENDINGS
 from .corpus import _CYR_SQL, _docs, _q, sql_loose, sql_tokens
@@ -147,22 +148,12 @@ def word_analysis(spark, sf_dir):
     return G.analyse(TEXT.df(spark, sf_dir), READINGS.df(spark, sf_dir), LEXICON.df(spark, sf_dir), CLOSED.df(spark), NAMES.df(spark, sf_dir))
 
 
-ASKED = Fixture("asked", "surface string", [(w,) for w in ("Мною", "ней", "моей", "нашего", "тем", "всё", "двух", "пятью", "сорока", "за", "что", "чтоб", "нельзя", "Были", "дом", "ни")])
-_ANSWERS = Fixture("want", "surface string, key string, features string", [
-    ("Мною", "pronoun:я", "case=inst;number=sg;person=1;pronoun_type=personal"), *[("ней", "pronoun:она", f"case={c};gender=f;number=sg;person=3;pronoun_type=personal") for c in ("dat", "inst", "prep")],
-    *[("моей", "pronoun:мой", f"case={c};gender=f;number=sg;pronoun_type=possessive") for c in ("gen", "dat", "inst", "prep")], *[("нашего", "pronoun:наш", f"case=gen;gender={g};number=sg;pronoun_type=possessive") for g in "mn"],
-    ("тем", "pronoun:тот", "case=inst;gender=m;number=sg;pronoun_type=demonstrative"), ("тем", "pronoun:тот", "case=inst;gender=n;number=sg;pronoun_type=demonstrative"), ("тем", "pronoun:тот", "case=dat;number=pl;pronoun_type=demonstrative"),
-    *[("всё", "pronoun:весь", f"case={c};gender=n;number=sg;pronoun_type=determinative") for c in ("nom", "acc")], *[("всё", "pronoun:весь", f"case={c};number=pl;pronoun_type=determinative") for c in ("nom", "acc")],
-    ("двух", "numeral:два", "case=gen"), ("пятью", "numeral:пять", "case=inst"), *[("сорока", "numeral:сорок", f"case={c}") for c in ("gen", "dat", "inst", "prep")], ("за", "preposition:за", "case=inst"), ("за", "preposition:за", "case=acc"),
-    ("что", "conjunction:что", ""), *[("что", "pronoun:что", f"case={c};number=sg;pronoun_type=interrogative/relative") for c in ("nom", "acc")], ("чтоб", "conjunction:чтобы", ""), ("нельзя", "predicative:нельзя", ""),
-    ("Были", "verb:быть", "aspect=imperfective;number=pl;tense=past;verb_form=past"), ("ни", "conjunction:ни", ""), ("ни", "particle:ни", ""),
-])
+ASKED = Projected("asked", "surface string", f"SELECT DISTINCT {PICK('Мною ней моей нашего тем всё двух пятью сорока за что чтоб нельзя Были дом ни Которого себя нами этому', 'l_partkey')} AS surface FROM {{lineitem}}")
+_TABLE = Fixture("classes", "form string, key string, lemma string, pos string, features string", closed_rows())
 
 
-@query(f"WITH {_ANSWERS.sql} SELECT * FROM want")
+@query(f"WITH {ASKED.sql}, {_TABLE.sql} SELECT surface, key, features FROM asked JOIN classes ON form = {sql_loose('surface')}")
 def closed_class_readings(spark, sf_dir):
     """JN-3: words against all closed-class tables in one join by loose key."""
-    from ..operators.closed import closed_classes
-
-    words = ASKED.df(spark).withColumn("w", T.loose_key(F.col("surface")))
+    words = ASKED.df(spark, sf_dir).withColumn("w", T.loose_key(F.col("surface")))
     return words.join(closed_classes(spark), F.col("w") == F.col("form")).select("surface", "key", "features")

@@ -11,7 +11,7 @@ from ..operators import features as X
 from ..operators import segment as S
 from ..sources import english as EN
 from .corpus import _docs, _known, _KNOWN, _paragraphs, _PARA, sql_loose, sql_tokens
-from .lexicon import Fixture
+from .lexicon import PICK, Fixture, Projected
 
 Q: dict = {}
 SQL: dict = {}
@@ -27,18 +27,19 @@ def query(sql):
     return put
 
 
-_DECODED = [
-    ("n:sg:gen", "sg", "gen", None, None, None, None), ("n:pl:inst", "pl", "inst", None, None, None, None), ("a:m:sg:nom", "sg", "nom", "m", None, None, None), ("a:pl:gen", "pl", "gen", None, None, None, None),
-    ("a:short:f", "sg", None, "f", None, None, "short"), ("a:short:pl", "pl", None, None, None, None, "short"), ("a:comp", None, None, None, None, None, "comparative"), ("a:sup", None, None, None, None, None, "superlative"),
-    ("v:inf", None, None, None, None, "infinitive", None), ("v:pf:sg1", "sg", None, None, 1, "present-future", None), ("v:pf:pl3", "pl", None, None, 3, "present-future", None), ("v:past:m", "sg", None, "m", None, "past", None),
-    ("v:past:pl", "pl", None, None, None, "past", None), ("v:imp:sg", "sg", None, None, None, "imperative", None), ("p:1:sg:nom", "sg", "nom", None, 1, None, None), ("x", None, None, None, None, None, None),
-]
-CODES = Fixture("codes", "code string, number string, gcase string, gender string, person int, verb_form string, degree string", _DECODED)
+CODES = Projected("codes", "code string", f"""SELECT DISTINCT CASE l_partkey % 6 WHEN 0 THEN 'n:' || {PICK('sg pl', 'l_linenumber')} || ':' || {PICK('nom gen dat acc inst prep', 'l_suppkey')}
+    WHEN 1 THEN 'a:' || {PICK('m f n', 'l_linenumber')} || ':sg:' || {PICK('nom gen dat acc inst prep', 'l_suppkey')} WHEN 2 THEN 'a:pl:' || {PICK('nom gen dat acc inst prep', 'l_suppkey')}
+    WHEN 3 THEN {PICK('a:short:f a:short:m a:short:pl a:comp a:sup v:inf v:imp:sg v:imp:pl x', 'l_suppkey + l_linenumber')} WHEN 4 THEN 'v:pf:' || {PICK('sg1 sg2 sg3 pl1 pl2 pl3', 'l_suppkey')}
+    ELSE {PICK('v:past:m v:past:f v:past:n v:past:pl p:1:sg:nom p:2:pl:dat p:3:sg:inst', 'l_suppkey + l_linenumber')} END AS code FROM {{lineitem}}""")
 
 
-@query(f"WITH {CODES.sql} SELECT * FROM codes")
+@query(f"""WITH {CODES.sql}, p AS (SELECT code, split_part(code, ':', 1) AS a, split_part(code, ':', 2) AS b, split_part(code, ':', 3) AS c, split_part(code, ':', 4) AS d FROM codes)
+SELECT code, CASE WHEN a = 'n' THEN b WHEN a = 'a' AND b IN ('comp', 'sup') THEN NULL WHEN b IN ('short', 'past') THEN CASE WHEN c = 'pl' THEN 'pl' ELSE 'sg' END WHEN a = 'a' AND b = 'pl' THEN 'pl' WHEN b = 'pf' THEN left(c, 2) WHEN c <> '' THEN c END AS number,
+  CASE WHEN a = 'n' OR a = 'a' AND b = 'pl' THEN c WHEN a = 'a' AND length(b) = 1 OR a = 'p' THEN d END AS gcase, CASE WHEN a = 'a' AND length(b) = 1 THEN b WHEN b IN ('short', 'past') AND c <> 'pl' THEN c END AS gender,
+  CASE WHEN b = 'pf' THEN CAST(right(c, 1) AS INTEGER) WHEN a = 'p' THEN CAST(b AS INTEGER) END AS person, CASE b WHEN 'pf' THEN 'present-future' WHEN 'past' THEN 'past' WHEN 'imp' THEN 'imperative' WHEN 'inf' THEN 'infinitive' END AS verb_form,
+  CASE b WHEN 'short' THEN 'short' WHEN 'comp' THEN 'comparative' WHEN 'sup' THEN 'superlative' END AS degree FROM p""")
 def feature_decode(spark, sf_dir):
-    return CODES.df(spark).select("code", X.decode_features(F.col("code")).alias("d")).select("code", "d.*")
+    return CODES.df(spark, sf_dir).select("code", X.decode_features(F.col("code")).alias("d")).select("code", "d.*")
 
 
 @query(f"""WITH paras AS ({_PARA}), {sql_tokens('para', 'doc_id, lang, source, chapter', 'paras')}, {_KNOWN},
