@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analysis, clauses, corpus, dictionary, features, ingest, learner, lexicon, records, sentence, sound, surface, whole
+from . import analysis, clauses, corpus, dictionary, drills, features, ingest, learner, lexicon, records, sentence, sound, surface, whole
 
-MODULES = [analysis, clauses, corpus, dictionary, features, ingest, lexicon, learner, records, sentence, sound, surface, whole]
+MODULES = [analysis, clauses, corpus, dictionary, drills, features, ingest, lexicon, learner, records, sentence, sound, surface, whole]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
