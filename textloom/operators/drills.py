@@ -34,7 +34,7 @@ def word_drills(said: DataFrame, n: int = 3) -> DataFrame:
     Sounds are ordered by their hash in buckets by its first digits, as many as keep a bucket near BUCKET sounds, and a sound's
     distractors are the next ones round its bucket: no pairs are built and no order of the whole vocabulary. Where fewer than two
     others are in the bucket there is no drill of sounds. Repeated rows count once; rows without word or sound are left out."""
-    words = kept(said.where("word is not null and translit is not null").select("word", "translit").distinct())
+    words = kept(said.select("word", "translit").distinct()).where("word is not null and translit is not null")
     h = F.md5("translit")
     sounds = words.select("translit").distinct()
     size = sounds.agg(F.greatest(F.lit(0), F.ceil(F.log(16.0, F.greatest(F.count("*"), F.lit(1)) / BUCKET) - 1e-9)).cast("int").alias("digits"))

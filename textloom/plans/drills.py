@@ -10,7 +10,7 @@ from .corpus import read
 from .features import CONFUSABLE, PAIRS
 from .lexicon import Fixture
 from .sound import SQL as SOUND_SQL
-from .sound import pronunciations
+from .sound import stressed_words
 
 Q: dict = {}
 SQL: dict = {}
@@ -33,7 +33,9 @@ CONTRASTS = Fixture("pairs", "symbol string, other string", PAIRS)
 
 
 def word_drills(spark, sf_dir):
-    said = pronunciations(spark, sf_dir).where("stress = -1").select("word", "translit")
+    words = stressed_words(spark, sf_dir).where("stress = -1")
+    spread = words.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "word")  # few bytes, dear to pronounce: AQE would make one task
+    said = spread.select("word", P.pronounce(F.col("word"), F.col("stress"))["translit"].alias("translit"))
     return D.word_drills(said).withColumn("options", F.array_join("options", " "))
 
 
