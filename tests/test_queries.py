@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from textloom.operators import analysis as A
 from textloom.plans import registry, whole
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -47,3 +48,13 @@ def test_query_equals_sql(spark, con, few, name):
     cols = [d[0] for d in result.description]
     assert sorted(df.columns) == sorted(cols)
     assert rows(df.columns, map(tuple, df.collect())) == rows(cols, result.fetchall())
+
+
+def test_projected_readings_in_place_are_those_of_the_vocabulary(spark, few):
+    """And a rule that looks at no neighbour exchanges no tokens, the others sentences as one row each."""
+    tokens = whole.projected_tokens(spark, few)
+    cands = lambda df: sorted((str(r.sentence_id), r.i, r.text, str(r.cands)) for r in df.collect())
+    assert cands(whole.with_projected_readings(tokens)) == cands(A.with_readings(tokens, whole.projected_readings(spark, tokens)))
+    plan = lambda name: whole.Q[name](spark, few)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan("context_names") and "RepartitionByExpression" in plan("context_names")
+    assert "Join" not in plan("context_all_or_everything") and "Repartition" not in plan("context_all_or_everything")

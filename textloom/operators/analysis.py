@@ -91,7 +91,12 @@ def analyse_sentences(tokens: DataFrame, readings: DataFrame, rules: list = X.RU
     """The whole analysis of `tokens` (sentence_id of any type, i from 0, kind, text) with `readings` of their vocabulary.
 
     `keep` stores what several of the results need (tokens, then constructions), such as a checkpoint or a table of the caller."""
-    chosen = keep(chosen_tokens(with_readings(tokens, readings), rules))
+    return analyse_read(with_readings(tokens, readings), rules, keep)
+
+
+def analyse_read(tokens: DataFrame, rules: list = X.RULES, keep: Callable[[DataFrame], DataFrame] = kept) -> Analysis:
+    """`analyse_sentences` of tokens that have their readings, cands, already."""
+    chosen = keep(chosen_tokens(tokens, rules))
     found = keep(K.find_constructions(chosen.select("*", F.col("text").alias("w"), F.col("case").alias("gcase"), F.col("type").alias("pronoun_type"))))
     parted = keep(C.clause_numbers(with_constructions(chosen, found)))
     roles = C.clause_roles(parted)
