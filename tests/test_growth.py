@@ -1,9 +1,11 @@
 """Plans that must stay lean: what a large corpus pays for each token."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators import segment as S
+from textloom.sources import markup as M
 
 
 def optimized(df):
@@ -42,3 +44,10 @@ def test_keys_kinds_and_letters(spark):
     starts = {"я": "word", "́а": "word", "ɏ": "latin", "ɐ": "punct", "×": "latin", "7": "number", "　": "space", "​": "punct", "٣": "punct", "\u0085": "punct", "": "punct"}
     df = spark.createDataFrame([(s,) for s in starts], "s string")
     assert {s: k for s, k in df.select("s", T.kind(F.col("s"))).collect()} == starts
+
+
+def test_blocks_of_pages_leave_in_bounded_frames():
+    pages = pd.DataFrame({"k": range(5000), "h": ["<p>a</p><p>b</p>"] * 5000})
+    frames = list(M.block_frames(iter([pages])))
+    assert max(map(len, frames)) <= M.FRAME_BLOCKS + 2 and sum(map(len, frames)) == 10_000
+    assert [f["k"].iloc[0] for f in frames] == [0, 2048, 4096]

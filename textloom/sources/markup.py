@@ -164,16 +164,28 @@ def blocks_of(markup: str | None) -> list[tuple]:
     return parser.out
 
 
+#: Blocks that a worker gathers before it gives them back, so that its memory doesn't follow the pages of an Arrow batch.
+FRAME_BLOCKS = 4096
+
+
+def block_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Blocks of pages (k, h), each page's whole, in frames that close at FRAME_BLOCKS."""
+    framed = lambda rows: pd.DataFrame(rows, columns=["k", "block", "kind", "level", "text", "emphasis"])
+    for pdf in frames:
+        rows: list[tuple] = []
+        for k, h in zip(pdf["k"], pdf["h"], strict=True):
+            rows += [(k, i, *b) for i, b in enumerate(blocks_of(h))]
+            if len(rows) >= FRAME_BLOCKS:
+                yield framed(rows)
+                rows = []
+        yield framed(rows)
+
+
 def html_blocks(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """(key, block, kind, level, text, emphasis) of each page, in order."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = [(k, i, *b) for k, h in zip(pdf["k"], pdf["h"], strict=True) for i, b in enumerate(blocks_of(h))]
-            yield pd.DataFrame(rows, columns=["k", "block", "kind", "level", "text", "emphasis"])
-
     kind = pages.schema[key].dataType.simpleString()
-    out = pages.select(F.col(key).alias("k"), F.col(html).alias("h")).mapInPandas(run, f"k {kind}, block int, {BLOCK_SCHEMA}")
+    out = pages.select(F.col(key).alias("k"), F.col(html).alias("h")).mapInPandas(block_frames, f"k {kind}, block int, {BLOCK_SCHEMA}")
     return out.withColumnRenamed("k", key)
 
 
