@@ -57,3 +57,21 @@ def test_empty_table_and_extra_columns(spark):
     out = pack_documents(spark.createDataFrame([(3, "a b", 1, "x", 2)], schema), PATH).collect()
     assert sum(r.length for r in out) == 3 and out[0].start == 0
     assert packing.MEMO_WORDS > 0
+
+
+def test_pieces_are_encoded_once_as_lines_within_a_bounded_memo(monkeypatch):
+    """Words go to the tokenizer together and once while the memo holds them; the memo's bound counts pieces of both kinds."""
+    made = packing.Encoder(PATH)
+    odd = ["x\ty", "\tq r", "r\t", "\x1cz", "", "nul\0 and\nnul", "\u3000w v", "a\n<|endoftext|> b<|endoftext|>\n<|endoftext|>c"]
+    texts = [" ".join(f"w{i * j}x," for j in range(40)) + f"\nline{i} end\nx" for i in range(100)] + odd
+    want = [made.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    calls, encode = [], made.encode
+    monkeypatch.setattr(made, "encode", lambda t: calls.extend(t) or encode(t))
+    assert [np.frombuffer(b, "<u4").tolist() for b in made.many(texts)] == want
+    assert len(calls) < 20  # one text of lines a lead; words with white space and texts with more of it are alone
+    calls.clear()
+    assert [np.frombuffer(b, "<u4").tolist() for b in made.many(texts[:100])] == want[:100] and not calls
+    monkeypatch.setattr(packing, "MEMO_WORDS", 400)
+    for t, ids in zip(texts, want):
+        assert np.frombuffer(made.many([t])[0], "<u4").tolist() == ids
+    assert len(made.memo) <= 200 and len(made.old) <= 2000

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import zlib
@@ -20,11 +21,15 @@ from .common import checkpointed
 from .memos import claim, register
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Words kept per worker with their ids, half of them in a young generation; when it is full it becomes the old one.
-MEMO_WORDS = 1_200_000
+#: Pieces kept per worker with their ids, half of them in a young generation; when it is full it becomes the old one.
+MEMO_WORDS = 600_000
 #: Text encoded at a time.
-PART_BYTES = 8 << 20
-_TWO_SPACES = re.compile(r"\s\s")
+PART_BYTES = 2 << 20
+#: Words encoded as lines of one text.
+LINES = 2_000
+#: Stands for a newline before a piece; texts that hold it are encoded whole.
+MARK = "\0"
+_SPACE, _TWO_SPACES = re.compile(r"\s"), re.compile(r"\s\s")
 _encoders: dict[str, Encoder] = {}
 register("packing", _encoders)
 
@@ -33,62 +38,77 @@ class Encoder:
     """Texts to little-endian uint32 ids by a tokenizer file.
 
     The vocabulary's own split never crosses a lone space (it opens the next word) or a lone newline, so
-    ids of such pieces are looked up in a bounded memo and joined. A text with two white-space characters
-    in a row goes to the tokenizer whole."""
+    ids of such pieces are looked up in a bounded memo and joined: a piece is a word after a space, or a
+    newline, written MARK, and the word after it. Each piece of a part is looked up once, as Arrow counts
+    a part's distinct ones. A text with two white-space characters in a row goes to the tokenizer whole."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.spaced: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
-        self.old_spaced: dict[str, bytes] = {}
-        self.old_bare: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.newline = self.encode(["\n"])[0]
-        register("packing", self.spaced, self.bare, self.old_spaced, self.old_bare)
+        register("packing", self.memo, self.old)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
-    def _learn(self, memo: dict[str, bytes], old: dict[str, bytes], words: set[str], lead: str) -> None:
-        """Puts `words` into the memo. Words of the old generation that are used again come back, so frequent ones stay."""
-        if len(memo) + len(words) > MEMO_WORDS // 2:
-            old.clear()
-            old.update(memo)
-            memo.clear()
-        missing = words - memo.keys()
-        memo.update({w: old[w] for w in missing if w in old})
-        new = list(missing - memo.keys())
-        memo.update(zip(new, self.encode([lead + w for w in new]), strict=True))
-
-    def _join(self, text: str) -> bytes:
-        out = []
-        for line in text.split("\n"):
-            head, *rest = line.split(" ")
-            out.append(self.bare[head] + b"".join(map(self.spaced.__getitem__, rest)))
-        return self.newline.join(out)
-
-    def many(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text. Words that are new are encoded together, as calls cost more than words."""
-        out: list[bytes | None] = [None] * len(texts)
-        later = []
-        for i, text in enumerate(texts):
-            if _TWO_SPACES.search(text):
-                out[i] = self.encode([text])[0]
+    def encode_lines(self, words: list[str]) -> list[bytes]:
+        """`encode` of words that hold no white space but a leading space: as lines of one text, which costs less than a text each."""
+        out: list[bytes] = []
+        for at in range(0, len(words), LINES):
+            some = words[at : at + LINES]
+            ids = np.frombuffer(self.encode(["\n".join(some)])[0], "<u4")
+            ends = np.flatnonzero(ids == np.frombuffer(self.newline, "<u4")[0])
+            if len(self.newline) != 4 or len(ends) != len(some) - 1:  # a vocabulary whose newline is no id of its own
+                out += self.encode(some)
                 continue
-            try:
-                out[i] = self._join(text)
-            except KeyError:
-                later.append(i)
-        lines = [line.split(" ") for i in later for line in texts[i].split("\n")]
-        self._learn(self.bare, self.old_bare, {x[0] for x in lines}, "")
-        self._learn(self.spaced, self.old_spaced, {w for x in lines for w in x[1:]}, " ")
-        for i in later:
-            out[i] = self._join(texts[i])
+            raw, cuts = ids.tobytes(), [-4, *(4 * ends).tolist(), 4 * len(ids)]
+            out += [raw[i + 4 : j] for i, j in itertools.pairwise(cuts)]
         return out
 
+    def _look_up(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces. Those of the old generation that are used again come back, so frequent ones stay."""
+        missing = [w for w in pieces if w not in self.memo]
+        if len(self.memo) + len(missing) > MEMO_WORDS // 2:
+            self.old.clear()
+            self.old.update(self.memo)
+            self.memo.clear()
+            missing = pieces
+        new = []
+        for w in missing:
+            if w in self.old:
+                self.memo[w] = self.old[w]
+            else:
+                new.append(w)
+        after = {MARK: [], " ": []}  # pieces by what leads them
+        for w in new:
+            after[MARK if w.startswith(MARK) else " "].append(w)
+        for lead, group in after.items():
+            bare = [w.removeprefix(MARK) for w in group]
+            texts = [lead + w if lead == " " else w for w in bare]
+            odd = [not w or bool(_SPACE.search(w)) for w in bare]
+            alone, lined = iter(self.encode(list(itertools.compress(texts, odd)))), iter(self.encode_lines([t for t, o in zip(texts, odd, strict=True) if not o]))
+            first = self.newline if lead == MARK else b""
+            self.memo.update((w, first + next(alone if o else lined)) for w, o in zip(group, odd, strict=True))
+        return [self.memo[w] for w in pieces]
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        whole = [bool(_TWO_SPACES.search(t)) or MARK in t for t in texts]
+        marked = [MARK if w else MARK + t.replace("\n", " " + MARK) for t, w in zip(texts, whole, strict=True)]
+        pieces = pc.split_pattern(pa.array(marked, pa.large_string()), " ")
+        coded = pieces.values.dictionary_encode()
+        ids = pa.array(self._look_up(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        _, starts, data = ids.buffers()
+        data = memoryview(data) if data is not None else memoryview(b"")
+        ends = np.frombuffer(starts, "<i8")[pieces.offsets.to_numpy()].tolist()
+        skip = len(self.newline)  # that of the first piece of each text
+        return [self.encode([t])[0] if w else bytes(data[i + skip : j]) for t, w, (i, j) in zip(texts, whole, itertools.pairwise(ends), strict=True)]
+
 
 def encoder(path: str) -> Encoder:
     """One encoder per worker process and file, so its memo serves all tasks of the worker."""
