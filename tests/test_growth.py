@@ -4,6 +4,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.operators import context as X
 from textloom.operators import segment as S
 from textloom.sources import markup as M
 
@@ -51,3 +52,10 @@ def test_blocks_of_pages_leave_in_bounded_frames():
     frames = list(M.block_frames(iter([pages])))
     assert max(map(len, frames)) <= M.FRAME_BLOCKS + 2 and sum(map(len, frames)) == 10_000
     assert [f["k"].iloc[0] for f in frames] == [0, 2048, 4096]
+
+
+def test_context_carries_single_neighbours_and_no_frame_to_the_end_of_a_sentence(spark):
+    """A list of neighbours a token and rule, or a frame that is summed again for each row, made whole sentences time out."""
+    plan = optimized(X.in_context(spark.createDataFrame([], f"sentence_id int, i int, kind string, text string, cands array<{X.READING}>")))
+    assert plan.count("collect_list") == 2  # of prepositions and of their nouns alone
+    assert "$(), -1)" in plan and "1, unboundedfollowing$()" not in plan
