@@ -75,3 +75,21 @@ def test_pieces_are_encoded_once_as_lines_within_a_bounded_memo(monkeypatch):
     for t, ids in zip(texts, want):
         assert np.frombuffer(made.many([t])[0], "<u4").tolist() == ids
     assert len(made.memo) <= 200 and len(made.old) <= 2000
+
+
+def test_words_of_letters_go_to_the_model_without_the_split(monkeypatch):
+    """Words of letters, with a tail or not, cost one call of the model; a tail is encoded once."""
+    made = packing.Encoder(PATH)
+    texts = ["Thonre éèle, ßüñ.\nÇa ǅa: x?! Ɛnd", "éèle. Thonre,\néèle;", "ªµº ÿ÷ÿ a×b Āɏ!!! xyz....", "a.b x). don't, it's. 'tis 7, x7. Ж, ɐb."]
+    want = [made.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    calls, encode = [], made.encode
+    monkeypatch.setattr(made, "encode", lambda t: calls.extend(t) or encode(t))
+    assert [np.frombuffer(b, "<u4").tolist() for b in made.many(texts[:2])] == want[:2]
+    assert sorted(calls) == [",", ".", ":", ";", "?!"]
+    assert [np.frombuffer(b, "<u4").tolist() for b in made.many(texts)] == want
+
+
+def test_white_space_in_a_row_is_found_beside_other_white_space():
+    made = packing.Encoder(PATH)
+    for t in ["a\tb  c", "x　y \n", "a\xa0b\n\nc", " \nq", "a\x1fb c", " a\n", "a \tb"]:
+        assert np.frombuffer(made.many([t])[0], "<u4").tolist() == made.tokenizer.encode(t, add_special_tokens=False).ids

@@ -21,14 +21,20 @@ from .common import checkpointed
 from .memos import claim, register
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Pieces kept per worker with their ids, half of them in a young generation; when it is full it becomes the old one.
-MEMO_WORDS = 600_000
+#: Words kept per worker with their ids, half of them in a young generation; when it is full it becomes the old one.
+MEMO_WORDS = 120_000
+#: Letters of a word that is kept; longer ones are encoded again.
+MEMO_LETTERS = 64
 #: Text encoded at a time.
 PART_BYTES = 2 << 20
 #: Words encoded as lines of one text.
 LINES = 2_000
 #: Stands for a newline before a piece; texts that hold it are encoded whole.
 MARK = "\0"
+#: A word of letters (in every version of Unicode) and what may end it, which the byte-level split takes by itself.
+WORD = r"^(?P<word>\x00?[A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+)(?P<tail>[.,;:!?]{0,3})$"
+#: The byte-level alphabet: what stands for each byte that doesn't stand for itself.
+BYTES = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 _SPACE, _TWO_SPACES = re.compile(r"\s"), re.compile(r"\s\s")
 _encoders: dict[str, Encoder] = {}
 register("packing", _encoders)
@@ -38,19 +44,27 @@ class Encoder:
     """Texts to little-endian uint32 ids by a tokenizer file.
 
     The vocabulary's own split never crosses a lone space (it opens the next word) or a lone newline, so
-    ids of such pieces are looked up in a bounded memo and joined: a piece is a word after a space, or a
-    newline, written MARK, and the word after it. Each piece of a part is looked up once, as Arrow counts
-    a part's distinct ones. A text with two white-space characters in a row goes to the tokenizer whole."""
+    ids of such pieces are looked up and joined: a piece is a word after a space, or a newline, written MARK,
+    and the word after it. Each piece of a part is looked up once, as Arrow counts a part's distinct ones, and
+    what ends a word of letters is looked up apart. Such a word is one piece of the byte-level split, so the
+    model gets it without that split. A bounded memo keeps words. A text with two white-space characters in a
+    row goes to the tokenizer whole."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
         self.newline = self.encode(["\n"])[0]
-        register("packing", self.memo, self.old)
+        split = self.tokenizer.pre_tokenizer
+        byte_level = isinstance(split, pre_tokenizers.ByteLevel) and split.use_regex and not split.add_prefix_space
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        own = any(all(c.isalpha() or c in ".,;:!? \n" for c in t) for t in added)  # it may lie in a word
+        self.direct = isinstance(self.model, models.BPE) and byte_level and self.tokenizer.normalizer is None and not own
 
     def encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -70,46 +84,91 @@ class Encoder:
             out += [raw[i + 4 : j] for i, j in itertools.pairwise(cuts)]
         return out
 
-    def _look_up(self, pieces: list[str]) -> list[bytes]:
-        """The ids of distinct pieces. Those of the old generation that are used again come back, so frequent ones stay."""
-        missing = [w for w in pieces if w not in self.memo]
-        if len(self.memo) + len(missing) > MEMO_WORDS // 2:
-            self.old.clear()
-            self.old.update(self.memo)
-            self.memo.clear()
-            missing = pieces
-        new = []
-        for w in missing:
-            if w in self.old:
-                self.memo[w] = self.old[w]
-            else:
-                new.append(w)
-        after = {MARK: [], " ": []}  # pieces by what leads them
-        for w in new:
-            after[MARK if w.startswith(MARK) else " "].append(w)
-        for lead, group in after.items():
-            bare = [w.removeprefix(MARK) for w in group]
-            texts = [lead + w if lead == " " else w for w in bare]
-            odd = [not w or bool(_SPACE.search(w)) for w in bare]
-            alone, lined = iter(self.encode(list(itertools.compress(texts, odd)))), iter(self.encode_lines([t for t, o in zip(texts, odd, strict=True) if not o]))
-            first = self.newline if lead == MARK else b""
-            self.memo.update((w, first + next(alone if o else lined)) for w, o in zip(group, odd, strict=True))
-        return [self.memo[w] for w in pieces]
+    def encode_letters(self, words: list[str], lead: str) -> list[bytes]:
+        """`encode` of words of letters after `lead`, a space or nothing."""
+        lead, model = lead.translate(BYTES), self.model
+        mapped = [lead + (w if w.isascii() else w.encode().decode("latin-1").translate(BYTES)) for w in words]
+        return [array("I", [t.id for t in model.tokenize(w)]).tobytes() for w in mapped]
+
+    def _new(self, words: list[str], mark: str, letters: bool) -> list[bytes]:
+        """The ids of words after a space, or of a newline and the word after it, by the tokenizer."""
+        lead = "" if mark else " "
+        if letters:
+            found = self.encode_letters(words, lead)
+        else:
+            odd = [not w or bool(_SPACE.search(w)) for w in words]
+            alone = iter(self.encode([lead + w for w in itertools.compress(words, odd)]))
+            lined = iter(self.encode_lines([lead + w for w, o in zip(words, odd, strict=True) if not o]))
+            found = [next(alone if o else lined) for o in odd]
+        return [self.newline + ids for ids in found] if mark else found
+
+    def _make_room(self) -> None:
+        if len(self.memo) >= MEMO_WORDS // 2:
+            self.old, self.memo = self.memo, {}
+
+    def _look_up(self, words: list[str], letters: list[bool]) -> list[bytes]:
+        """The ids of distinct words. Those of the old generation that are used again come back, so frequent ones stay."""
+        self._make_room()
+        found = list(map(self.memo.get, words))
+        again = [i for i, ids in enumerate(found) if ids is None]
+        for i in again:
+            found[i] = self.old.get(words[i])
+        missing = [i for i in again if found[i] is None]
+        for kind in (False, True):
+            for mark in (MARK, ""):
+                places = [i for i in missing if letters[i] == kind and words[i].startswith(MARK) == bool(mark)]
+                for i, ids in zip(places, self._new([words[i].removeprefix(MARK) for i in places], mark, kind), strict=True):
+                    found[i] = ids
+        for i in again:
+            if len(words[i]) <= MEMO_LETTERS:
+                self._make_room()
+                self.memo[words[i]] = found[i]
+        return found
+
+    def _ids(self, pieces: pa.Array) -> pa.Array:
+        """The ids of distinct pieces."""
+        if not self.direct:
+            words = _strings(pieces)
+            return pa.array(self._look_up(words, [False] * len(words)), pa.large_binary())
+        cut = pc.extract_regex(pieces, WORD)
+        letters = cut.is_valid()
+        words = pc.if_else(letters, pc.struct_field(cut, "word"), pieces).dictionary_encode()
+        tails = pc.fill_null(pc.struct_field(cut, "tail"), "").dictionary_encode()
+        is_word = np.zeros(len(words.dictionary), bool)
+        is_word[words.indices.to_numpy()] = letters.to_numpy(zero_copy_only=False)
+        ids = pa.array(self._look_up(_strings(words.dictionary), is_word.tolist()), pa.large_binary()).take(words.indices)
+        for tail in _strings(tails.dictionary):
+            if tail not in self.tails:
+                self.tails[tail] = self.encode([tail])[0]
+        ends = pa.array([self.tails[t] for t in _strings(tails.dictionary)], pa.large_binary()).take(tails.indices)
+        return pc.binary_join_element_wise(ids, ends, pa.scalar(b"", pa.large_binary()))
 
     def many(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        whole = [bool(_TWO_SPACES.search(t)) or MARK in t for t in texts]
+        whole = [_spaced(t) or MARK in t for t in texts]
         marked = [MARK if w else MARK + t.replace("\n", " " + MARK) for t, w in zip(texts, whole, strict=True)]
         pieces = pc.split_pattern(pa.array(marked, pa.large_string()), " ")
-        coded = pieces.values.dictionary_encode()
-        ids = pa.array(self._look_up(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        at, coded = pieces.offsets.to_numpy(), pieces.values.dictionary_encode()
+        del marked, pieces
+        ids = self._ids(coded.dictionary).take(coded.indices)
         _, starts, data = ids.buffers()
         data = memoryview(data) if data is not None else memoryview(b"")
-        ends = np.frombuffer(starts, "<i8")[pieces.offsets.to_numpy()].tolist()
+        ends = np.frombuffer(starts, "<i8")[at].tolist()
         skip = len(self.newline)  # that of the first piece of each text
         return [self.encode([t])[0] if w else bytes(data[i + skip : j]) for t, w, (i, j) in zip(texts, whole, itertools.pairwise(ends), strict=True)]
 
 
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _spaced(text: str) -> bool:
+    """Whether two white-space characters are in a row."""
+    if text.replace("\n", "").isprintable():  # no other white space than spaces and newlines, which are found faster than by pattern
+        return any(pair in text for pair in ("  ", "\n\n", " \n", "\n "))
+    return _TWO_SPACES.search(text) is not None
+
+
 def encoder(path: str) -> Encoder:
     """One encoder per worker process and file, so its memo serves all tasks of the worker."""
     if path not in _encoders:
