@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -93,3 +94,17 @@ def test_white_space_in_a_row_is_found_beside_other_white_space():
     made = packing.Encoder(PATH)
     for t in ["a\tb  c", "x　y \n", "a\xa0b\n\nc", " \nq", "a\x1fb c", " a\n", "a \tb"]:
         assert np.frombuffer(made.many([t])[0], "<u4").tolist() == made.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_idle_workers_hold_no_words(spark):
+    """Spark keeps workers, so what a task remembered must not outlive it."""
+    docs = spark.createDataFrame([(i, f"thonre{'abcdefghij'[i % 10]} erinand x{i}") for i in range(400)], "doc_id long, text string").repartition(8)
+    assert pack_documents(docs, PATH).count() >= 400
+
+    def held(batches):
+        from textloom.llm.packing import _encoders
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [sum(len(e.memo) + len(e.old) for e in _encoders.values())] * b.num_rows})
+
+    assert {r.n for r in spark.range(0, 64, 1, 8).mapInArrow(held, "n long").collect()} == {0}

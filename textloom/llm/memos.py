@@ -16,12 +16,16 @@ def register(owner: str, *memos: dict) -> None:
 
 
 def claim(owner: str) -> None:
-    """Called as a task of `owner` begins: what other operators remembered in this worker is let go, and memory that is free
-    goes back to the system, as the executor's share is counted with that of its workers."""
+    """Called as a task of `owner` begins: what other operators remembered in this worker is let go."""
     for name, memos in _memos.items():
         if name != owner:
             for m in memos:
                 m.clear()
+    release()
+
+
+def release() -> None:
+    """Memory that is free goes back to the system, as the executor's share is counted with that of its workers."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     if hasattr(_libc, "malloc_trim"):

@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed
-from .memos import claim, register
+from .memos import claim, register, release
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Words kept per worker with their ids, half of them in a young generation; when it is full it becomes the old one.
+#: Words kept by a task with their ids, half of them in a young generation; when it is full it becomes the old one.
 MEMO_WORDS = 120_000
 #: Letters of a word that is kept; longer ones are encoded again.
 MEMO_LETTERS = 64
@@ -66,6 +66,11 @@ class Encoder:
         own = any(all(c.isalpha() or c in ".,;:!? \n" for c in t) for t in added)  # it may lie in a word
         self.direct = isinstance(self.model, models.BPE) and byte_level and self.tokenizer.normalizer is None and not own
 
+    def forget(self) -> None:
+        """Called as a task ends, as Spark keeps idle workers: what it remembered goes back to the system."""
+        self.memo, self.old = {}, {}
+        release()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
@@ -170,7 +175,7 @@ def _spaced(text: str) -> bool:
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder per worker process and file, so its memo serves all tasks of the worker."""
+    """One encoder per worker process and file; its memo is a task's."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
@@ -269,6 +274,7 @@ def _pack_partition(
                 packer.put((n := len(ids) // 4, doc, 0, ids, n), cut)
             if len(rows) >= 20_000:
                 yield flush()
+    encode.forget()
     for _, pieces in packer.open:
         emit(pieces, keep=True)
     if rows:
