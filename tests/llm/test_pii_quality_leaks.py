@@ -4,6 +4,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
+from textloom.llm import quality
 from textloom.llm.decontaminate import find_leaks, slot_words, template_words
 from textloom.llm.pii import KINDS, pseudonymise
 from textloom.llm.quality import classify
@@ -84,6 +85,28 @@ def test_classifier_on_held_out_documents(spark):
     assert classify(df, lab.limit(0), F.col("source"), F.col("lang")).count() == len(docs)
 
 
+def test_a_task_judges_its_texts_once(spark, monkeypatch):
+    """Judging twice in a row takes a second Python worker for each task, which Spark keeps with its memory."""
+    docs = [(i, "" if i < 4 else f"some words of {i} that are good", "blank" if i < 2 else f"s{i % 3}", "en") for i in range(40)] + [(99, None, "null", "de")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string")
+    lab = spark.createDataFrame([(i, i % 2, int(i % 5 == 0)) for i in range(4, 40)], "doc_id long, quality int, toxic int")
+    plans, groups = [], []
+
+    def noted(frame, store=quality.checkpointed):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython"))
+        out = store(frame)
+        if plans[-1]:
+            groups.extend((r.host, r.path, r.n) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(quality, "checkpointed", noted)
+    judged = classify(df, lab, F.col("source"), F.col("lang"))
+    plans.append(judged.where("keep")._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython"))
+    assert [n for n in plans if n] == [1, 1]
+    assert sorted(groups) == [("s0", "en", 12), ("s1", "en", 12), ("s2", "en", 12)]  # groups without text have no rate
+    assert judged.count() == len(docs)
+
+
 def test_leaks_planted_verbatim_and_re_parameterised(spark):
     rng = random.Random(3)
     vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]

@@ -160,6 +160,12 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
+def _by_path(site: DataFrame) -> DataFrame:
+    """(host, path, n, s): how many documents have a share p, and its sum. Groups without one are left out after counting, as a
+    filter by p would judge each text a second time, beside the first in a worker of its own."""
+    return site.groupBy("host", "path").agg(F.count("p").alias("n"), F.sum("p").alias("s")).where("n > 0")
+
+
 def _strength(groups: DataFrame) -> float:
     """Prior strength of a level by the method of moments: how many documents a parent's rate counts as.
 
@@ -198,7 +204,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, sam
         F.coalesce(path.cast("string"), F.lit("\0")).alias("path"), _evidence(F.col("text"), model).alias("evidence"),
     )
     site = site.withColumn("p", F.when(F.length("row.text") > 0, 1 / (1 + F.exp(-F.col("evidence")))))
-    paths = checkpointed(site.where("p is not null").groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s")))
+    paths = checkpointed(_by_path(site))
     hosts = checkpointed(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s")))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     mean = min(max(total["s"] / total["n"], 0.001), 0.999) if total["n"] else 0.5
