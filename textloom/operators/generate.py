@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .lexicon import ADJECTIVE_ENDINGS
+from .stored import kept
 
 #: Order in which the generators are asked; the first that has a reading wins.
 GENERATORS = [
@@ -153,12 +154,13 @@ def rule_readings(words: DataFrame, index: DataFrame, lexemes: DataFrame) -> Dat
     several readings of one rule all stay. Every word gets one, from its ending at the last."""
     spark = words.sparkSession
     table = F.broadcast(spark.createDataFrame(rules(), RULE_SCHEMA))  # a constant of under 200 rows
-    known = index.select("key", "lexeme_id", "code").join(lexemes.select("lexeme_id", "lemma", "pos", "aspect"), "lexeme_id")
-    parts = word_parts(words)
+    # what several steps read is kept: else each of them holds the plan of all before it, down to the texts, and the plan doubles step by step
+    known = kept(index.select("key", "lexeme_id", "code").join(lexemes.select("lexeme_id", "lemma", "pos", "aspect"), "lexeme_id"))
+    parts = kept(word_parts(words))
     ends = F.transform(F.sequence(F.lit(0), F.least(F.length("body"), F.lit(7))), lambda i: F.struct(F.right("body", i).alias("suffix"), F.left("body", F.length("body") - i).alias("stem")))
     made = parts.select("surface", "w", "part", "given", F.explode(ends).alias("x")).select("surface", "w", "part", "given", "x.suffix", "x.stem").join(table, ["part", "suffix"])
     fits = (F.length("stem") >= F.col("least_stem")) & ((F.col("stem_like") == "") | F.regexp_like("stem", "stem_like"))
-    made = made.where(fits)
+    made = kept(made.where(fits))
     bases = made.where("size(puts) > 0").select("surface", "gen_order", "rule_order", F.col("pos").alias("want"), F.col("code").alias("want_code"), "stem", F.posexplode("puts").alias("put_order", "put"))
     bases = bases.withColumn("base", F.concat("stem", "put"))
     right = F.when(F.col("want_code") == "inst", F.col("code").rlike("^n:sg:inst$|:f:sg:inst$")).when(F.col("want_code") == "inf", F.col("code") == "v:inf").otherwise(True)
@@ -175,7 +177,7 @@ def rule_readings(words: DataFrame, index: DataFrame, lexemes: DataFrame) -> Dat
         F.col("reading").alias("pos"), merged(merged(F.col("given"), F.col("features")), merged(nu, aspect)).alias("features"),
         F.when(F.col("hit").isNotNull(), "rule").otherwise("statistical").alias("source"), F.when(F.col("hit").isNotNull(), sure).otherwise(F.col("guess_confidence")).alias("confidence"),
     )
-    found = from_table.unionByName(_prefixed(parts, known)).unionByName(_manner(parts))
+    found = kept(from_table.unionByName(_prefixed(parts, known)).unionByName(_manner(parts)))
     best = found.groupBy("surface").agg(F.min(F.struct("gen_order", "rule_order")).alias("best"))
     return found.join(best, "surface").where(F.struct("gen_order", "rule_order") == F.col("best")).drop("best", "gen_order", "rule_order").distinct()
 
@@ -212,16 +214,17 @@ def analyse(words: DataFrame, index: DataFrame, lexemes: DataFrame, closed: Data
 
     `closed` has form, key, lemma, pos, features; `names` form, canonical; the other two as in `rule_readings`, with features
     in `index` and the frequency rank in `lexemes`."""
-    s = words.select("surface").distinct().withColumn("w", T.loose_key(F.col("surface")))
+    index, lexemes = kept(index), kept(lexemes)  # read by several steps, as are the kept ones below: the plan of each would hold those before it
+    s = kept(words.select("surface").distinct().withColumn("w", T.loose_key(F.col("surface"))))
     listed = lambda df, key: closed_or_known(df, key, index, lexemes, closed)
-    direct = listed(s, "w")
+    direct = kept(listed(s, "w"))
     rest = s.join(direct.select("surface").distinct(), "surface", "left_anti")
     tail = F.substring_index("surface", "-", -1)
     dashed = rest.withColumn("clitic", F.when(F.col("surface").contains("-") & F.lower(tail).isin(CLITICS) & (F.length("surface") > F.length(tail) + 1), tail))
     bare = dashed.withColumn("bare", F.when(F.col("clitic").isNotNull(), F.left("surface", F.length("surface") - F.length("clitic") - 1)).otherwise(F.col("surface")))
     manner = F.lower("surface").startswith("по-")
-    bare = bare.withColumn("bare", F.when(manner, F.col("surface")).otherwise(F.col("bare"))).withColumn("clitic", F.when(~manner, F.col("clitic")))
-    cut = listed(bare.where("clitic is not null").select(F.col("bare").alias("surface"), T.loose_key(F.col("bare")).alias("w")).distinct(), "w")
+    bare = kept(bare.withColumn("bare", F.when(manner, F.col("surface")).otherwise(F.col("bare"))).withColumn("clitic", F.when(~manner, F.col("clitic"))))
+    cut = kept(listed(bare.where("clitic is not null").select(F.col("bare").alias("surface"), T.loose_key(F.col("bare")).alias("w")).distinct(), "w"))
     unknown = bare.join(cut.select(F.col("surface").alias("bare")).distinct(), "bare", "left_anti").select(F.col("bare").alias("surface"))
     made = rule_readings(unknown, index, lexemes).select("surface", "key", "lemma", "pos", "features", "source", "confidence", (F.col("alt") + 100).alias("source_order"), F.lit(None).cast("int").alias("rank"))
     of_bare = cut.unionByName(made).withColumnRenamed("surface", "bare").join(bare.select("bare", "surface", "clitic"), "bare").drop("bare")
