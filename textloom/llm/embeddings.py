@@ -15,6 +15,8 @@ from .common import checkpointed, connected_components, maybe_broadcast
 
 #: Rows of a tile, and leading components after which pairs are given up by their bound.
 TILE_ROWS, LEAD = 2048, 16
+#: Pairs of tiles compared in one round: so many a tile, and at least so many in all. A round sends twice as many tiles through the shuffle.
+ROUND_PAIRS, LEAST_PAIRS = 2, 128
 #: Rounding of products of turned vectors, at most; nearer to the threshold the vectors as given decide.
 EDGE = 1e-9
 
@@ -99,7 +101,7 @@ def _compare(pdf: pd.DataFrame, dim: int, least: float) -> pd.DataFrame:
     return pd.DataFrame({"a": pd.array([o[0] for o in out], "Int64"), "b": pd.array([o[1] for o in out], "Int64"), "n": pd.array([o[2] for o in out], "Int64")})
 
 
-def near_embeddings(vectors: DataFrame, cosine: float = 0.9, tile_rows: int = TILE_ROWS) -> DataFrame:
+def near_embeddings(vectors: DataFrame, cosine: float = 0.9, tile_rows: int = TILE_ROWS, least_pairs: int = LEAST_PAIRS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of `vectors` (vec_id, embedding).
 
     Vectors link at a cosine of `cosine` or more in double precision. n_links counts the other vectors
@@ -110,7 +112,9 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.9, tile_rows: int = TI
     tiles of `tile_rows` along the first axis. Linked unit vectors differ by at most sqrt(2 - 2 cosine)
     on every axis, so a tile meets only the tiles within that reach; inside a pair of tiles products
     start with the leading components and stop where the suffix norms rule the threshold out. A pair of
-    tiles is one task of bounded size; it returns counts and a spanning set of links, not all pairs.
+    tiles is one task of bounded size; it returns counts and a spanning set of links, not all pairs. Pairs are compared in
+    rounds of `least_pairs`, or of `ROUND_PAIRS` a tile where these are more, so that the shuffle on disk grows with the table
+    and not with its square.
 
     Vectors of each length are compared among themselves, one length after the other. Each row is a vector, also one that
     repeats another or shares its vec_id: rows of equal vectors link with each other. A vector that is null, empty, zero, or with
@@ -124,14 +128,14 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.9, tile_rows: int = TI
     # numbered once and stored: a class keeps its number when an executor is lost
     classes = checkpointed(classes.withColumn("rep", F.monotonically_increasing_id()))
     lengths = sorted(r["d"] for r in classes.select(F.size("v").alias("d")).distinct().collect())  # a number for each length
-    parts = [_linked(classes.where(F.size("v") == d) if len(lengths) > 1 else classes, d, cosine, tile_rows) for d in lengths]
+    parts = [_linked(classes.where(F.size("v") == d) if len(lengths) > 1 else classes, d, cosine, tile_rows, least_pairs) for d in lengths]
     known = reduce(DataFrame.unionByName, parts) if parts else classes.select("v", F.lit(0).cast("long").alias("n"), F.col("least").alias("component"))
     joined = base.join(known.withColumnRenamed("v", "of"), F.col("v") == F.col("of"), "left")
     out = joined.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
-def _linked(distinct: DataFrame, dim: int, cosine: float, tile_rows: int) -> DataFrame:
+def _linked(distinct: DataFrame, dim: int, cosine: float, tile_rows: int, least_pairs: int) -> DataFrame:
     """(v, n, component) of distinct vectors of one length (v, least, copies, rep): n other rows are linked with each row of v,
     component is the smallest vec_id of its component."""
     parts = distinct.select("v").mapInArrow(lambda b: _moments(b, dim), "m array<double>")
@@ -148,11 +152,11 @@ def _linked(distinct: DataFrame, dim: int, cosine: float, tile_rows: int) -> Dat
     turned = checkpointed(distinct.select("v", "rep", "copies").mapInArrow(turn, "rep long, copies long, y double, v binary"))
     ordered = _tiled(turned, tile_rows)
     reach = float(np.sqrt(max(2 - 2 * cosine, 0))) + 1e-9
-    pairs = _tile_pairs(ordered.groupBy("tile").agg(F.min("y").alias("lo"), F.max("y").alias("hi")), reach)
-    left = ordered.join(maybe_broadcast(pairs), F.col("tile") == F.col("first")).select("first", "second", F.lit(0).alias("side"), "rep", "copies", "v")
-    right = ordered.join(maybe_broadcast(pairs.where("first <> second")), F.col("tile") == F.col("second")).select("first", "second", F.lit(1).alias("side"), "rep", "copies", "v")
-    found = left.unionByName(right).groupBy("first", "second").applyInPandas(lambda pdf: _compare(pdf.drop(columns=["first", "second"]), dim, cosine), "a long, b long, n long")
-    found = checkpointed(found)
+    tiles = ordered.groupBy("tile").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
+    pairs = _tile_pairs(tiles, reach)
+    a_round = max(least_pairs, ROUND_PAIRS * tiles.count())
+    rounds = max(1, -(-pairs.count() // a_round))
+    found = reduce(DataFrame.unionByName, [_compared(ordered, pairs, k, rounds, dim, cosine) for k in range(rounds)])
     edge = _at_threshold(found.where("b is not null and n is null").select("a", "b"), distinct, cosine)
     comp = connected_components(found.where("b is not null and n = 0").select("a", "b").unionByName(edge.select("a", "b")))
     counts = found.where("b is null").select("a", "n").unionByName(edge.select("a", F.col("copies_b").alias("n"))).unionByName(edge.select(F.col("b").alias("a"), F.col("copies_a").alias("n")))
@@ -163,6 +167,19 @@ def _linked(distinct: DataFrame, dim: int, cosine: float, tile_rows: int) -> Dat
     return placed.join(smallest, F.col("root") == F.col("of_root")).select("v", "n", "component")
 
 
+def _compared(ordered: DataFrame, pairs: DataFrame, k: int, rounds: int, dim: int, cosine: float) -> DataFrame:
+    """What `_compare` finds in the pairs of round `k`, stored. A tile is sent once per tile in reach, which all at once grows with the
+    square of the table; between rounds the shuffle's files, which nothing refers to any more, are given back."""
+    some = pairs.where(F.pmod(F.xxhash64("first", "second"), F.lit(rounds)) == k) if rounds > 1 else pairs
+    left = ordered.join(maybe_broadcast(some), F.col("tile") == F.col("first")).select("first", "second", F.lit(0).alias("side"), "rep", "copies", "v")
+    right = ordered.join(maybe_broadcast(some.where("first <> second")), F.col("tile") == F.col("second")).select("first", "second", F.lit(1).alias("side"), "rep", "copies", "v")
+    found = checkpointed(left.unionByName(right).groupBy("first", "second").applyInPandas(lambda pdf: _compare(pdf.drop(columns=["first", "second"]), dim, cosine), "a long, b long, n long"))
+    if rounds > 1:
+        del some, left, right
+        ordered.sparkSession._jvm.System.gc()  # Spark removes a shuffle's files once the driver's JVM has collected the plan
+    return found
+
+
 def _at_threshold(pairs: DataFrame, distinct: DataFrame, cosine: float) -> DataFrame:
     """(a, b, copies_a, copies_b) of the pairs whose vectors, as they were given, reach `cosine` in double precision."""
     side = lambda name: distinct.select(F.col("rep").alias(name), F.col("copies").alias(f"copies_{name}"), F.col("v").alias(f"v_{name}"))
