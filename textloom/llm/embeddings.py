@@ -113,8 +113,8 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.9, tile_rows: int = TI
     on every axis, so a tile meets only the tiles within that reach; inside a pair of tiles products
     start with the leading components and stop where the suffix norms rule the threshold out. A pair of
     tiles is one task of bounded size; it returns counts and a spanning set of links, not all pairs. Pairs are compared in
-    rounds of `least_pairs`, or of `ROUND_PAIRS` a tile where these are more, so that the shuffle on disk grows with the table
-    and not with its square.
+    rounds of `least_pairs`, or of `ROUND_PAIRS` a tile where these are more, so that a round's shuffle grows with the
+    table and not with its square; when Spark gives its files back is up to its cleaner.
 
     Vectors of each length are compared among themselves, one length after the other. Each row is a vector, also one that
     repeats another or shares its vec_id: rows of equal vectors link with each other. A vector that is null, empty, zero, or with
